@@ -79,11 +79,34 @@ class UnitEncoder:
         return [u for u in out if u]
 
 
+REGULAR = re.compile(r" [^\s](?:.*[^\s])?", re.S)
+
+
 @lru_cache(maxsize=4)
 def unit_encoder(path: str) -> UnitEncoder:
     """One encoder per worker and vocabulary, which resolves units with the tiktoken library."""
-    encode = library(path).encode_ordinary
-    return UnitEncoder(lambda units: [np.array(encode(u), dtype="<u4").tobytes() for u in units])
+    encode, ranks = library(path).encode_ordinary, read_ranks(path)
+    token_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        token_bytes[rank] = len(token)
+
+    def resolve(units: list[str]) -> list[bytes]:
+        # regular units can stand in a row: their borders are borders of matches, and so of ids
+        regular = [u for u in units if REGULAR.fullmatch(u)]
+        ids = np.array(encode("".join(regular)), dtype="<u4")
+        cuts = np.searchsorted(np.cumsum(token_bytes[ids]), np.cumsum([len(u.encode()) for u in regular])) + 1
+        raw, ends = ids.tobytes(), iter((4 * cuts).tolist())
+        out, start = [], 0
+        of_regular = {}
+        for u in regular:
+            end = next(ends)
+            of_regular[u] = raw[start:end]
+            start = end
+        for u in units:
+            out.append(of_regular[u] if u in of_regular else np.array(encode(u), dtype="<u4").tobytes())
+        return out
+
+    return UnitEncoder(resolve)
 
 
 def slices(texts: list[str], chars: int = 1 << 21) -> Iterable[tuple[int, int]]:

@@ -1,10 +1,10 @@
 """Operator 6 - byte-level BPE encoding and decoding by DuckDB recursive queries.
 
-Per partition, the distinct new words of a batch become token-position rows (word, position, token)
-of an in-memory DuckDB. A recursive query joins neighbours with the merge table and contracts each
-word's leftmost pair of minimum rank until no pair of any word can merge; the last state of each
-word is its ids. Words that are tokens themselves are taken whole, as the tiktoken library does.
-Decoding joins ids with the vocabulary and aggregates their bytes in order.
+Per partition, the distinct new words of a batch go to an in-memory DuckDB. A recursive query unnests
+each word into token-position rows, joins neighbours with the merge table and contracts the word's
+leftmost pair of minimum rank, until no pair of any word can merge; the last state of each word is
+its ids. Words that are tokens themselves are taken whole, as the tiktoken library does.
+Decoding looks ids up in the vocabulary and aggregates their bytes in the order of the ids.
 
 The rows a word passes through grow with the square of its length, so words over ``LONG_BYTES``
 bytes (no cap: all are encoded) take the library's own merge of the same ranks.
@@ -31,32 +31,23 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LONG_BYTES = 256
 
 CONTRACT = """
-WITH RECURSIVE state(word, pos, tok, step) AS (
-    SELECT word, pos, tok, 0 FROM first_state
+WITH RECURSIVE state(word, toks, step) AS (
+    SELECT word, toks, 0 FROM first_state
   UNION ALL
-    SELECT word, pos, CASE WHEN pair = best THEN merged ELSE tok END, step + 1
-    FROM (
-        SELECT *, lag(pair) OVER own AS left_pair
-        FROM (
-            SELECT *, min(pair) OVER (PARTITION BY word) AS best
-            FROM (
-                SELECT s.word, s.pos, s.tok, s.step, m.merged, m.rank::BIGINT * 65536 + s.pos AS pair
-                FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next FROM state) s
-                LEFT JOIN merges m ON m.a = s.tok AND m.b = s.next
-            )
-        )
-        WHERE best IS NOT NULL
-        WINDOW own AS (PARTITION BY word ORDER BY pos)
-    )
-    WHERE left_pair IS NULL OR left_pair <> best
+    SELECT s.word, s.toks[:b.pair % 65536 - 1] || [(b.pair // 65536)::INT] || s.toks[b.pair % 65536 + 2:], s.step + 1
+    FROM state s JOIN (
+        SELECT t.word, min(m.rank::BIGINT * 65536 + t.pos) AS pair
+        FROM (SELECT word, unnest(toks) AS a, unnest(toks[2:]) AS b, generate_subscripts(toks, 1) AS pos FROM state) t
+        JOIN merges m ON m.a = t.a AND m.b = t.b
+        GROUP BY t.word
+    ) b ON s.word = b.word
 )
-SELECT word, pos, tok FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state) WHERE step = last ORDER BY word, pos
+SELECT word, arg_max(toks, step) AS toks FROM state GROUP BY word ORDER BY word
 """
 
 DECODE = """
-SELECT row, from_hex(string_agg(v.hex, '' ORDER BY t.pos)) AS bytes
-FROM (SELECT row, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM batch) t JOIN vocabulary v ON v.id = t.id
-GROUP BY row
+SELECT row, from_hex(array_to_string(list_select((SELECT list(hex ORDER BY id) FROM vocabulary), list_transform(ids, lambda id: id + 1)), '')) AS bytes
+FROM batch ORDER BY row
 """
 
 
@@ -87,7 +78,7 @@ class DuckBpe:
         """Ids of each unit, whose words are encoded together if they are new."""
         split = [self.pattern.findall(u) for u in units]
         known, todo = self.words, {}
-        if len(known) > 200_000:
+        if len(known) > 400_000:
             known.clear()
         late: dict[str, bytes] = {}
         for words in split:
@@ -102,37 +93,35 @@ class DuckBpe:
                 else:
                     todo[w] = raw
         raws = list(todo.values())
-        for k in range(0, len(raws), 20_000):
-            for w, ids in zip(list(todo)[k : k + 20_000], self.contract(raws[k : k + 20_000]), strict=True):
+        for k in range(0, len(raws), 50_000):
+            for w, ids in zip(list(todo)[k : k + 50_000], self.contract(raws[k : k + 50_000]), strict=True):
                 known[w] = ids
         return [b"".join([known[w] if w in known else late[w] for w in words]) for words in split]
 
     def contract(self, raws: list[bytes]) -> list[bytes]:
         """Ids of each word by the recursive query."""
         one = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
-        sizes = np.array([len(r) for r in raws])
-        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        word = np.repeat(np.arange(len(raws), dtype=np.int32), sizes)
-        tok = one[np.frombuffer(b"".join(raws), np.uint8)]
-        self.db.register("first_state", pa.table({"word": word, "pos": (np.arange(len(tok)) - starts).astype(np.int32), "tok": tok}))
-        got = self.db.execute(CONTRACT).fetchnumpy()
-        self.db.unregister("first_state")
-        ends = np.cumsum(np.bincount(got["word"], minlength=len(raws)))
-        ids = got["tok"].astype("<u4").tobytes()
-        return [ids[4 * a : 4 * b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+        ends = np.cumsum([0, *map(len, raws)]).astype(np.int32)
+        toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(one[np.frombuffer(b"".join(raws), np.uint8)]))
+        got = self.query(CONTRACT, first_state=pa.table({"word": np.arange(len(raws), dtype=np.int32), "toks": toks})).column("toks").combine_chunks()
+        ends, ids = 4 * np.asarray(got.offsets).astype(np.int64), np.asarray(got.values).astype("<u4").tobytes()
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def query(self, sql: str, **tables: pa.Table) -> pa.Table:
+        for name, table in tables.items():
+            self.db.register(name, table)
+        got = self.db.sql(sql).to_arrow_table()
+        for name in tables:
+            self.db.unregister(name)
+        return got
 
     def decode(self, ids: pa.Array) -> list[bytes]:
         """Bytes of each list of ids; unknown ids are an error."""
         known = np.asarray(ids.flatten())
         if len(known) and (known.min() < 0 or known.max() >= len(self.ranks)):
             raise ValueError("an id is not in the vocabulary")
-        self.db.register("batch", pa.table({"row": pa.array(np.arange(len(ids))), "ids": ids}))
-        rows, got = self.db.execute(DECODE).to_arrow_table().columns if len(known) else ([], [])
-        self.db.unregister("batch")
-        out = [b""] * len(ids)
-        for r, b in zip(rows, got, strict=True):
-            out[r.as_py()] = b.as_py()
-        return out
+        got = self.query(DECODE, batch=pa.table({"row": np.arange(len(ids)), "ids": ids.cast(pa.list_(pa.int32()))})).column("bytes")
+        return got.to_pylist() if len(ids) else []
 
 
 @lru_cache(maxsize=2)
