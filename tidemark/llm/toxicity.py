@@ -1,7 +1,7 @@
 """Operator 7 - toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 A bounded sample of labelled rows (``SAMPLE``, by hash of the id) gives the examples. Chi-square over
-them picks the vocabulary (``TERMS`` terms at most, significant at ``CHI2``); document frequencies of
+them picks the vocabulary (``TERMS`` terms at most, commoner in positive examples, significant at ``CHI2``); document frequencies of
 that vocabulary are counted over all documents. Examples go to an inverted index whose postings are
 grouped in blocks of neighbouring examples, each with the largest weight of each term. A query bounds
 every block's cosine by those maxima, scores the most promising blocks, and then only blocks whose
@@ -25,7 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The bounds of the fitted model: labelled rows and vocabulary.
-SAMPLE, TERMS, CHI2 = 10_000, 2048, 15.0
+SAMPLE, TERMS, CHI2 = 10_000, 2048, 25.0
+#: A term must occur in this share of the positive examples, and in three of them: copies of one text alone don't make a term.
+SUPPORT = 0.02
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 0.3
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
@@ -40,7 +42,8 @@ def sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
     """``doc_id, text, toxic`` of at most ``n`` labelled rows that aren't held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n)  # a top-n: no task sees more than its own rows and n
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("one")).select("one.doc_id", "one.text", "toxic")  # copies count once
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +64,7 @@ def vocabulary(picked: DataFrame, terms: int = TERMS, chi2: float = CHI2) -> tup
     by = one.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).cast("double").alias("b"))
     a, b, n = F.col("a"), F.col("b"), pos + neg
     top = (a * (neg - b) - b * (pos - a)) ** 2 * n / (pos * neg * (a + b) * (F.lit(n + 1e-9) - a - b))
-    best = by.withColumn("chi2", top).where((F.col("chi2") > chi2) & (a + b >= 3)).orderBy(F.desc("chi2"), "term").limit(terms).collect()
+    best = by.withColumn("chi2", top).where((F.col("chi2") > chi2) & (a >= max(3.0, SUPPORT * pos)) & (a / pos > b / neg)).orderBy(F.desc("chi2"), "term").limit(terms).collect()
     return [r["term"] for r in best], int(n)
 
 
