@@ -1,8 +1,12 @@
 """Operator 7 - toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled rows (``SAMPLE``, by hash of the id) gives the examples. Chi-square over
-them picks the vocabulary (``TERMS`` terms at most, commoner in positive examples, significant at ``CHI2``); document frequencies of
-that vocabulary are counted over all documents. Examples go to an inverted index whose postings are
+A bounded sample of labelled rows (``SAMPLE``, by hash of the id) gives the examples. Terms are words
+and word beginnings of 3 to 7 letters; chi-square over the examples picks the vocabulary (``TERMS`` at
+most, commoner in positive examples, significant at ``CHI2``), whose document frequencies are counted
+over all documents. A term weighs ``sqrt(tf) * idf``; words outside the vocabulary match nothing but
+count in the norm with idf 1, so that a lone term in a long text gives a small cosine.
+
+Examples go to an inverted index whose postings are
 grouped in blocks of neighbouring examples, each with the largest weight of each term. A query bounds
 every block's cosine by those maxima, scores the most promising blocks, and then only blocks whose
 bound reaches the k-th best cosine: the k nearest are exact. Votes weigh by cosine against a prior;
@@ -17,7 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 SAMPLE, TERMS, CHI2 = 10_000, 2048, 25.0
 #: A term must occur in this share of the positive examples, and in three of them: copies of one text alone don't make a term.
 SUPPORT = 0.02
-NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 0.3
+NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 1.0
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -46,11 +50,37 @@ def sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
     return found.groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("one")).select("one.doc_id", "one.text", "toxic")  # copies count once
 
 
+def stems(word: str) -> list[str]:
+    """A word's terms: itself, and its beginnings, marked by a hyphen."""
+    return [word, *(word[:n] + "-" for n in range(3, min(8, len(word))))]
+
+
+class Lookup(dict):
+    """Term numbers of a word, for words seen; bounded."""
+
+    def __init__(self, terms: list[str]):
+        self.at = {t: k for k, t in enumerate(terms)}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = tuple(self.at[t] for t in stems(word) if t in self.at)
+        if len(word) <= 32:
+            if len(self) > 300_000:
+                self.clear()
+            self[word] = found
+        return found
+
+    def count(self, text: str | None) -> tuple[Counter, int]:
+        """Counts of terms, and how many words have none."""
+        words = WORD.findall((text or "").lower())
+        hits = [t for t in map(self.__getitem__, words) if t]
+        return Counter(k for t in hits for k in t), len(words) - len(hits)
+
+
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.update((w, toxic) for w in set(WORD.findall((text or "").lower())))
+            counts.update((t, toxic) for t in {t for w in set(WORD.findall((text or "").lower())) for t in stems(w)})
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.int32()), pa.array(counts.values(), pa.int64())], names=["term", "toxic", "n"])
 
 
@@ -70,14 +100,13 @@ def vocabulary(picked: DataFrame, terms: int = TERMS, chi2: float = CHI2) -> tup
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and how many documents there are."""
-    at = {t: k for k, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(len(at) + 1, np.int64), 0
+        counts, n, lookup = np.zeros(len(terms) + 1, np.int64), 0, Lookup(terms)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                for k in {at[w] for w in WORD.findall((text or "").lower()) if w in at}:
+                for k in lookup.count(text)[0]:
                     counts[k] += 1
         counts[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["k", "n"])
@@ -89,18 +118,24 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray,
     return counts[:-1], int(counts[-1])
 
 
-def vectors(picked: DataFrame, terms: list[str]) -> list[tuple[int, int, list[int], list[int]]]:
-    """(doc_id, toxic, term numbers, counts) of the sample."""
-    at = {t: k for k, t in enumerate(terms)}
+def vectors(picked: DataFrame, terms: list[str]) -> list[tuple]:
+    """(doc_id, toxic, term numbers, counts, other words) of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(terms)
         for batch in batches:
-            counts = [Counter(at[w] for w in WORD.findall((t or "").lower()) if w in at) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["doc_id", "toxic", "k", "n"])
+            counts = [lookup.count(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c, _ in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in counts], pa.list_(pa.int32())), pa.array([o for _, o in counts], pa.int64())], names=["doc_id", "toxic", "k", "n", "others"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    rows = picked.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {kind}, toxic int, k array<int>, n array<int>").collect()  # at most SAMPLE rows of at most TERMS numbers
-    return sorted(((r["doc_id"], r["toxic"], r["k"], r["n"]) for r in rows), key=lambda r: (str(r[0]), r[1]))
+    rows = picked.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {kind}, toxic int, k array<int>, n array<int>, others long").collect()  # at most SAMPLE rows of at most TERMS numbers
+    return sorted(((r["doc_id"], r["toxic"], r["k"], r["n"], r["others"]) for r in rows), key=lambda r: (str(r[0]), r[1]))
+
+
+def weigh(idf: np.ndarray, k: list[int], n: list[int], others: int) -> np.ndarray:
+    """The vocabulary's part of a text's unit vector."""
+    w = np.sqrt(np.array(n, float)) * idf[np.array(k, int)]
+    return w / np.sqrt(w @ w + others)
 
 
 @dataclass
@@ -112,25 +147,24 @@ class Index:
     ids: list
     labels: np.ndarray
     prior: float
-    at: dict[str, int] = field(default_factory=dict)
     starts: np.ndarray = None  # of each term's postings
     docs: np.ndarray = None
     weights: np.ndarray = None
     maxima: np.ndarray = None  # term x block
     votes: tuple[np.ndarray, np.ndarray] = None  # isotonic steps: vote, calibrated score
     blank: float = 0.0
+    lookup: Lookup = None
 
     @classmethod
     def build(cls, terms: list[str], idf: np.ndarray, examples: list[tuple]) -> Index:
         unit = []
-        for _, _, k, n in examples:
-            w = (1 + np.log(np.array(n, float))) * idf[np.array(k, int)] if k else np.zeros(0)
-            unit.append((np.array(k, int), w / np.linalg.norm(w) if len(w) else w))
+        for _, _, k, n, others in examples:
+            unit.append((np.array(k, int), weigh(idf, k, n, others) if k else np.zeros(0)))
         # neighbours in a block share their heaviest term, so that block maxima are tight
         order = sorted(range(len(unit)), key=lambda i: (int(unit[i][0][np.argmax(unit[i][1])]) if len(unit[i][0]) else -1, i))
         order = [i for i in order if len(unit[i][0])]
         index = cls(terms, idf, [examples[i][0] for i in order], np.array([examples[i][1] for i in order], float), float(np.mean([e[1] for e in examples])) if examples else 0.0)
-        index.at = {t: k for k, t in enumerate(terms)}
+        index.lookup = Lookup(terms)
         k = np.concatenate([unit[i][0] for i in order]) if order else np.zeros(0, int)
         d = np.repeat(np.arange(len(order)), [len(unit[i][0]) for i in order])
         w = np.concatenate([unit[i][1] for i in order]) if order else np.zeros(0)
@@ -142,16 +176,10 @@ class Index:
         index._calibrate(examples)
         return index
 
-    def vector(self, text: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        at = self.at
-        counts = Counter(filter(None.__ne__, map(at.get, WORD.findall(text.lower()))))
-        return tuple(sorted(counts)), tuple(counts[k] for k in sorted(counts))
-
-    def nearest(self, k: tuple[int, ...], n: tuple[int, ...], own=None) -> list[tuple[float, int]]:
+    def nearest(self, k: tuple[int, ...], n: tuple[int, ...], others: int, own=None) -> list[tuple[float, int]]:
         """(cosine, example) of the nearest, nearest first, ties to the first example; none with cosine 0."""
         terms = np.array(k)
-        q = (1 + np.log(np.array(n, float))) * self.idf[terms]
-        q /= np.linalg.norm(q)
+        q = weigh(self.idf, k, n, others)
         bound = q @ self.maxima[terms]
         scored, cosines = np.zeros(len(bound), bool), np.zeros(len(self.ids))
         spans = [(self.starts[t], self.starts[t + 1]) for t in k]
@@ -180,7 +208,7 @@ class Index:
         """Isotonic steps from leave-one-out votes by pooling adjacent violators."""
         blank = [e[1] for e in examples if not e[2]]
         self.blank = (sum(blank) + self.prior) / (len(blank) + 1)
-        votes = sorted((self.vote(self.nearest(tuple(e[2]), tuple(e[3]), e[0])), e[1]) for e in examples if e[2])
+        votes = sorted((self.vote(self.nearest(e[2], e[3], e[4], e[0])), e[1]) for e in examples if e[2])
         pools: list[list[float]] = []  # first vote, hits, rows
         for v, y in votes:
             pools.append([v, float(y), 1.0])
@@ -191,10 +219,10 @@ class Index:
         self.votes = np.array([p[0] for p in pools]), np.array([(p[1] + self.prior) / (p[2] + 1) for p in pools])
 
     def score(self, text: str, own=None) -> tuple[float, list[tuple[float, int]]]:
-        k, n = self.vector(text)
-        if not k:
+        counts, others = self.lookup.count(text)
+        if not counts:
             return self.blank, []
-        near = self.nearest(k, n, own)
+        near = self.nearest(list(counts), list(counts.values()), others, own)
         vote = self.vote(near)
         if not len(self.votes[0]):
             return vote, near
