@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .embedding_dedup import op9_embedding_dedup
+from .neighbours import op3_neighbours
 from .packing import op4_packing
 from .pii import op2_pii
 from .sharding import op5_shards
 from .token_counts import op8_token_counts
 from .toxicity import op7_toxicity
+from .warc import op10_warc
 
-QUERIES = {"op2_pii": op2_pii, "op4_packing": op4_packing, "op5_shards": op5_shards, "op6_bpe": op6_bpe, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_embedding_dedup": op9_embedding_dedup}
+QUERIES = {"op2_pii": op2_pii, "op3_neighbours": op3_neighbours, "op4_packing": op4_packing, "op5_shards": op5_shards, "op6_bpe": op6_bpe, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_embedding_dedup": op9_embedding_dedup, "op10_warc": op10_warc}
 ORACLE: dict[str, str] = {}
