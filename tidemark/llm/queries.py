@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .embedding_dedup import op9_embedding_dedup
+from .minhash_dedup import op1_near_duplicates
 from .neighbours import op3_neighbours
 from .packing import op4_packing
 from .pii import op2_pii
@@ -12,5 +13,5 @@ from .token_counts import op8_token_counts
 from .toxicity import op7_toxicity
 from .warc import op10_warc
 
-QUERIES = {"op2_pii": op2_pii, "op3_neighbours": op3_neighbours, "op4_packing": op4_packing, "op5_shards": op5_shards, "op6_bpe": op6_bpe, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_embedding_dedup": op9_embedding_dedup, "op10_warc": op10_warc}
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_pii": op2_pii, "op3_neighbours": op3_neighbours, "op4_packing": op4_packing, "op5_shards": op5_shards, "op6_bpe": op6_bpe, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_embedding_dedup": op9_embedding_dedup, "op10_warc": op10_warc}
 ORACLE: dict[str, str] = {}
