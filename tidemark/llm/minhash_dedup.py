@@ -233,3 +233,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
+
+
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each group, the document with the least id stays.
+
+    Rows without a ``doc_id`` stay; of rows that share one, one stays.
+    """
+    gone = staged(near_duplicates(df, doc_id, text, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
+    out = df.join(maybe_broadcast(gone, 48), df[doc_id] == F.col("__gone"), "left_anti")
+    twice = df.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__twice")).count().where("count > 1").select("__twice")
+    if twice.isEmpty():
+        return out
+    twice = maybe_broadcast(staged(twice), 48)
+    alone = out.join(twice, out[doc_id] == F.col("__twice"), "left_anti")
+    shared = out.join(twice, out[doc_id] == F.col("__twice"), "left_semi").dropDuplicates([doc_id])
+    return alone.unionByName(shared)

@@ -261,6 +261,20 @@ def scored(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "tex
     return df.mapInArrow(run, schema)
 
 
+def filtered(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that aren't predicted toxic, with its own columns."""
+    c, d = df.columns.index(text), df.columns.index(doc_id)
+    handle = df.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = handle.value
+        for batch in batches:
+            keep = [index.score(t or "", i)[0] < THRESHOLD for t, i in zip(batch.column(c).to_pylist(), batch.column(d).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     index = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
