@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Units kept by a worker, and the longest unit worth keeping.
 CACHE_UNITS, CACHE_CHARS = 300_000, 48
@@ -119,3 +121,10 @@ def slices(texts: list[str], chars: int = 1 << 21) -> Iterable[tuple[int, int]]:
             start, total = k + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def text_slices(column: pa.Array, chars: int = 1 << 20) -> Iterable[tuple[int, int, list[str]]]:
+    """(start, end, texts) of runs of a string column of about ``chars`` bytes; null texts are empty."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in slices([range(n) for n in sizes], chars):
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]

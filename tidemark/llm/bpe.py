@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bpe import UnitEncoder, library, read_ranks, slices
+from ._bpe import UnitEncoder, library, read_ranks, slices, text_slices
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LONG_BYTES = 256
@@ -60,7 +60,7 @@ class DuckBpe:
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.long = library(path).encode_ordinary
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp(prefix="duck")})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.mkdtemp(prefix="duck")})
         ranks = self.ranks
         ids = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks], pa.string())})
         # every way to split a token in two tokens merges into it at its rank
@@ -78,7 +78,7 @@ class DuckBpe:
         """Ids of each unit, whose words are encoded together if they are new."""
         split = [self.pattern.findall(u) for u in units]
         known, todo = self.words, {}
-        if len(known) > 400_000:
+        if len(known) > 250_000:
             known.clear()
         late: dict[str, bytes] = {}
         for words in split:
@@ -138,9 +138,8 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks: str = RAN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = duck_bpe(ranks)
         for batch in batches:
-            texts = [t or "" for t in batch.column(k).to_pylist()]
-            for a, b in slices(texts):
-                raw = coder.units.encode_batch(texts[a:b])
+            for a, b, texts in text_slices(batch.column(k)):
+                raw = coder.units.encode_batch(texts)
                 ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], names=[*batch.schema.names, ids])

@@ -18,6 +18,7 @@ Null texts are empty documents of one token; repeated rows are documents of thei
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bpe import slices, unit_encoder
+from ._bpe import text_slices, unit_encoder
 from ._frames import rank_within, staged
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,18 +52,17 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     through the tokenizers library, which reads it as one id.
     """
     kind = df.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
+    with open(vocabulary) as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = unit_encoder(ranks)
-        special = [t.content for t in tokenizer(vocabulary).get_added_tokens_decoder().values()]
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                coded = encoder.encode_batch(texts[a:b])
+            for a, _, texts in text_slices(batch.column(1)):
                 owner, number, start, length, ids = [], [], [], [], []
-                for k, raw in enumerate(coded, a):
-                    if any(s in texts[k] for s in special):
-                        raw = np.array(tokenizer(vocabulary).encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+                for k, (text, raw) in enumerate(zip(texts, encoder.encode_batch(texts), strict=True), a):
+                    if any(s in text for s in special):
+                        raw = np.array(tokenizer(vocabulary).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
                     raw += END.to_bytes(4, "little")
                     n = len(raw) // 4
                     at, end, piece = 0, (n - 1) % capacity + 1, 0
