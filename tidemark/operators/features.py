@@ -37,6 +37,7 @@ class Feature:
 
     min_n = 1
     default = "identity"
+    separate = False  # True: ``frame`` makes a table of its own, joined on the object
 
     def __init_subclass__(cls, **kw):
         super().__init_subclass__(**kw)

@@ -9,7 +9,7 @@ if some feature needs it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,15 +95,22 @@ class Draft:
         return self.derive("ordered", band, lambda: F.array_sort(F.transform(series, lambda x: x["m"])))
 
 
+def flattened(features: Sequence) -> Iterator:
+    for f in features:
+        yield from flattened(f.features) if type(f).__name__ == "Extractor" else (f,)
+
+
 def extract(df: DataFrame, features: Sequence, fill: float | None = None, strict: bool = False, keys: Sequence[str] = (ID,)) -> DataFrame:
     """A row per object of a long table (``object_id, t, m, sigma, band``) with a column per feature name.
 
     A feature that isn't defined - too few observations, a zero denominator, a non-finite value - is
     null or ``fill``, band by band; ``strict`` raises instead. An empty table gives an empty one.
     """
+    features = list(flattened(features))
     draft = Draft()
-    outputs = [(name, value) for f in features for name, value in f.columns(draft)]
-    names = [n for n, _ in outputs]
+    outputs = [(name, value) for f in features if not f.separate for name, value in f.columns(draft)]
+    apart = [f for f in features if f.separate]
+    names = [n for n, _ in outputs] + [n for f in apart for n in f.names()]
     if len(set(names)) < len(names):
         raise ValueError("two features have the same name: " + ", ".join(sorted({n for n in names if names.count(n) > 1})))
     if not draft.aggregates:
@@ -112,8 +119,12 @@ def extract(df: DataFrame, features: Sequence, fill: float | None = None, strict
     for tier in draft.tiers:
         if tier:
             out = out.withColumns(tier)
+    for f in apart:  # their own aggregates, on the same key
+        out = out.join(f.frame(df, keys), list(keys), "left")
+        outputs += [(n, F.col(f"`{n}`")) for n in f.names()]
+    order = {n: k for k, n in enumerate(n for f in features for n in f.names())}
     done = []
-    for name, value in outputs:
+    for name, value in sorted(outputs, key=lambda x: order[x[0]]):
         value = finite(value.cast("double"))
         if strict:
             value = F.coalesce(value, F.raise_error(F.lit(f"{name} is not defined for an object")).cast("double"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import features as fs
+from .operators.binning import Bins, Bootstrap
+from .operators.dmdt import DmDt
 from .plans.planner import extract
 from .sources.curves import events
 
@@ -131,3 +134,24 @@ for t, x in (("arcsinh", "asinh(avg(m))"), ("clipped_lg", "log10(avg(m))"), ("id
     feature(f"transform_{t}", fs.Mean(transform=t), sql=x)
 FLAGSHIP = (fs.Amplitude(), fs.Mean(), fs.StandardDeviation(), fs.Eta())
 feature("flagship", *FLAGSHIP, sql={"amplitude": "(max(m)-min(m))/2", "mean": "avg(m)", "standard_deviation": "stddev_samp(m)", "eta": "sum(dm*dm)/((count(*)-1)*var_samp(m))"}, source="ord", ctes=O2)
+
+# Meta-features, maps, reductions: tables of their own
+BIN = f"""bin AS (SELECT object_id, (floor((t-0.5)/2)+0.5)*2+0.5 AS t, sum(m/(sigma*sigma))/sum(1/(sigma*sigma)) AS m, sqrt(count(*)/sum(1/(sigma*sigma))) AS sigma FROM lc GROUP BY object_id, floor((t-0.5)/2))"""
+feature("bins_extractor", Bins(features=(fs.Amplitude(), fs.Mean(), fs.ObservationCount(), fs.WeightedMean()), window=2.0, offset=0.5), sql={f"bins_window2.0_offset0.5_{n}": x for n, x in (("amplitude", "(max(m)-min(m))/2"), ("mean", "avg(m)"), ("observation_count", "count(*)"), ("weighted_mean", "sum(m/(sigma*sigma))/sum(1/(sigma*sigma))"))}, source="bin", ctes=(LC, BIN))
+DRAW = "(b*1000003 + i*7919 + 326532) % 2147483647"
+for _ in range(3):
+    DRAW = f"((({DRAW})*48271 + 11) % 2147483647)"
+feature("bootstrap", Bootstrap(features=(fs.Mean(), fs.Amplitude()), n_bootstrap=20, seed=3), sql={"bootstrap_mean": "any_value(v0)", "bootstrap_amplitude": "any_value(v1)", "bootstrap_mean_sigma": "stddev_samp(b0)", "bootstrap_amplitude_sigma": "stddev_samp(b1)"}, source="many JOIN (SELECT object_id, avg(m) AS v0, (max(m)-min(m))/2 AS v1 FROM lc GROUP BY object_id) USING (object_id)", ctes=(LC, ORD, f"""many AS (SELECT object_id, b, avg(m) AS b0, (max(m)-min(m))/2 AS b1 FROM (SELECT o.object_id, b, ({DRAW}) % n AS pos FROM (SELECT object_id, k-1 AS i, n FROM ord) o, range(1, 21) r(b)) d JOIN ord USING (object_id) WHERE ord.k = pos + 1 GROUP BY object_id, b)"""))
+MAP = DmDt.from_borders(-1.0, 1.5, 300.0, 5, 6)
+PAIRS = """cells AS (SELECT object_id, floor((log10(dt)+1.0::DOUBLE)/(2.5::DOUBLE/5))::INT AS i, CASE WHEN dm >= -300 AND dm < 300 THEN floor((dm+300)/100)::INT END AS j
+ FROM (SELECT a.object_id, b.t-a.t AS dt, b.m-a.m AS dm FROM lc a JOIN lc b ON a.object_id=b.object_id AND a.t<b.t) WHERE dt >= 0.1::DOUBLE AND dt < pow(10::DOUBLE, 1.5::DOUBLE))"""
+QUERIES["dmdt_points"] = lambda spark, sf_dir: rounded(MAP.points(events(spark, sf_dir)))
+ORACLE["dmdt_points"] = f"WITH {LC}, {PAIRS} SELECT object_id, i, j, {sql_round('count(*)')} AS v FROM cells WHERE j IS NOT NULL GROUP BY object_id, i, j"
+QUERIES["dmdt_count_dt"] = lambda spark, sf_dir: MAP.count_dt(events(spark, sf_dir))
+ORACLE["dmdt_count_dt"] = f"WITH {LC}, {PAIRS} SELECT object_id, i, count(*) AS n FROM cells GROUP BY object_id, i"
+NORM = "by_dt AS (SELECT object_id, i, j, count(*) / sum(count(*)) OVER (PARTITION BY object_id, i) AS v FROM cells GROUP BY object_id, i, j)"
+QUERIES["dmdt_norm_dt"] = lambda spark, sf_dir: rounded(replace(MAP, norm=("dt",)).points(events(spark, sf_dir)))
+ORACLE["dmdt_norm_dt"] = f"WITH {LC}, {PAIRS}, {NORM} SELECT object_id, i, j, {sql_round('v')} AS v FROM by_dt WHERE j IS NOT NULL"
+QUERIES["dmdt_norm_max"] = lambda spark, sf_dir: rounded(replace(MAP, norm=("dt", "max")).points(events(spark, sf_dir)))
+ORACLE["dmdt_norm_max"] = f"WITH {LC}, {PAIRS}, {NORM} SELECT object_id, i, j, {sql_round('v / max(v) OVER (PARTITION BY object_id)')} AS v FROM by_dt WHERE j IS NOT NULL"
+QUERIES["dmdt_gausses"] = lambda spark, sf_dir: MAP.gausses(events(spark, sf_dir))
