@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import features as fs
 from .operators.binning import Bins, Bootstrap
 from .operators.dmdt import DmDt
+from .operators.parametric import BazinFit, LinexpFit, Periodogram, VillarFit, freq_power
 from .plans.planner import extract
 from .sources.curves import events
 
@@ -155,3 +156,13 @@ ORACLE["dmdt_norm_dt"] = f"WITH {LC}, {PAIRS}, {NORM} SELECT object_id, i, j, {s
 QUERIES["dmdt_norm_max"] = lambda spark, sf_dir: rounded(replace(MAP, norm=("dt", "max")).points(events(spark, sf_dir)))
 ORACLE["dmdt_norm_max"] = f"WITH {LC}, {PAIRS}, {NORM} SELECT object_id, i, j, {sql_round('v / max(v) OVER (PARTITION BY object_id)')} AS v FROM by_dt WHERE j IS NOT NULL"
 QUERIES["dmdt_gausses"] = lambda spark, sf_dir: MAP.gausses(events(spark, sf_dir))
+
+# Numeric kernels: no SQL
+feature("periodogram_peaks", Periodogram(peaks=2, fast=False))
+feature("periodogram_fast", Periodogram(peaks=1, fast=True))
+feature("periodogram_phase_features", Periodogram(features=("standard_deviation", "beyond_1_std"), phase_features=("lafler_kinman_string_length", "amplitude")))
+feature("periodogram_multiband", Periodogram(bands=BANDS, fast=False))
+QUERIES["periodogram_freq_power"] = lambda spark, sf_dir: rounded(freq_power(events(spark, sf_dir), Periodogram(fast=False, max_freq_factor=0.2)))
+feature("bazin_fit", BazinFit(mcmc_niter=16))
+feature("linexp_fit", LinexpFit(mcmc_niter=16))
+feature("villar_fit", VillarFit(mcmc_niter=16, transform=True))
