@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from .operators import features as fs
 from .operators.binning import Bins, Bootstrap
 from .operators.dmdt import DmDt
+from .operators.rainbow import RainbowFit
+from .operators.reductions import reduce_series, similar
 from .operators.parametric import BazinFit, LinexpFit, Periodogram, VillarFit, freq_power
 from .plans.planner import extract
-from .sources.curves import events
+from .sources.curves import days, events, long_form, validated
+from .streaming.streams import run_once, streaming_bins
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,3 +169,47 @@ QUERIES["periodogram_freq_power"] = lambda spark, sf_dir: rounded(freq_power(eve
 feature("bazin_fit", BazinFit(mcmc_niter=16))
 feature("linexp_fit", LinexpFit(mcmc_niter=16))
 feature("villar_fit", VillarFit(mcmc_niter=16, transform=True))
+for how in ("beginning", "end", "middle", "non-overlapping-windows"):
+    key = "windows_non_overlapping" if "-" in how else f"reduction_{how}"
+
+    def reduction(spark, sf_dir, how=how):
+        cut = reduce_series(events(spark, sf_dir), 20, how)
+        mean = F.aggregate("lc", F.lit(0.0), lambda s, x: s + x["m"]) / F.size("lc")
+        return rounded(cut.select("object_id", "step", F.size("lc").cast("long").alias("n_obs"), mean.alias("mean_m"), F.col("lc")[0]["t"].alias("first_t")))
+
+    QUERIES[key] = reduction
+    part = {"beginning": ("0", "k<=20"), "end": ("0", "k>n-20"), "middle": ("0", "k>greatest(0,least(n//2-10,n-20)) AND k<=greatest(0,least(n//2-10,n-20))+20"), "non-overlapping-windows": ("(k-1)//20", "true")}[how]
+    ORACLE[key] = f"WITH {LC}, {ORD} SELECT object_id, ({part[0]})::INT AS step, count(*) AS n_obs, {sql_round('avg(m)')} AS mean_m, {sql_round('min(t)')} AS first_t FROM ord WHERE {part[1]} GROUP BY object_id, ({part[0]})::INT"
+
+QUERIES["embedding_topk"] = lambda spark, sf_dir: (lambda e: rounded(similar(e, e.where("vec_id % 50 = 0"), 5), ("query_id", "rank", "vec_id")))(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+ORACLE["embedding_topk"] = f"""SELECT query_id, rank::INT AS rank, vec_id, {sql_round('c')} AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 9) AS c FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 5"""
+QUERIES["validate"] = lambda spark, sf_dir: validated(events(spark, sf_dir)).groupBy("object_id").agg(F.count(F.lit(1)).alias("n_valid"))
+ORACLE["validate"] = "SELECT user_id AS object_id, count(*) AS n_valid FROM events GROUP BY user_id"
+
+
+def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as series of a supplier, equal days averaged."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return validated(long_form(df, "l_suppkey", days(F.col("l_shipdate")), "l_extendedprice", F.lit(10.0), "l_returnflag"), duplicates="mean")
+
+
+QUERIES["duplicates_mean"] = lambda spark, sf_dir: rounded(extract(supplier_series(spark, sf_dir), [fs.Mean(), fs.ObservationCount(), fs.Eta(bands=("A", "N"))]), places=3)
+SUP = "day AS (SELECT l_suppkey AS object_id, l_returnflag AS band, epoch_us(l_shipdate)/86400000000.0::DOUBLE AS t, avg(l_extendedprice::DOUBLE) AS m FROM lineitem GROUP BY 1,2,3), stp AS (SELECT *, m - lag(m) OVER (PARTITION BY object_id, band ORDER BY t) AS dm FROM day)"
+ORACLE["duplicates_mean"] = f"WITH {SUP} SELECT object_id, {sql_round('avg(m)', 3)} AS mean, {sql_round('count(*)', 3)} AS observation_count, " + ", ".join(f"""{sql_round(f"sum(dm*dm) FILTER (band='{b}')/((count(*) FILTER (band='{b}')-1)*var_samp(m) FILTER (band='{b}'))", 3)} AS "eta_{b}" """ for b in "AN") + " FROM stp GROUP BY object_id"
+QUERIES["few_observations"] = lambda spark, sf_dir: rounded(extract(long_form(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey", days(F.col("o_orderdate")), "o_totalprice").groupBy("object_id", "t").agg(F.avg("m").alias("m"), F.lit(1.0).alias("sigma"), F.lit(None).cast("string").alias("band")), [fs.Kurtosis(), fs.Skew(), fs.ObservationCount()], fill=-1.0), places=3)
+ORACLE["few_observations"] = f"WITH o AS (SELECT o_custkey AS object_id, o_orderdate AS t, avg(o_totalprice::DOUBLE) AS m FROM orders GROUP BY 1, 2) SELECT object_id, {sql_round('coalesce(CASE WHEN count(*)>=4 THEN kurtosis(m) END, -1)', 3)} AS kurtosis, {sql_round('coalesce(CASE WHEN count(*)>=3 THEN skewness(m) END, -1)', 3)} AS skew, {sql_round('count(*)', 3)} AS observation_count FROM o GROUP BY object_id"
+RAINBOW = RainbowFit.from_angstrom({"view": 4770.0, "click": 6231.0, "purchase": 7625.0}, with_baseline=False, bolometric="sigmoid", temperature="constant")
+QUERIES["rainbow_fit"] = lambda spark, sf_dir: extract(events(spark, sf_dir), [RAINBOW])
+
+
+def binned_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of events read as a stream and binned by day, all that is there."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    rows = stream.select(F.col("user_id").alias("object_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("m"), (F.lit(0.05) * F.col("value") + F.lit(0.1)).alias("sigma"))
+    return rounded(run_once(streaming_bins(rows, "1 day"), "binned_stream", "complete").select("object_id", F.unix_micros("start").alias("start_us"), "m", "sigma", "n"))
+
+
+QUERIES["streaming_bins"] = binned_stream
+ORACLE["streaming_bins"] = f"WITH {LC} SELECT object_id, ((floor(t)+19723)*86400000000)::BIGINT AS start_us, {sql_round('sum(m/(sigma*sigma))/sum(1/(sigma*sigma))')} AS m, {sql_round('sqrt(count(*)/sum(1/(sigma*sigma)))')} AS sigma, count(*) AS n FROM lc GROUP BY object_id, floor(t)"
