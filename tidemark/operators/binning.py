@@ -57,7 +57,7 @@ class Bins(Feature):
         return out.toDF(*keys, *self.names())
 
 
-#: Multiplier and modulus of the congruential generator that draws resamples, alike in Spark and in SQL.
+#: Multiplier and modulus of the generator that draws resamples, alike in Spark and in SQL; squaring breaks its lattice.
 FACTOR, MODULUS = 48271, 2147483647
 
 
@@ -66,6 +66,7 @@ def draw(seed: int, b: Column, i: Column, n: Column) -> Column:
     x = (b * 1000003 + i * 7919 + F.lit(seed * 104729 + 12345)) % MODULUS
     for _ in range(3):
         x = (x * FACTOR + 11) % MODULUS
+        x = (x * x + x) % MODULUS
     return (x % n).cast("int")
 
 

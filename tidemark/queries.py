@@ -142,10 +142,11 @@ feature("flagship", *FLAGSHIP, sql={"amplitude": "(max(m)-min(m))/2", "mean": "a
 # Meta-features, maps, reductions: tables of their own
 BIN = f"""bin AS (SELECT object_id, (floor((t-0.5)/2)+0.5)*2+0.5 AS t, sum(m/(sigma*sigma))/sum(1/(sigma*sigma)) AS m, sqrt(count(*)/sum(1/(sigma*sigma))) AS sigma FROM lc GROUP BY object_id, floor((t-0.5)/2))"""
 feature("bins_extractor", Bins(features=(fs.Amplitude(), fs.Mean(), fs.ObservationCount(), fs.WeightedMean()), window=2.0, offset=0.5), sql={f"bins_window2.0_offset0.5_{n}": x for n, x in (("amplitude", "(max(m)-min(m))/2"), ("mean", "avg(m)"), ("observation_count", "count(*)"), ("weighted_mean", "sum(m/(sigma*sigma))/sum(1/(sigma*sigma))"))}, source="bin", ctes=(LC, BIN))
-DRAW = "(b*1000003 + i*7919 + 326532) % 2147483647"
+DRAW = "[(b*1000003 + i*7919 + 326532) % 2147483647]"
 for _ in range(3):
-    DRAW = f"((({DRAW})*48271 + 11) % 2147483647)"
-feature("bootstrap", Bootstrap(features=(fs.Mean(), fs.Amplitude()), n_bootstrap=20, seed=3), sql={"bootstrap_mean": "any_value(v0)", "bootstrap_amplitude": "any_value(v1)", "bootstrap_mean_sigma": "stddev_samp(b0)", "bootstrap_amplitude_sigma": "stddev_samp(b1)"}, source="many JOIN (SELECT object_id, avg(m) AS v0, (max(m)-min(m))/2 AS v1 FROM lc GROUP BY object_id) USING (object_id)", ctes=(LC, ORD, f"""many AS (SELECT object_id, b, avg(m) AS b0, (max(m)-min(m))/2 AS b1 FROM (SELECT o.object_id, b, ({DRAW}) % n AS pos FROM (SELECT object_id, k-1 AS i, n FROM ord) o, range(1, 21) r(b)) d JOIN ord USING (object_id) WHERE ord.k = pos + 1 GROUP BY object_id, b)"""))
+    DRAW = f"list_transform({DRAW}, lambda x: (x*48271 + 11) % 2147483647)"
+    DRAW = f"list_transform({DRAW}, lambda x: (x*x + x) % 2147483647)"
+feature("bootstrap", Bootstrap(features=(fs.Mean(), fs.Amplitude()), n_bootstrap=20, seed=3), sql={"bootstrap_mean": "any_value(v0)", "bootstrap_amplitude": "any_value(v1)", "bootstrap_mean_sigma": "stddev_samp(b0)", "bootstrap_amplitude_sigma": "stddev_samp(b1)"}, source="many JOIN (SELECT object_id, avg(m) AS v0, (max(m)-min(m))/2 AS v1 FROM lc GROUP BY object_id) USING (object_id)", ctes=(LC, ORD, f"""many AS (SELECT object_id, b, avg(m) AS b0, (max(m)-min(m))/2 AS b1 FROM (SELECT o.object_id, b, {DRAW}[1] % n AS pos FROM (SELECT object_id, k-1 AS i, n FROM ord) o, range(1, 21) r(b)) d JOIN ord USING (object_id) WHERE ord.k = pos + 1 GROUP BY object_id, b)"""))
 MAP = DmDt.from_borders(-1.0, 1.5, 300.0, 5, 6)
 PAIRS = """cells AS (SELECT object_id, floor((log10(dt)+1.0::DOUBLE)/(2.5::DOUBLE/5))::INT AS i, CASE WHEN dm >= -300 AND dm < 300 THEN floor((dm+300)/100)::INT END AS j
  FROM (SELECT a.object_id, b.t-a.t AS dt, b.m-a.m AS dm FROM lc a JOIN lc b ON a.object_id=b.object_id AND a.t<b.t) WHERE dt >= 0.1::DOUBLE AND dt < pow(10::DOUBLE, 1.5::DOUBLE))"""
@@ -213,3 +214,14 @@ def binned_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["streaming_bins"] = binned_stream
 ORACLE["streaming_bins"] = f"WITH {LC} SELECT object_id, ((floor(t)+19723)*86400000000)::BIGINT AS start_us, {sql_round('sum(m/(sigma*sigma))/sum(1/(sigma*sigma))')} AS m, {sql_round('sqrt(count(*)/sum(1/(sigma*sigma)))')} AS sigma, count(*) AS n FROM lc GROUP BY object_id, floor(t)"
+
+# Whole catalogues in one extraction, for the benchmark and for SQL
+TIMES = (fs.Duration(), fs.MaximumTimeInterval(), fs.MinimumTimeInterval(), fs.ObservationCount(), fs.TimeMean(), fs.TimeStandardDeviation())
+feature("time_sampling_features", *TIMES, sql={"duration": "max(t)-min(t)", "maximum_time_interval": "max(dt)", "minimum_time_interval": "min(dt)", "observation_count": "count(*)", "time_mean": "avg(t)", "time_standard_deviation": "stddev_samp(t)"}, source="ord", ctes=O2)
+feature("linear_features", fs.LinearFit(), fs.LinearTrend(), fs.ParabolaFit())
+VARIABILITY = (
+    fs.Amplitude(), fs.AndersonDarlingNormal(), fs.BeyondNStd(), fs.BiweightScale(), fs.Chi2Pvar(), fs.Cusum(), fs.Eta(), fs.EtaE(), fs.ExcessVariance(), fs.InterPercentileRange(), fs.Kurtosis(),
+    fs.LaflerKinmanStringLength(), fs.MagnitudePercentageRatio(), fs.MaximumSlope(), fs.Mean(), fs.MeanVariance(), fs.Median(), fs.MedianAbsoluteDeviation(), fs.MedianBufferRangePercentage(), fs.OtsuSplit(),
+    fs.PercentAmplitude(), fs.PercentDifferenceMagnitudePercentile(), fs.QnScale(), fs.ReducedChi2(), fs.Roms(), fs.Skew(), fs.StandardDeviation(), fs.StetsonK(), fs.WeightedMean(),
+)
+feature("all_variability_features", *VARIABILITY)
