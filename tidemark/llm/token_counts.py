@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._bpe import slices, unit_encoder
+from ._bpe import text_slices, unit_encoder
+from ._frames import staged
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Lengths in a block of the two-level sums.
@@ -31,9 +32,8 @@ def token_lengths(df: DataFrame, text: str = "text", name: str = "n_tokens", ran
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = unit_encoder(ranks)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encoder.encode_batch(texts[a:b])], pa.int64())], names=[name])
+            for _, _, texts in text_slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encoder.encode_batch(texts)], pa.int64())], names=[name])
 
     return df.select(F.col(text)).mapInArrow(run, f"{name} long")
 
@@ -44,7 +44,7 @@ def histogram(lengths: DataFrame, name: str = "n_tokens") -> DataFrame:
 
 
 def length_table(hist: DataFrame) -> DataFrame:
-    """Per length L of the histogram: documents and tokens below, at and from L, and the total cut to L."""
+    """Per length L of the histogram (staged, as it is read three times): documents and tokens below, at and from L, and the total cut to L."""
     h = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
@@ -72,4 +72,4 @@ def length_at_quantile(table: DataFrame, q: float) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return length_table(histogram(token_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return length_table(staged(histogram(token_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))))

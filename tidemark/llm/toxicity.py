@@ -3,14 +3,15 @@
 A bounded sample of labelled rows (``SAMPLE``, by hash of the id) gives the examples. Terms are words
 and word beginnings of 3 to 7 letters; chi-square over the examples picks the vocabulary (``TERMS`` at
 most, commoner in positive examples, significant at ``CHI2``), whose document frequencies are counted
-over all documents. A term weighs ``sqrt(tf) * idf``; words outside the vocabulary match nothing but
-count in the norm with idf 1, so that a lone term in a long text gives a small cosine.
+over all documents. Of a word's terms the one with the largest chi-square counts. A term weighs
+``sqrt(tf) * idf``; words outside the vocabulary match nothing but count in the norm with idf 1, so
+that a lone term in a long text gives a small cosine.
 
-Examples go to an inverted index whose postings are
-grouped in blocks of neighbouring examples, each with the largest weight of each term. A query bounds
-every block's cosine by those maxima, scores the most promising blocks, and then only blocks whose
-bound reaches the k-th best cosine: the k nearest are exact. Votes weigh by cosine against a prior;
-the share is calibrated by isotonic regression on leave-one-out votes of the sample.
+Examples go to an inverted index whose postings are grouped in blocks of neighbouring examples, each
+with the largest weight of each term. A query bounds every block's cosine by those maxima, scores the
+most promising blocks, and then only blocks whose bound reaches the k-th best cosine: the k nearest
+are exact. Votes weigh by cosine against a prior; the share is calibrated by isotonic regression on
+leave-one-out votes of the sample.
 
 An example never votes on its own document. Null and empty texts, and texts without a term of the
 vocabulary, get the calibrated rate of such examples. Without labels every score is 0.
@@ -56,13 +57,13 @@ def stems(word: str) -> list[str]:
 
 
 class Lookup(dict):
-    """Term numbers of a word, for words seen; bounded."""
+    """The number of a word's term, for words seen; bounded. Of several, the one most tied to the label stands for the word."""
 
     def __init__(self, terms: list[str]):
         self.at = {t: k for k, t in enumerate(terms)}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.at[t] for t in stems(word) if t in self.at)
+        found = tuple(sorted(self.at[t] for t in stems(word) if t in self.at)[:1])
         if len(word) <= 32:
             if len(self) > 300_000:
                 self.clear()
