@@ -354,8 +354,10 @@ def _otsu(d: Draft, b: str | None) -> Column:
     x = d.ordered(b)
     n = d.n(b)
 
+    # columns of their own: inside a lambda they would be summed again for every element
+    whole = d.derive("sum of ordered", b, lambda: total(x, lambda v: v), 2)
+
     def make() -> Column:
-        whole = total(x, lambda v: v)
         start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("s"), F.lit(-1.0).alias("best"), F.lit(0).alias("at"))
 
         def step(a: Column, v: Column) -> Column:
@@ -367,7 +369,7 @@ def _otsu(d: Draft, b: str | None) -> Column:
 
         return F.aggregate(x, start, step, lambda a: a["at"])
 
-    return d.derive("otsu", b, make, 2)
+    return d.derive("otsu", b, make, 3)
 
 
 class OtsuSplit(Feature):
@@ -378,15 +380,16 @@ class OtsuSplit(Feature):
 
     def values(self, d, b):
         x, at, n = d.ordered(b), _otsu(d, b), d.n(b)
-        low = d.derive("otsu low", b, lambda: F.slice(x, 1, F.greatest(at, F.lit(0))), 3)
-        high = d.derive("otsu high", b, lambda: F.slice(x, F.greatest(at, F.lit(0)) + 1, F.size(x)), 3)
+        low = d.derive("otsu low", b, lambda: F.slice(x, 1, F.greatest(at, F.lit(0))), 4)
+        high = d.derive("otsu high", b, lambda: F.slice(x, F.greatest(at, F.lit(0)) + 1, F.size(x)), 4)
         mean = lambda s: div(total(s, lambda v: v), F.size(s).cast("double"))
+        mean_low = d.derive("otsu mean low", b, lambda: mean(low), 5)
+        mean_high = d.derive("otsu mean high", b, lambda: mean(high), 5)
 
-        def std(s: Column) -> Column:
-            centre = mean(s)
+        def std(s: Column, centre: Column) -> Column:
             return F.when(F.size(s) == 1, F.lit(0.0)).otherwise(F.sqrt(div(total(s, lambda v: (v - centre) * (v - centre)), F.size(s).cast("double") - 1)))
 
-        return (mean(high) - mean(low), std(low), std(high), div(at.cast("double"), n))
+        return (mean_high - mean_low, std(low, mean_low), std(high, mean_high), div(at.cast("double"), n))
 
 
 class OtsuThreshold(Feature):

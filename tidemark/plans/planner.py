@@ -34,7 +34,7 @@ class Draft:
 
     def __init__(self):
         self.aggregates: dict[str, Column] = {}
-        self.tiers: list[dict[str, Column]] = [{}, {}, {}, {}]
+        self.tiers: list[dict[str, Column]] = [{} for _ in range(6)]
         self.names: dict[tuple, str] = {}
 
     def _name(self, *key) -> tuple[str, bool]:

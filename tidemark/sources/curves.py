@@ -101,6 +101,7 @@ def validated(df: DataFrame, duplicates: str = "error", bands: Sequence[str] | N
     if bands is not None:
         known = F.coalesce(F.col("band").isin(*bands), F.lit(False))
         out = out.where(known) if unknown == "ignore" else out.withColumn("band", F.when(known, F.col("band")).otherwise(F.raise_error(F.lit("unknown band")).cast("string")))
+    out = out.repartition("object_id")  # one exchange serves this and what follows by object
     key = ["object_id", "band", "t"]
     if duplicates == "mean":
         w = 1 / (F.col("sigma") * F.col("sigma"))
