@@ -61,13 +61,13 @@ class Bins(Feature):
 FACTOR, MODULUS = 48271, 2147483647
 
 
-def draw(seed: int, b: Column, i: Column, n: Column) -> Column:
-    """A place in 0..n-1 for observation ``i`` of resample ``b``."""
-    x = (b * 1000003 + i * 7919 + F.lit(seed * 104729 + 12345)) % MODULUS
+def draws(seed: int, b: Column, n: Column) -> Column:
+    """Places in 1..n of resample ``b``, one per observation. Each step is bound by its own ``transform``, not repeated in the next."""
+    x = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: (b * 1000003 + i * 7919 + F.lit(seed * 104729 + 12345)) % MODULUS)
     for _ in range(3):
-        x = (x * FACTOR + 11) % MODULUS
-        x = (x * x + x) % MODULUS
-    return (x % n).cast("int")
+        x = F.transform(x, lambda v: (v * FACTOR + 11) % MODULUS)
+        x = F.transform(x, lambda v: (v * v + v) % MODULUS)
+    return F.transform(x, lambda v: (v % n + 1).cast("int"))
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -118,7 +118,7 @@ class Bootstrap(Feature):
         series = source.groupBy(*strata).agg(F.array_sort(F.collect_list(F.struct("t", "m", "sigma", "band"))).alias("s"))
         tries = self.n_bootstrap * (self.max_attempts_factor if self.bands and self.band_strategy == "rejection" else 1)
         drawn = series.withColumn("__b", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(tries).cast("long")))).withColumn("n", F.size("s").cast("long"))
-        picked = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.try_element_at(F.col("s"), draw(self.seed, F.col("__b"), i, F.col("n")) + 1))
+        picked = F.transform(draws(self.seed, F.col("__b"), F.col("n")), lambda k: F.try_element_at(F.col("s"), k))
         rows = drawn.select(*keys, "__b", F.explode(picked).alias("x")).select(*keys, "__b", "x.t", "x.m", "x.sigma", "x.band")
         many = extract(rows, inner, keys=(*keys, "__b"))
         if tries > self.n_bootstrap:  # the first resamples in which all is defined
