@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units kept by a worker, and the longest unit worth keeping.
-CACHE_UNITS, CACHE_CHARS = 300_000, 48
+CACHE_UNITS, CACHE_CHARS = 200_000, 48
 #: White space but the space and the line feed.
 OTHER_SPACE = re.compile(r"[^\S \n]")
 

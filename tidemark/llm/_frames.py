@@ -12,12 +12,28 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows of texts that travel to a Python worker at a time; texts may be long, and each batch is held several times.
+BATCH_ROWS = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+_own: dict[str, str] = {}  # by application, where no folder is set
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; on one machine a temporary one where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-")
+        _own[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 

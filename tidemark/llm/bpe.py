@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bpe import UnitEncoder, library, read_ranks, slices, text_slices
+from ._frames import modest_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LONG_BYTES = 256
@@ -78,7 +79,7 @@ class DuckBpe:
         """Ids of each unit, whose words are encoded together if they are new."""
         split = [self.pattern.findall(u) for u in units]
         known, todo = self.words, {}
-        if len(known) > 250_000:
+        if len(known) > 150_000:
             known.clear()
         late: dict[str, bytes] = {}
         for words in split:
@@ -132,6 +133,7 @@ def duck_bpe(path: str) -> DuckBpe:
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks: str = RANKS) -> DataFrame:
     """``df`` with the ids of its texts as ``array<int>`` in column ``ids``."""
+    modest_batches(df.sparkSession)
     df = df.drop(ids) if ids != text else df
     k = df.columns.index(text)
 
@@ -149,6 +151,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks: str = RAN
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", ranks: str = RANKS) -> DataFrame:
     """``df`` with the bytes that its ids stand for as ``binary`` in column ``decoded``."""
+    modest_batches(df.sparkSession)
     df = df.drop(decoded)
     k = df.columns.index(ids)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bpe import text_slices, unit_encoder
-from ._frames import rank_within, staged
+from ._frames import modest_batches, rank_within, staged
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,6 +51,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     ``ranks`` holds the same vocabulary as ``vocabulary``; texts that spell a special token go
     through the tokenizers library, which reads it as one id.
     """
+    modest_batches(df.sparkSession)
     kind = df.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     with open(vocabulary) as f:
         special = [t["content"] for t in json.load(f)["added_tokens"]]

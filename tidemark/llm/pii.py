@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._frames import modest_batches
 from .boosting import BoostedTrees, platt
 
 KINDS = ("email", "ip", "card", "phone")
@@ -209,6 +210,7 @@ SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), (
 def detect(df: DataFrame, text: str = "text", spans: str = "spans", model: Model | None = None) -> DataFrame:
     """``df`` with the spans of its texts (kind, start, end, base), by kind as listed and then by start."""
     model = model or default_model()
+    modest_batches(df.sparkSession)
     df = df.drop(spans)
     k = df.columns.index(text)
 
@@ -234,6 +236,7 @@ def redact_text(text: str, spans: list[Span]) -> str:
 def redact(df: DataFrame, text: str = "text", n_chars: str = "n_chars", model: Model | None = None) -> DataFrame:
     """``df`` with personal data in its texts replaced; ``n_chars``, if there, is the new length. Null texts stay null."""
     model = model or default_model()
+    modest_batches(df.sparkSession)
     k = df.columns.index(text)
     c = df.columns.index(n_chars) if n_chars in df.columns else None
 

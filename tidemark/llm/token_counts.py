@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bpe import text_slices, unit_encoder
-from ._frames import staged
+from ._frames import modest_batches, staged
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Lengths in a block of the two-level sums.
@@ -35,6 +35,7 @@ def token_lengths(df: DataFrame, text: str = "text", name: str = "n_tokens", ran
             for _, _, texts in text_slices(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encoder.encode_batch(texts)], pa.int64())], names=[name])
 
+    modest_batches(df.sparkSession)
     return df.select(F.col(text)).mapInArrow(run, f"{name} long")
 
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._frames import modest_batches
+
 #: The bounds of the fitted model: labelled rows and vocabulary.
 SAMPLE, TERMS, CHI2 = 10_000, 2048, 25.0
 #: A term must occur in this share of the positive examples, and in three of them: copies of one text alone don't make a term.
@@ -65,7 +67,7 @@ class Lookup(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         found = tuple(sorted(self.at[t] for t in stems(word) if t in self.at)[:1])
         if len(word) <= 32:
-            if len(self) > 300_000:
+            if len(self) > 100_000:
                 self.clear()
             self[word] = found
         return found
@@ -233,6 +235,7 @@ class Index:
 
 def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Index:
     """The index over a bounded sample of ``labels`` (``doc_id, toxic``) with texts and frequencies from ``docs``."""
+    modest_batches(docs.sparkSession)
     picked = sample(docs, labels, n)
     terms, _ = vocabulary(picked)
     df, total = document_frequencies(docs, terms)
@@ -246,6 +249,7 @@ EVIDENCE_ARROW = pa.list_(pa.struct([("doc_id", pa.string()), ("toxic", pa.int32
 
 def scored(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with ``score``, ``predicted`` and ``evidence`` (the three nearest examples); such columns are replaced."""
+    modest_batches(df.sparkSession)
     df = df.drop("score", "predicted", "evidence")
     c, d = df.columns.index(text), df.columns.index(doc_id)
     handle = df.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE and TERMS
@@ -264,6 +268,7 @@ def scored(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "tex
 
 def filtered(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that aren't predicted toxic, with its own columns."""
+    modest_batches(df.sparkSession)
     c, d = df.columns.index(text), df.columns.index(doc_id)
     handle = df.sparkSession.sparkContext.broadcast(index)
 
