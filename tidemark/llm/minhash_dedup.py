@@ -4,8 +4,8 @@ Documents with equal shingle sets are one class. A class's signature has one min
 hashed set (one permutation hashing; an empty bin borrows from a bin drawn by hash). ``TREES`` sorted
 orders read disjoint runs of the signature; classes that share a prefix of a tree's order are
 neighbours. The prefix asked for adapts to the region: where more than ``CROWD`` classes share the
-first ``SHALLOW`` places, all ``DEEP`` places must agree. Even at full depth a pair at the threshold
-fails to meet in every tree with a probability of 4e-5 at 0.85 (``(1 - s^DEEP)^TREES``).
+first ``SHALLOW`` places, more must agree: as many, ``DEEP`` at most, as keep the chance that a pair at
+the threshold meets in no tree, ``(1 - s^depth)^TREES``, under ``MISS`` (8 at 0.85, 6 at 0.8).
 
 Neighbours over all trees form families, which bound where links can be. Every family is compared
 whole, in units of two bounded tiles (:mod:`._tiles`) over bands of set size that can still be
@@ -30,12 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import drop_staged, maybe_broadcast, staged
+from ._frames import drop_staged, maybe_broadcast, modest_batches, staged
 from ._graph import components
 from ._shingles import U, mix, shingle_sets
 from ._tiles import units
 
 TREES, DEEP, SHALLOW, CROWD = 32, 8, 5, 24
+MISS = 1e-4
 BINS = TREES * DEEP
 TILE_ROWS, TILE_SHINGLES = 1024, 1 << 18
 
@@ -79,6 +80,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out[:, order]
 
 
+def full_depth(percent: int) -> int:
+    """Places that must agree in crowded regions."""
+    s = percent / 100
+    return max([SHALLOW + 1, *[d for d in range(SHALLOW + 1, DEEP + 1) if (1 - s**d) ** TREES <= MISS]])
+
+
 def keys(sig: np.ndarray, depth: int) -> np.ndarray:
     """A 64-bit key of each tree's first ``depth`` places."""
     with np.errstate(over="ignore"):
@@ -89,7 +96,7 @@ def keys(sig: np.ndarray, depth: int) -> np.ndarray:
         return acc
 
 
-def sketch(df: DataFrame, words: int) -> DataFrame:
+def sketch(df: DataFrame, words: int, depth: int = DEEP) -> DataFrame:
     """``doc_id, n_shingles, same, shallow, deep`` of rows ``doc_id, text``; ``same`` names the set, null if empty."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
@@ -101,8 +108,8 @@ def sketch(df: DataFrame, words: int) -> DataFrame:
             row = np.full(len(sets), -1)
             row[some] = np.arange(len(some))
             tables = []
-            for depth in (SHALLOW, DEEP):
-                flat = pa.array(keys(sig, depth).ravel().view(np.int64))
+            for places in (SHALLOW, depth):
+                flat = pa.array(keys(sig, places).ravel().view(np.int64))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(row >= 0)]).astype(np.int32) * TREES)
                 tables.append(pa.ListArray.from_arrays(offsets, flat))
             same = [xxhash.xxh3_128_hexdigest(x.tobytes()) if len(x) else None for x in sets]
@@ -217,8 +224,9 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row; sets link from ``percent`` of their union on."""
+    modest_batches(df.sparkSession)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = staged(sketch(docs, words))
+    rows = staged(sketch(docs, words, full_depth(percent)))
     some = rows.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
     first = some.groupBy("same").agg(F.min("doc_id").alias("id"))
     one = some.join(first.select(F.col("id").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"])
