@@ -156,8 +156,21 @@ class WeightedMean(Feature):
         return (d.weighted_mean(b),)
 
 
+def _total(d: Draft, b: str | None, key: object, term) -> Column:
+    """Sum of a term of each observation: in the second pass for whole series, over the band's array else."""
+    return d.over(key, term) if b is None else total(d.series(b), term)
+
+
+def _count(d: Draft, b: str | None, key: object, condition) -> Column:
+    return d.over(key, lambda x: F.when(condition(x), 1.0).otherwise(0.0)) if b is None else count_where(d.series(b), condition)
+
+
 def _chi2(d: Draft, b: str | None) -> Column:
-    mean, series = d.weighted_mean(b), d.series(b)
+    mean = d.weighted_mean(b)
+    term = lambda x: div((x["m"] - mean) * (x["m"] - mean), x["sigma"] * x["sigma"])
+    if b is None:
+        return d.over("chi2", term)
+    series = d.series(b)
     return d.derive("chi2", b, lambda: total(series, lambda x: div((x["m"] - mean) * (x["m"] - mean), x["sigma"] * x["sigma"])))
 
 
@@ -175,7 +188,10 @@ class Chi2Pvar(Feature):
 
     def values(self, d, b):
         chi2 = _chi2(d, b)
-        return (d.derive("chi2 cdf", b, lambda: kernels.chi2_cdf(chi2, d.n(b) - 1), 2),)
+        if b is not None:
+            return (d.derive("chi2 cdf", b, lambda: kernels.chi2_cdf(chi2, d.n(b) - 1), 2),)
+        d.last["__chi2_cdf"] = kernels.chi2_cdf(chi2, d.n(b) - 1)
+        return (F.col("__chi2_cdf"),)
 
 
 class ExcessVariance(Feature):
@@ -190,9 +206,9 @@ class StetsonK(Feature):
     min_n = 2
 
     def values(self, d, b):
-        mean, s = d.weighted_mean(b), d.series(b)
+        mean = d.weighted_mean(b)
         delta = lambda x: div(x["m"] - mean, x["sigma"])
-        return (div(total(s, lambda x: F.abs(delta(x))), F.sqrt(d.n(b) * total(s, lambda x: delta(x) * delta(x)))),)
+        return (div(_total(d, b, "abs delta", lambda x: F.abs(delta(x))), F.sqrt(d.n(b) * _total(d, b, "delta2", lambda x: delta(x) * delta(x)))),)
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -205,7 +221,7 @@ class BeyondNStd(Feature):
 
     def values(self, d, b):
         mean, std = d.mean(b), d.deviation(b)
-        return (div(count_where(d.series(b), lambda x: F.abs(x["m"] - mean) > F.lit(self.nstd) * std), d.n(b)),)
+        return (div(_count(d, b, ("beyond", self.nstd), lambda x: F.abs(x["m"] - mean) > F.lit(self.nstd) * std), d.n(b)),)
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -283,7 +299,7 @@ class MedianBufferRangePercentage(Feature):
 
     def values(self, d, b):
         median, half = d.median(b), F.lit(self.quantile) * (d.most(b) - d.least(b)) / 2
-        return (div(count_where(d.series(b), lambda x: F.abs(median - x["m"]) < half), d.n(b)),)
+        return (div(_count(d, b, ("buffer", self.quantile), lambda x: F.abs(median - x["m"]) < half), d.n(b)),)
 
 
 class Roms(Feature):
@@ -291,7 +307,7 @@ class Roms(Feature):
 
     def values(self, d, b):
         median = d.median(b)
-        return (div(total(d.series(b), lambda x: div(F.abs(x["m"] - median), x["sigma"])), d.n(b) - 1),)
+        return (div(_total(d, b, "roms", lambda x: div(F.abs(x["m"] - median), x["sigma"])), d.n(b) - 1),)
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -333,9 +349,14 @@ class BiweightScale(Feature):
     def values(self, d, b):
         series, median, mad = d.series(b), d.median(b), _mad(d, b)
         u2 = lambda x: div((x["m"] - median) * (x["m"] - median), F.lit(self.c * self.c) * mad * mad)
-        inner = d.derive(("biweight inner", self.c), b, lambda: F.filter(series, lambda x: u2(x) < 1), 2)
-        top = total(inner, lambda x: (x["m"] - median) * (x["m"] - median) * F.pow(1 - u2(x), F.lit(4.0)))
-        bottom = total(inner, lambda x: (1 - u2(x)) * (1 - 5 * u2(x)))
+        over = lambda x: (x["m"] - median) * (x["m"] - median) * (1 - u2(x)) * (1 - u2(x)) * (1 - u2(x)) * (1 - u2(x))
+        under = lambda x: (1 - u2(x)) * (1 - 5 * u2(x))
+        if b is None:
+            top = d.over(("biweight top", self.c), lambda x: F.when(u2(x) < 1, over(x)))
+            bottom = d.over(("biweight bottom", self.c), lambda x: F.when(u2(x) < 1, under(x)))
+        else:
+            inner = d.derive(("biweight inner", self.c), b, lambda: F.filter(series, lambda x: u2(x) < 1), 2)
+            top, bottom = total(inner, over), total(inner, under)
         return (F.when(mad > 0, div(F.sqrt(d.n(b) * top), F.abs(bottom))).otherwise(F.lit(0.0)),)
 
 
@@ -531,11 +552,15 @@ def _steps(d: Draft, b: str | None) -> Column:
     return d.derive("steps", b, lambda: steps(s))
 
 
+def _step_total(d: Draft, b: str | None, key: object, term) -> Column:
+    return d.over(("step", key), term) if b is None else total(_steps(d, b), term)
+
+
 class Eta(Feature):
     min_n = 2
 
     def values(self, d, b):
-        return (div(total(_steps(d, b), lambda x: x["dm"] * x["dm"]), (d.n(b) - 1) * d.variance(b)),)
+        return (div(_step_total(d, b, "dm2", lambda x: x["dm"] * x["dm"]), (d.n(b) - 1) * d.variance(b)),)
 
 
 class EtaE(Feature):
@@ -543,7 +568,7 @@ class EtaE(Feature):
 
     def values(self, d, b):
         span = d.aggregate("max t", b, lambda v: F.max(v.t)) - d.aggregate("min t", b, lambda v: F.min(v.t))
-        rate = total(_steps(d, b), lambda x: F.pow(div(x["dm"], x["dt"]), F.lit(2.0)))
+        rate = _step_total(d, b, "rate2", lambda x: F.pow(div(x["dm"], x["dt"]), F.lit(2.0)))
         return (div(rate * span * span, F.pow(d.n(b) - 1, F.lit(3.0)) * d.variance(b)),)
 
 
@@ -566,8 +591,11 @@ class MaximumSlope(Feature):
     min_n, default = 2, "clipped_lg"
 
     def values(self, d, b):
+        slope = lambda x: F.abs(div(x["dm"], x["dt"]))
+        if b is None:
+            return (F.when(~F.coalesce(d.over("any dt 0", lambda x: x["dt"] == 0, F.bool_or), F.lit(False)), d.over("max slope", slope, F.max)),)
         s = _steps(d, b)
-        return (F.when(F.forall(s, lambda x: x["dt"] != 0), largest(s, lambda x: F.abs(div(x["dm"], x["dt"])))),)
+        return (F.when(F.forall(s, lambda x: x["dt"] != 0), largest(s, slope)),)
 
 
 class LaflerKinmanStringLength(Feature):
@@ -577,22 +605,22 @@ class LaflerKinmanStringLength(Feature):
 
     def values(self, d, b):
         s, n = d.series(b), d.n(b)
-        wrap = F.try_element_at(s, F.lit(1))["m"] - F.try_element_at(s, F.lit(-1))["m"]
-        return (div(total(_steps(d, b), lambda x: x["dm"] * x["dm"]) + wrap * wrap, 2 * n * d.variance(b)),)
+        wrap = d.derive("wrap", b, lambda: F.try_element_at(s, F.lit(1))["m"] - F.try_element_at(s, F.lit(-1))["m"])
+        return (div(_step_total(d, b, "dm2", lambda x: x["dm"] * x["dm"]) + wrap * wrap, 2 * n * d.variance(b)),)
 
 
 class MaximumTimeInterval(Feature):
     min_n = 2
 
     def values(self, d, b):
-        return (largest(_steps(d, b), lambda x: x["dt"]),)
+        return (d.over("max dt", lambda x: x["dt"], F.max) if b is None else largest(_steps(d, b), lambda x: x["dt"]),)
 
 
 class MinimumTimeInterval(Feature):
     min_n = 2
 
     def values(self, d, b):
-        return (smallest(_steps(d, b), lambda x: x["dt"]),)
+        return (d.over("min dt", lambda x: x["dt"], F.min) if b is None else smallest(_steps(d, b), lambda x: x["dt"]),)
 
 
 class _Colour(Feature):

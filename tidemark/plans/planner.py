@@ -4,7 +4,9 @@ A feature asks its :class:`Draft` for aggregates (hash aggregates with partial s
 asked), for the sorted series of an object or band, or for a numeric kernel over it. The draft keeps
 what is asked for once, however many features share it, and lays it out in tiers: one ``groupBy`` on
 the object, columns derived from the aggregates, kernels, the output. The series is only collected
-if some feature needs it.
+if some feature needs it. Sums over observations that need an aggregate first (deviations from a mean,
+steps in time) run in a second pass: the series is exploded where it lies and aggregated again on the
+same key, in generated code and without another exchange.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import finite
+from ..functions.expressions import OBSERVATION, finite
 
 ID, SERIES = "object_id", "__series"
 
@@ -29,6 +31,15 @@ class Values:
         self.one = keep(F.lit(1))
 
 
+class Observation:
+    """Columns of an exploded observation: ``t, m, sigma, band`` and the steps ``dt, dm`` from the one before."""
+
+    def __getitem__(self, name: str) -> Column:
+        if name in ("dt", "dm"):
+            return F.col("__now")[name[1]] - F.col("__before")[name[1]]
+        return F.col("__now")[name]
+
+
 class Draft:
     """What the features of one extraction need, each thing once."""
 
@@ -36,6 +47,18 @@ class Draft:
         self.aggregates: dict[str, Column] = {}
         self.tiers: list[dict[str, Column]] = [{} for _ in range(6)]
         self.names: dict[tuple, str] = {}
+        self.second: dict[str, Column] = {}
+        self.last: dict[str, Column] = {}  # kernels over scalars, after the second pass
+        self.needs_second = False  # set by a feature that uses the second pass
+
+    def over(self, key: object, make: Callable[[Observation], Column], how: Callable[[Column], Column] = F.sum) -> Column:
+        """An aggregate over the observations of an object, in terms of columns that exist by then."""
+        self.series()
+        self.needs_second = True
+        name, known = self._name("second", key)
+        if not known:
+            self.second[name] = how(make(Observation())).alias(name)
+        return F.col(name)
 
     def _name(self, *key) -> tuple[str, bool]:
         known = key in self.names
@@ -108,7 +131,13 @@ def extract(df: DataFrame, features: Sequence, fill: float | None = None, strict
     """
     features = list(flattened(features))
     draft = Draft()
-    outputs = [(name, value) for f in features if not f.separate for name, value in f.columns(draft)]
+    outputs, late = [], set()
+    for f in features:
+        if not f.separate:
+            draft.needs_second = False
+            made = list(f.columns(draft))
+            outputs += made
+            late |= {name for name, _ in made if draft.needs_second}
     apart = [f for f in features if f.separate]
     names = [n for n, _ in outputs] + [n for f in apart for n in f.names()]
     if len(set(names)) < len(names):
@@ -119,6 +148,18 @@ def extract(df: DataFrame, features: Sequence, fill: float | None = None, strict
     for tier in draft.tiers:
         if tier:
             out = out.withColumns(tier)
+    if draft.second:
+        early = {name: f"__o{k}" for k, (name, _) in enumerate(outputs) if name not in late}
+        out = out.withColumns({early[name]: value.cast("double") for name, value in outputs if name in early})
+        outputs = [(name, F.col(early[name]) if name in early else value) for name, value in outputs]
+        series = F.col(draft.names[("series", None)])
+        rest = [c for c, kind in out.dtypes if c not in keys and not kind.startswith("array")]
+        before = F.concat(F.array(F.lit(None).cast(OBSERVATION)), F.slice(series, 1, F.greatest(F.size(series) - 1, F.lit(0))))
+        pairs = F.zip_with(series, before, lambda now, was: F.struct(now.alias("now"), was.alias("before")))
+        rows = out.select(*keys, *rest, F.explode(pairs).alias("__pair")).select(*keys, *rest, F.col("__pair.now").alias("__now"), F.col("__pair.before").alias("__before"))
+        out = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest], *draft.second.values())
+        for name, value in draft.last.items():
+            out = out.withColumn(name, value)
     for f in apart:  # their own aggregates, on the same key
         out = out.join(f.frame(df, keys), list(keys), "left")
         outputs += [(n, F.col(f"`{n}`")) for n in f.names()]
