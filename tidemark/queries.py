@@ -15,7 +15,7 @@ from .operators.rainbow import RainbowFit
 from .operators.reductions import reduce_series, similar
 from .operators.parametric import BazinFit, LinexpFit, Periodogram, VillarFit, freq_power
 from .plans.planner import extract
-from .sources.curves import days, events, long_form, validated
+from .sources.curves import days, events, long_form, validated, wall
 from .streaming.streams import run_once, streaming_bins
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,7 +208,7 @@ def binned_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    rows = stream.select(F.col("user_id").alias("object_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("m"), (F.lit(0.05) * F.col("value") + F.lit(0.1)).alias("sigma"))
+    rows = stream.select(F.col("user_id").alias("object_id"), wall(F.col("ts")).alias("ts"), F.col("value").alias("m"), (F.lit(0.05) * F.col("value") + F.lit(0.1)).alias("sigma"))
     return rounded(run_once(streaming_bins(rows, "1 day"), "binned_stream", "complete").select("object_id", F.unix_micros("start").alias("start_us"), "m", "sigma", "n"))
 
 

@@ -17,9 +17,14 @@ ROLES = ("object_id", "t", "m", "sigma", "band")
 DAY = 86_400_000_000.0
 
 
-def days(ts: Column, origin: float = 0.0) -> Column:
-    """A timestamp as days since 1970 (UTC) less ``origin``."""
-    return F.unix_micros(ts.cast("timestamp")).cast("double") / F.lit(DAY) - F.lit(origin)
+def wall(ts: Column) -> Column:
+    """A timestamp without time zone as the instant it names in UTC, whatever the session's zone."""
+    return F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone())
+
+
+def days(ts: Column, origin: float = 0.0, zoned: bool = False) -> Column:
+    """A timestamp as days since 1970 less ``origin``; ``zoned`` for instants, else the wall clock counts."""
+    return F.unix_micros(ts.cast("timestamp") if zoned else wall(ts)).cast("double") / F.lit(DAY) - F.lit(origin)
 
 
 def long_form(df: DataFrame, object_id: str | Column, t: str | Column, m: str | Column, sigma: str | Column | None = None, band: str | Column | None = None) -> DataFrame:
