@@ -142,6 +142,21 @@ def test_pii_added_spans_and_redaction(spark):
     assert row[0]["text"] == "write <EMAIL> or <PHONE>" and row[0]["n_chars"] == len(row[0]["text"]) and row[1]["text"] is None
 
 
+@pytest.mark.parametrize("at", ["(at)", "[at]", "{at}", "<at>", "(@)", "[@]"])
+def test_pii_spelled_out_addresses(at):
+    """Every opener, with and without blanks, in either case: a guard must not hide what its pattern covers."""
+    for dot, gap in itertools.product([".", "(dot)", "[dot]", "{dot}", "<dot>", " [dot] "], ["", " "]):
+        address = f"bob{gap}{at}{gap}example{dot}org"
+        for text in (f"contact {address} today", f"CONTACT {address.upper()} TODAY"):
+            assert pii.find([text], pii.default_model()) == [([], [("email", 8, 8 + len(address))])], text
+
+
+def test_pii_guards_are_necessary():
+    for text in ("contact BOB AT EXAMPLE DOT COM now", "Bob at Example Dot com", "mail bob {AT} example.org", "a <at> b <dot> c", "x [@] y.z", "fe80::1", "call 415 555-2671"):
+        want = [(kind, g, m.start(), m.end()) for g, (kind, _, pattern) in enumerate(pii.GENERATORS) for m in pattern.finditer(text)]
+        assert want and pii.proposals(text) == want, text
+
+
 def test_pii_model_holds_out():
     x, y = pii._generated(1500, seed=99)
     p = pii.default_model().probability(x)

@@ -75,12 +75,13 @@ def base_spans(text: str) -> list[Span]:
 
 AT = r"\s?(?:\(at\)|\[at\]|\{at\}|<at>|\(@\)|\[@\])\s?"
 DOT = r"(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|<dot>)\s?|\.)"
-GENERATORS: tuple[tuple[str, str, re.Pattern], ...] = (
-    ("email", "(", re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+", re.I)),
-    ("email", " dot ", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+", re.I)),
-    ("phone", "", re.compile(r"(?<![0-9A-Za-z+.])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])")),
-    ("card", "", re.compile(r"(?<![0-9A-Za-z.])[0-9]{4}(?:[ ]{0,2}[./_–-]?[ ]{0,2}[0-9]{4}){2}[ ]{0,2}[./_–-]?[ ]{0,2}[0-9]{1,7}(?![0-9A-Za-z])")),
-    ("ip", ":", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![0-9A-Za-z:])")),
+#: Kind, what a text must hold for the pattern to match at all (cheap to look for), and the pattern.
+GENERATORS: tuple[tuple[str, re.Pattern | None, re.Pattern], ...] = (
+    ("email", re.compile(r"[(\[{<](?:at|@)[)\]}>]", re.I), re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+", re.I)),
+    ("email", re.compile(" dot ", re.I), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+", re.I)),
+    ("phone", None, re.compile(r"(?<![0-9A-Za-z+.])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])")),
+    ("card", None, re.compile(r"(?<![0-9A-Za-z.])[0-9]{4}(?:[ ]{0,2}[./_–-]?[ ]{0,2}[0-9]{4}){2}[ ]{0,2}[./_–-]?[ ]{0,2}[0-9]{1,7}(?![0-9A-Za-z])")),
+    ("ip", re.compile(":"), re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![0-9A-Za-z:])")),
 )
 CONTEXT = tuple(re.compile(p, re.I) for p in (r"phone|tel\b|tel[.:]|call|mobile|cell|fax|whatsapp|contact|\bdial", r"mail|write|contact|reach|@", r"card|visa|master|amex|credit|debit|\bcc\b|pay", r"\bip\b|ipv6|host|server|addr|login|client", r"version|\bv\b|order|invoice|isbn|issn|sku|part|serial|ticket|ref|page|section|figure|no\.|nr\.|date|year|price|total|mac\b|hash|score|\bid\b"))
 MONEY = frozenset("$€£¥#=/%*")
@@ -106,7 +107,7 @@ def proposals(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, generator, start, end) of every proposal; they may overlap."""
     out = []
     for g, (kind, needs, pattern) in enumerate(GENERATORS):
-        if needs and needs not in text:
+        if needs and not needs.search(text):
             continue
         out += [(kind, g, m.start(), m.end()) for m in pattern.finditer(text)]
     return out
