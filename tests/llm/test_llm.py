@@ -312,6 +312,27 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.scored(df, none).collect()} == {0.0}
 
 
+def test_toxicity_of_varied_wording(spark):
+    """Toxic texts that share no words: a near copy still meets its example, at the cosine of whole TF-IDF vectors."""
+    r = random.Random(11)
+    texts = {k: words(r, 40) for k in range(200)}
+    texts |= {k: words(r, 20) + ["".join(r.choices("bcdfghklmnprstvw", k=9)) for _ in range(20)] for k in range(200, 240)}
+    texts[9000] = texts[next(k for k in range(200, 240) if zlib.crc32(str(k).encode()) % 4 != 2)][:-2] + ["unseenone", "unseentwo"]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    index = toxicity.fit(df, spark.createDataFrame([(k, int(k >= 200)) for k in range(240)], "doc_id long, toxic int"))
+    found = toxicity.scored(df.where("doc_id = 9000"), index).first()["evidence"]
+    assert not [t for t in index.terms if t.endswith("-")]  # no beginning is tied to the label
+    known = {k: w for k, w in texts.items() if str(k) in set(map(str, index.ids))}
+    first = max(known, key=lambda k: len(set(known[k]) & set(texts[9000])))
+    assert found and found[0]["doc_id"] == str(first) and found[0]["toxic"] == 1 and found[0]["cosine"] > 0.7
+    # every word of every example has a term, and weighs by how many of all documents hold it
+    df_of = Counter(t for w in texts.values() for t in set(w))
+    assert set(index.terms) == {x for w in known.values() for x in w}
+    assert index.idf == pytest.approx([np.log((1 + len(texts)) / (1 + df_of[t])) + 1 for t in index.terms])
+    _, others = index.lookup.count("unseenone unseentwo")
+    assert others == pytest.approx(2 * (np.log((1 + len(texts)) / 2) + 1) ** 2)
+
+
 def test_token_counts(spark, odd_texts):
     lengths = sorted(len(library(bpe.RANKS).encode_ordinary(t or "")) for t in odd_texts)
     table = token_counts.length_table(staged(token_counts.histogram(token_counts.token_lengths(docs(spark, odd_texts)))))

@@ -1,11 +1,12 @@
 """Operator 7 - toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 A bounded sample of labelled rows (``SAMPLE``, by hash of the id) gives the examples. Terms are words
-and word beginnings of 3 to 7 letters; chi-square over the examples picks the vocabulary (``TERMS`` at
-most, commoner in positive examples, significant at ``CHI2``), whose document frequencies are counted
-over all documents. Of a word's terms the one with the largest chi-square counts. A term weighs
-``sqrt(tf) * idf``; words outside the vocabulary match nothing but count in the norm with idf 1, so
-that a lone term in a long text gives a small cosine.
+and word beginnings of 3 to 7 letters; document frequencies are counted over all documents, and every
+word of the examples is indexed. Words that share a beginning tied to the label (``TERMS`` at most,
+commoner in positive examples, significant at ``CHI2``) are one term, that with the largest chi-square,
+which only raises its weight; any other word is a term of its own. A term weighs ``sqrt(tf) * idf``.
+Words that no example holds match nothing and count in the norm by the document frequency of their
+slot, one of ``SLOTS``.
 
 Examples go to an inverted index whose postings are grouped in blocks of neighbouring examples, each
 with the largest weight of each term. A query bounds every block's cosine by those maxima, scores the
@@ -13,8 +14,8 @@ most promising blocks, and then only blocks whose bound reaches the k-th best co
 are exact. Votes weigh by cosine against a prior; the share is calibrated by isotonic regression on
 leave-one-out votes of the sample.
 
-An example never votes on its own document. Null and empty texts, and texts without a term of the
-vocabulary, get the calibrated rate of such examples. Without labels every score is 0.
+An example never votes on its own document. Null and empty texts, and texts without a word of any
+example, get the calibrated rate of such examples. Without labels every score is 0.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,15 @@ from pyspark.sql import functions as F
 
 from ._frames import modest_batches
 
-#: The bounds of the fitted model: labelled rows and vocabulary.
+#: The bounds of the fitted model: labelled rows, and terms whose weight chi-square raises.
 SAMPLE, TERMS, CHI2 = 10_000, 2048, 25.0
-#: A term must occur in this share of the positive examples, and in three of them: copies of one text alone don't make a term.
+#: Such a term must occur in this share of the positive examples, and in three of them: copies of one text alone don't make a term.
 SUPPORT = 0.02
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 1.0
+#: Places for the document frequencies of words that no example holds.
+SLOTS = 1 << 18
+#: Terms in more than this share of the examples are scored as a matrix; queries scored at a time.
+COMMON, TOGETHER = 0.05, 250
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -59,24 +65,36 @@ def stems(word: str) -> list[str]:
 
 
 class Lookup(dict):
-    """The number of a word's term, for words seen; bounded. Of several, the one most tied to the label stands for the word."""
+    """The number of a word's term, for words seen; bounded. Of several, the one most tied to the label stands for
+    the word. A word that no example holds has the complement of its slot."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], slots: np.ndarray | None = None):
         self.at = {t: k for k, t in enumerate(terms)}
+        self.squares = None if slots is None else np.square(slots).tolist()  # by slot: the idf's square
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(sorted(self.at[t] for t in stems(word) if t in self.at)[:1])
+    def __missing__(self, word: str) -> int:
+        found = min((self.at[t] for t in stems(word) if t in self.at), default=None)
+        if found is None:
+            found = ~(crc32(word.encode("utf-8", "surrogatepass")) % SLOTS)
         if len(word) <= 32:
             if len(self) > 100_000:
                 self.clear()
             self[word] = found
         return found
 
-    def count(self, text: str | None) -> tuple[Counter, int]:
-        """Counts of terms, and how many words have none."""
-        words = WORD.findall((text or "").lower())
-        hits = [t for t in map(self.__getitem__, words) if t]
-        return Counter(k for t in hits for k in t), len(words) - len(hits)
+    def numbers(self, text: str | None) -> dict[int, int]:
+        """Counts of terms and, at negative numbers, of slots."""
+        counts: dict[int, int] = {}
+        for word, n in Counter(WORD.findall((text or "").lower())).items():
+            k = self[word]
+            counts[k] = counts.get(k, 0) + n
+        return counts
+
+    def count(self, text: str | None) -> tuple[dict[int, int], float]:
+        """Counts of terms, and what all other words add to the square of the norm."""
+        counts = self.numbers(text)
+        others = [k for k in counts if k < 0]
+        return counts, float(sum(counts.pop(k) * self.squares[~k] for k in others))
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,56 +105,70 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.int32()), pa.array(counts.values(), pa.int64())], names=["term", "toxic", "n"])
 
 
-def vocabulary(picked: DataFrame, terms: int = TERMS, chi2: float = CHI2) -> tuple[list[str], int]:
-    """The terms most tied to the label, and the number of labelled rows."""
+def vocabulary(picked: DataFrame, terms: int = TERMS, chi2: float = CHI2) -> tuple[list[str], np.ndarray]:
+    """All terms of the sample, and what multiplies each one's idf: first the terms tied to the label, then every word."""
     totals = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
     pos, neg = float(totals.get(1, 0)), float(totals.get(0, 0))
-    if not pos or not neg:
-        return [], int(pos + neg)
     one = picked.select("text", "toxic").mapInArrow(_term_rows, "term string, toxic int, n long")
     by = one.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).cast("double").alias("b"))
     a, b, n = F.col("a"), F.col("b"), pos + neg
-    top = (a * (neg - b) - b * (pos - a)) ** 2 * n / (pos * neg * (a + b) * (F.lit(n + 1e-9) - a - b))
-    best = by.withColumn("chi2", top).where((F.col("chi2") > chi2) & (a >= max(3.0, SUPPORT * pos)) & (a / pos > b / neg)).orderBy(F.desc("chi2"), "term").limit(terms).collect()
-    return [r["term"] for r in best], int(n)
+    best = []
+    if pos and neg:
+        top = (a * (neg - b) - b * (pos - a)) ** 2 * n / (pos * neg * (a + b) * (F.lit(n + 1e-9) - a - b))
+        best = by.withColumn("chi2", top).where((F.col("chi2") > chi2) & (a >= max(3.0, SUPPORT * pos)) & (a / pos > b / neg)).orderBy(F.desc("chi2"), "term").limit(terms).collect()
+    tied = [r["term"] for r in best]
+    at = Lookup(tied)
+    words = by.where(~F.col("term").endswith("-")).select("term").toArrow().column(0).to_pylist()  # bounded by the sample
+    rest = sorted(w for w in words if at[w] < 0)
+    return tied + rest, np.concatenate([gain(np.array([r["chi2"] for r in best], float)), np.ones(len(rest))])
+
+
+def gain(chi2: np.ndarray) -> np.ndarray:
+    """What multiplies the idf of a term tied to the label."""
+    return chi2 / CHI2
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term occurs, and how many documents there are."""
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """In how many of all documents each term occurs, and each slot, and how many documents there are."""
+    size = len(terms) + SLOTS
+    handle = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n, lookup = np.zeros(len(terms) + 1, np.int64), 0, Lookup(terms)
+        counts, n, lookup = np.zeros(size + 1, np.int64), 0, Lookup(handle.value)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                for k in lookup.count(text)[0]:
-                    counts[k] += 1
+                k = np.fromiter(lookup.numbers(text), np.int64)
+                counts[np.where(k < 0, len(terms) + ~k, k)] += 1
         counts[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["k", "n"])
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there])], names=["k", "n"])
 
-    got = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # a row a term
-    counts = np.zeros(len(terms) + 1, np.int64)
-    for r in got:
-        counts[r["k"]] = r["n"]
-    return counts[:-1], int(counts[-1])
+    got = docs.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row a term or slot
+    counts = np.zeros(size + 1, np.int64)
+    counts[got.column("k").to_numpy()] = got.column("n").to_numpy()
+    return counts[: len(terms)], counts[len(terms) : -1], int(counts[-1])
 
 
-def vectors(picked: DataFrame, terms: list[str]) -> list[tuple]:
-    """(doc_id, toxic, term numbers, counts, other words) of the sample."""
+def vectors(picked: DataFrame, terms: list[str], slots: np.ndarray) -> list[tuple]:
+    """(doc_id, toxic, term numbers, counts, other words' part of the squared norm) of the sample."""
+    handle = picked.sparkSession.sparkContext.broadcast((terms, slots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(terms)
+        lookup = Lookup(*handle.value)
         for batch in batches:
             counts = [lookup.count(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c, _ in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in counts], pa.list_(pa.int32())), pa.array([o for _, o in counts], pa.int64())], names=["doc_id", "toxic", "k", "n", "others"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c, _ in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in counts], pa.list_(pa.int32())), pa.array([o for _, o in counts], pa.float64())], names=["doc_id", "toxic", "k", "n", "others"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    rows = picked.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {kind}, toxic int, k array<int>, n array<int>, others long").collect()  # at most SAMPLE rows of at most TERMS numbers
-    return sorted(((r["doc_id"], r["toxic"], r["k"], r["n"], r["others"]) for r in rows), key=lambda r: (str(r[0]), r[1]))
+    got = picked.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {kind}, toxic int, k array<int>, n array<int>, others double").toArrow()  # at most SAMPLE rows
+    numbers = [[x.values.to_numpy() for x in got.column(c)] for c in ("k", "n")]
+    rows = zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), *numbers, got.column("others").to_pylist(), strict=True)
+    return sorted(rows, key=lambda r: (str(r[0]), r[1]))
 
 
-def weigh(idf: np.ndarray, k: list[int], n: list[int], others: int) -> np.ndarray:
-    """The vocabulary's part of a text's unit vector."""
+def weigh(idf: np.ndarray, k: list[int], n: list[int], others: float) -> np.ndarray:
+    """The terms' part of a text's unit vector."""
     w = np.sqrt(np.array(n, float)) * idf[np.array(k, int)]
     return w / np.sqrt(w @ w + others)
 
@@ -150,58 +182,93 @@ class Index:
     ids: list
     labels: np.ndarray
     prior: float
+    slots: np.ndarray = None  # idf by slot, of words that no example holds
     starts: np.ndarray = None  # of each term's postings
     docs: np.ndarray = None
     weights: np.ndarray = None
-    maxima: np.ndarray = None  # term x block
     votes: tuple[np.ndarray, np.ndarray] = None  # isotonic steps: vote, calibrated score
     blank: float = 0.0
-    lookup: Lookup = None
 
     @classmethod
-    def build(cls, terms: list[str], idf: np.ndarray, examples: list[tuple]) -> Index:
-        unit = []
-        for _, _, k, n, others in examples:
-            unit.append((np.array(k, int), weigh(idf, k, n, others) if k else np.zeros(0)))
+    def build(cls, terms: list[str], idf: np.ndarray, examples: list[tuple], slots: np.ndarray) -> Index:
+        unit = [weigh(idf, k, n, others) if len(k) else np.zeros(0) for _, _, k, n, others in examples]
         # neighbours in a block share their heaviest term, so that block maxima are tight
-        order = sorted(range(len(unit)), key=lambda i: (int(unit[i][0][np.argmax(unit[i][1])]) if len(unit[i][0]) else -1, i))
-        order = [i for i in order if len(unit[i][0])]
-        index = cls(terms, idf, [examples[i][0] for i in order], np.array([examples[i][1] for i in order], float), float(np.mean([e[1] for e in examples])) if examples else 0.0)
-        index.lookup = Lookup(terms)
-        k = np.concatenate([unit[i][0] for i in order]) if order else np.zeros(0, int)
-        d = np.repeat(np.arange(len(order)), [len(unit[i][0]) for i in order])
-        w = np.concatenate([unit[i][1] for i in order]) if order else np.zeros(0)
+        order = sorted((i for i in range(len(unit)) if len(unit[i])), key=lambda i: (int(examples[i][2][np.argmax(unit[i])]), i))
+        index = cls(terms, idf, [examples[i][0] for i in order], np.array([examples[i][1] for i in order], float), float(np.mean([e[1] for e in examples])) if examples else 0.0, slots)
+        k = np.concatenate([np.asarray(examples[i][2], np.int32) for i in order]) if order else np.zeros(0, np.int32)
+        d = np.repeat(np.arange(len(order), dtype=np.int32), [len(unit[i]) for i in order])
+        w = np.concatenate([unit[i] for i in order]) if order else np.zeros(0)
         by = np.lexsort((d, k))
-        index.docs, index.weights = d[by], w[by]
+        index.docs, index.weights = d[by], w[by].astype(np.float32)
         index.starts = np.searchsorted(k[by], np.arange(len(terms) + 1))
-        index.maxima = np.zeros((len(terms), len(order) // BLOCK + 1))
-        np.maximum.at(index.maxima, (k, d // BLOCK), w)
+        index._unfold()
         index._calibrate(examples)
         return index
 
-    def nearest(self, k: tuple[int, ...], n: tuple[int, ...], others: int, own=None) -> list[tuple[float, int]]:
+    def _unfold(self) -> None:
+        """What is made from the postings: the lookup, and common terms' weights as a matrix with its block maxima."""
+        self.lookup = Lookup(self.terms, self.slots)
+        size = np.diff(self.starts)
+        common = np.flatnonzero(size > max(COMMON * len(self.ids), 1))
+        self.place = np.full(len(self.terms), -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        self.blocks = -(-len(self.ids) // BLOCK)
+        self.matrix = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        for j, t in enumerate(common):
+            at = slice(self.starts[t], self.starts[t + 1])
+            self.matrix[j, self.docs[at]] = self.weights[at]
+        self.maxima = self.matrix.reshape(len(common), self.blocks, BLOCK).max(2)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("lookup", "place", "matrix", "maxima")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._unfold()
+
+    def nearest(self, k: list[int], n: list[int], others: float, own=None) -> list[tuple[float, int]]:
         """(cosine, example) of the nearest, nearest first, ties to the first example; none with cosine 0."""
-        terms = np.array(k)
-        q = weigh(self.idf, k, n, others)
-        bound = q @ self.maxima[terms]
-        scored, cosines = np.zeros(len(bound), bool), np.zeros(len(self.ids))
-        spans = [(self.starts[t], self.starts[t + 1]) for t in k]
-        docs = np.concatenate([self.docs[a:b] for a, b in spans])
-        products = np.concatenate([w * self.weights[a:b] for w, (a, b) in zip(q, spans, strict=True)])
-        blocks = docs // BLOCK
-        floor, want = 0.0, NEIGHBOURS + (own is not None)
-        for least in (np.sort(bound)[-min(4, len(bound))], None):
+        return self.nearest_all([(k, n, others, own)])[0]
+
+    def nearest_all(self, queries: list[tuple]) -> list[list[tuple[float, int]]]:
+        """:meth:`nearest` of each (k, n, others, own); cosines are of single precision."""
+        return [near for a in range(0, len(queries), TOGETHER) for near in self._together(queries[a : a + TOGETHER])]
+
+    def _together(self, queries: list[tuple]) -> list[list[tuple[float, int]]]:
+        """Postings of rare terms are summed for all examples; common terms then only in blocks whose bound reaches the nearest."""
+        cosines = np.zeros((len(queries), self.blocks * BLOCK), np.float32)
+        dense = np.zeros((len(queries), len(self.matrix)), np.float32)
+        for r, (k, n, others, _) in enumerate(queries):
+            k = np.asarray(k, int)
+            q = weigh(self.idf, k, n, others).astype(np.float32)
+            at = self.place[k]
+            dense[r, at[at >= 0]] = q[at >= 0]
+            k, q = k[at < 0], q[at < 0]
+            a, size = self.starts[k], self.starts[k + 1] - self.starts[k]
+            if total := int(size.sum()):
+                spot = np.arange(total) + np.repeat(a - (np.cumsum(size) - size), size)
+                cosines[r] = np.bincount(self.docs[spot], np.repeat(q, size) * self.weights[spot], cosines.shape[1])
+        want = NEIGHBOURS + 1  # one may be the text itself
+        bound = cosines.reshape(len(queries), self.blocks, BLOCK).max(2) + dense @ self.maxima + 1e-5
+        scored = np.zeros(bound.shape, bool)
+        first = np.partition(bound, -min(4, self.blocks), 1)[:, [-min(4, self.blocks)]]
+        known = np.full(cosines.shape, -1, np.float32)
+        floor = first
+        for _ in range(2):
             # first the blocks with the highest bounds, then all others that can hold one of the nearest
-            todo = (bound >= (least if least is not None else floor)) & (bound > 0) & ~scored
-            if todo.any():
-                here = todo[blocks]
-                cosines += np.bincount(docs[here], products[here], len(cosines))
-                scored |= todo
-            top = np.argpartition(-cosines, want)[: want + 1] if len(cosines) > want + 1 else np.arange(len(cosines))
-            floor = np.sort(cosines[top])[::-1][min(want, len(top)) - 1] - 1e-12 if len(top) else 0.0
-        near = np.flatnonzero(cosines >= max(floor, 1e-12))
-        near = near[np.lexsort((near, -cosines[near]))]
-        return [(float(cosines[i]), int(i)) for i in near if own is None or self.ids[i] != own][:NEIGHBOURS]
+            todo = (bound >= floor) & ~scored
+            for b in np.flatnonzero(todo.any(0)):
+                rows, at = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                known[rows, at] = cosines[rows, at] + dense[rows] @ self.matrix[:, at]
+            scored |= todo
+            best = np.partition(known, -min(want, known.shape[1]), 1)[:, -min(want, known.shape[1])]
+            floor = best[:, None]
+        out = []
+        for r, (_, _, _, own) in enumerate(queries):
+            near = np.flatnonzero(known[r] >= max(best[r], np.finfo(np.float32).tiny))
+            near = near[np.lexsort((near, -known[r, near]))]
+            out.append([(float(known[r, i]), int(i)) for i in near if own is None or self.ids[i] != own][:NEIGHBOURS])
+        return out
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(c for c, _ in near)
@@ -209,9 +276,11 @@ class Index:
 
     def _calibrate(self, examples: list[tuple]) -> None:
         """Isotonic steps from leave-one-out votes by pooling adjacent violators."""
-        blank = [e[1] for e in examples if not e[2]]
+        blank = [e[1] for e in examples if not len(e[2])]
         self.blank = (sum(blank) + self.prior) / (len(blank) + 1)
-        votes = sorted((self.vote(self.nearest(e[2], e[3], e[4], e[0])), e[1]) for e in examples if e[2])
+        full = [e for e in examples if len(e[2])]
+        near = self.nearest_all([(e[2], e[3], e[4], e[0]) for e in full])
+        votes = sorted((self.vote(x), e[1]) for x, e in zip(near, full, strict=True))
         pools: list[list[float]] = []  # first vote, hits, rows
         for v, y in votes:
             pools.append([v, float(y), 1.0])
@@ -221,26 +290,26 @@ class Index:
                 pools[-1][2] += rows
         self.votes = np.array([p[0] for p in pools]), np.array([(p[1] + self.prior) / (p[2] + 1) for p in pools])
 
-    def score(self, text: str, own=None) -> tuple[float, list[tuple[float, int]]]:
-        counts, others = self.lookup.count(text)
-        if not counts:
-            return self.blank, []
-        near = self.nearest(list(counts), list(counts.values()), others, own)
-        vote = self.vote(near)
-        if not len(self.votes[0]):
-            return vote, near
+    def scores(self, texts: list[str | None], own: list) -> list[tuple[float, list[tuple[float, int]]]]:
+        """The score of each text and its nearest examples."""
+        counted = [self.lookup.count(t) for t in texts]
+        full = [r for r, (counts, _) in enumerate(counted) if counts and self.ids]
+        near = self.nearest_all([(list(counted[r][0]), list(counted[r][0].values()), counted[r][1], own[r]) for r in full])
+        out: list = [(self.blank, [])] * len(texts)
         step, level = self.votes
-        return float(np.interp(vote, step, np.maximum.accumulate(level))), near
+        for r, x in zip(full, near, strict=True):
+            out[r] = float(np.interp(self.vote(x), step, np.maximum.accumulate(level))), x
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Index:
     """The index over a bounded sample of ``labels`` (``doc_id, toxic``) with texts and frequencies from ``docs``."""
     modest_batches(docs.sparkSession)
     picked = sample(docs, labels, n)
-    terms, _ = vocabulary(picked)
-    df, total = document_frequencies(docs, terms)
-    idf = np.log((1 + total) / (1 + df)) + 1
-    return Index.build(terms, idf, vectors(picked, terms))
+    terms, gains = vocabulary(picked)
+    df, other, total = document_frequencies(docs, terms)
+    idf = lambda n: np.log((1 + total) / (1 + n)) + 1
+    return Index.build(terms, idf(df) * gains, vectors(picked, terms, idf(other)), idf(other))
 
 
 EVIDENCE = "array<struct<doc_id:string,toxic:int,cosine:double>>"
@@ -252,12 +321,12 @@ def scored(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "tex
     modest_batches(df.sparkSession)
     df = df.drop("score", "predicted", "evidence")
     c, d = df.columns.index(text), df.columns.index(doc_id)
-    handle = df.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE and TERMS
+    handle = df.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = handle.value
         for batch in batches:
-            got = [index.score(t or "", i) for t, i in zip(batch.column(c).to_pylist(), batch.column(d).to_pylist(), strict=True)]
+            got = index.scores(batch.column(c).to_pylist(), batch.column(d).to_pylist())
             scores = np.clip(np.array([s for s, _ in got], float), 0, 1)
             evidence = [[{"doc_id": str(index.ids[i]), "toxic": int(index.labels[i]), "cosine": x} for x, i in near[:3]] for _, near in got]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(evidence, EVIDENCE_ARROW)], names=[*batch.schema.names, "score", "predicted", "evidence"])
@@ -275,7 +344,7 @@ def filtered(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = handle.value
         for batch in batches:
-            keep = [index.score(t or "", i)[0] < THRESHOLD for t, i in zip(batch.column(c).to_pylist(), batch.column(d).to_pylist(), strict=True)]
+            keep = [s < THRESHOLD for s, _ in index.scores(batch.column(c).to_pylist(), batch.column(d).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
