@@ -8,7 +8,8 @@ from tidemark.functions import fitting
 from tidemark.functions.kernels import gamma_p, qn_of
 from tidemark.operators.dmdt import DmDt, Grid
 from tidemark.operators.embedding import embed
-from tidemark.operators.reductions import mask, padded, reduce_series
+from tidemark.operators import reductions
+from tidemark.operators.reductions import mask, padded, reduce_series, similar
 from tidemark.sources.curves import from_nested, long_form, problems, to_nested, validated
 from tidemark.streaming.streams import count_windows, run_once, streaming_bins, streaming_features
 
@@ -88,6 +89,19 @@ def test_random_subsample_and_padding(spark):
     assert row["m"] == [0, 1, 2, 3, 4, 5, 6, 0, 0] and row["k"] == [True] * 7 + [False] * 2
 
 
+def test_similar_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(k, r.normal(size=4).tolist()) for k in range(30)], "vec_id long, embedding array<double>")
+    want = sorted(similar(df, df.where("vec_id % 2 = 0"), 3).collect())
+    monkeypatch.setattr(reductions, "QUERY_BLOCK", 4)
+    assert sorted(similar(df, df.where("vec_id % 2 = 0"), 3).collect()) == want and len(want) == 45
+
+
+def test_similar_beyond_one_block(spark):
+    many = spark.range(10_001).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    assert similar(many.where("vec_id < 3"), many, 1).count() == 10_001
+
+
 class FakeSession:
     def run(self, outputs, inputs):
         x = next(iter(inputs.values()))

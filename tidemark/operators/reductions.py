@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAMES = ("beginning", "end", "middle", "random-subsample", "non-overlapping-windows")
 
+#: Query vectors that ``similar`` broadcasts at a time.
+QUERY_BLOCK = 10_000
+
 
 def subsamples(series: Column, size: int, how: str | Sequence[str], key: Column | None = None, seed: int = 0) -> Column:
     """``array<array<observation>>``: one subsample, one per window, or those of several reductions in turn."""
@@ -61,19 +65,24 @@ def mean_over_windows(df: DataFrame, keys: Sequence[str], vector: str = "embeddi
 def similar(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, cosine`` of the ``k`` nearest of every query vector, its own left out.
 
-    Few queries: they are collected into one array within a counted bound and every row meets them in
-    one pass; the best are kept by partial aggregates, so no rank is a global sort.
+    Queries are dealt into blocks of about ``QUERY_BLOCK``: each is broadcast and every row meets it in one
+    pass. All rows of a query id are in one block, so the best are ranked within it.
     """
-    limit = 10_000
     asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q"))
-    if asked.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} queries; search in blocks")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
     one = df.select(F.col(key).alias("vec_id"), unit(F.col(vector)).alias("v"))
-    pairs = one.join(F.broadcast(asked.select("query_id", unit(F.col("q")).alias("q"))), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("q")), 9).alias("cosine"))
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "cosine")
+    asked = asked.select("query_id", unit(F.col("q")).alias("q"))
+
+    def nearest(block: DataFrame) -> DataFrame:
+        pairs = one.join(F.broadcast(block), F.col("vec_id") != F.col("query_id"))
+        scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("q")), 9).alias("cosine"))
+        return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "cosine")
+
+    if blocks == 1:
+        return nearest(asked)
+    return reduce(DataFrame.unionByName, [nearest(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)) for b in range(blocks)])
