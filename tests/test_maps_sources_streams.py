@@ -118,6 +118,26 @@ def test_embedding(spark):
     assert embed(df, "atcat", FakeSession, band_groups=[{"g": "g"}], allow_extra_bands=True).count() == 1
 
 
+class SpanSession:
+    """First and last value, and how many there are, of the band at place 1 (atat) or the first block (astra_clr)."""
+
+    def run(self, outputs, inputs):
+        own = inputs["data"][0, inputs["mask"][0, :, 1] > 0, 1] if "data" in inputs else inputs["x"][0, :300][inputs["mask"][0, :300] == 0, 0] + 58000
+        return [np.array([[own[0], own[-1], len(own)]] if len(own) else [[0, 0, 0]], np.float32)]
+
+
+def test_embedding_reduces_each_band(spark):
+    """A crowded band: its own last observations, and all of its windows, reach the model."""
+    df = table(spark, [(1, 58000.0 + k, float(k), 1.0, "g") for k in range(800)] + [(1, 58000.5, 5.0, 1.0, "r")])
+    scale = 10 ** (-0.4 * (31.4 - 27.5))
+    end = embed(df, "atat", SpanSession).collect()
+    assert [r["embedding"] for r in end] == [pytest.approx([735 * scale, 799 * scale, 65], rel=1e-5)]
+    windows = embed(df, "atat", SpanSession, reduction="non-overlapping-windows").collect()
+    assert sorted(r["step"] for r in windows) == list(range(13)) and sum(r["embedding"][2] for r in windows) == 800
+    times = embed(df, "astra_clr", SpanSession, reduction=["non-overlapping-windows", "end"]).orderBy("step").collect()
+    assert [r["embedding"] for r in times] == [[58000, 58299, 300], [58300, 58599, 300], [58600, 58799, 200], [58500, 58799, 300]]
+
+
 def test_streams(spark, tmp_path):
     rows = [(k % 2, f"2024-01-0{1 + k // 4} 0{k % 4}:00:00", float(k), 0.5) for k in range(8)]
     path = str(tmp_path / "in")

@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .reductions import subsamples
@@ -44,6 +44,7 @@ class EmbeddingModel:
     tensors: Callable[..., dict[str, np.ndarray]]
     outputs: tuple[str, ...] = ("mean",)
     multiband: bool = False
+    lengths: tuple[tuple[str, int], ...] = ()  # of bands that are reduced each by itself
 
 
 def flux_scale(flux: np.ndarray, mag_zp: float, model_zp: float = 27.5) -> np.ndarray:
@@ -102,8 +103,8 @@ MODELS = {
     "astromer1_ztf": EmbeddingModel("astromer1_ztf", 200, 256, astromer, ("mean", "max", "sequence")),
     "astromer2": EmbeddingModel("astromer2", 200, 256, astromer, ("mean", "max", "sequence")),
     "atcat": EmbeddingModel("atcat", 243, 384, atcat, ("last", "mean", "sequence"), True),
-    "atat": EmbeddingModel("atat", 390, 192, atat, ("token", "mean", "sequence"), True),
-    "astra_clr": EmbeddingModel("astra_clr", 700, 512, astra_clr, ("mean",), True),
+    "atat": EmbeddingModel("atat", 390, 192, atat, ("token", "mean", "sequence"), True, tuple((b, 65) for b in ("u", "g", "r", "i", "z", "Y"))),
+    "astra_clr": EmbeddingModel("astra_clr", 700, 512, astra_clr, ("mean",), True, (("g", 300), ("r", 350), ("i", 50))),
     "chronos2": EmbeddingModel("chronos2", 8192, 768, left_padded(16), ("mean", "sequence")),
     "chronos_bolt_tiny": EmbeddingModel("chronos_bolt_tiny", 2048, 256, left_padded(16), ("mean", "sequence")),
     "chronos_bolt_mini": EmbeddingModel("chronos_bolt_mini", 2048, 384, left_padded(16), ("mean", "sequence")),
@@ -115,6 +116,20 @@ MODELS = {
 }
 
 
+def _by_band(series: DataFrame, lengths: Sequence[tuple[str, int]], reduction: str | Sequence[str], seed: int) -> DataFrame:
+    """``object_id, group, subs``: each band reduced by itself; a step holds that step of every band, which may be empty."""
+    hows = [reduction] if isinstance(reduction, str) else list(reduction)
+    parts = {(h, k): subsamples(F.filter("s", lambda x: x["band"] == b), size, how, F.col("object_id"), seed) for h, how in enumerate(hows) for k, (b, size) in enumerate(lengths)}
+    cut = series.select("object_id", "group", F.slice("s", 1, 0).alias("none"), *[p.alias(f"p_{h}_{k}") for (h, k), p in parts.items()])
+
+    def steps(h: int) -> Column:
+        own = [F.col(f"p_{h}_{k}") for k in range(len(lengths))]
+        last = F.greatest(F.lit(0), *[F.size(p) - 1 for p in own])
+        return F.transform(F.sequence(F.lit(0), last), lambda w: F.concat(*[F.coalesce(F.get(p, w), F.col("none")) for p in own]))
+
+    return cut.select("object_id", "group", F.concat(*[steps(h) for h in range(len(hows))]).alias("subs"))
+
+
 def embed(df: DataFrame, model: str | EmbeddingModel, session: Callable[[], object], *, output: str = "mean", reduction: str | Sequence[str] = "end", bands: Sequence[str] | None = None, band_groups: Sequence[dict[str, str]] | None = None, allow_extra_bands: bool = False, seed: int = 0) -> DataFrame:
     """``object_id, band, step, embedding``: one vector per object, band (or group of bands) and subsample.
 
@@ -140,7 +155,8 @@ def embed(df: DataFrame, model: str | EmbeddingModel, session: Callable[[], obje
     if known is not None and not allow_extra_bands and not df.where(~F.col("band").isin(*known) | F.col("band").isNull()).isEmpty():
         raise ValueError("there are bands that the model isn't given; allow_extra_bands leaves them out")
     series = rows.groupBy("object_id", "group").agg(F.array_sort(F.collect_list(F.struct("t", "m", "sigma", "band"))).alias("s"))
-    cut = series.select("object_id", "group", F.posexplode(subsamples(F.col("s"), spec.seq, reduction, F.col("object_id"), seed)).alias("step", "x"))
+    subs = _by_band(series, spec.lengths, reduction, seed) if spec.lengths else series.select("object_id", "group", subsamples(F.col("s"), spec.seq, reduction, F.col("object_id"), seed).alias("subs"))
+    cut = subs.select("object_id", "group", F.posexplode("subs").alias("step", "x"))
     flat = cut.select("object_id", F.col("group").alias("band"), "step", *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("t", "m", "sigma", "band")])
     kind = df.schema["object_id"].dataType.simpleString()
     whole = output == "sequence"
