@@ -1,21 +1,24 @@
 """Operator 7 - toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled rows (``SAMPLE``, by hash of the id) gives the examples. Terms are words
-and word beginnings of 3 to 7 letters; document frequencies are counted over all documents, and every
-word of the examples is indexed. Words that share a beginning tied to the label (``TERMS`` at most,
-commoner in positive examples, significant at ``CHI2``) are one term, that with the largest chi-square,
-which only raises its weight; any other word is a term of its own. A term weighs ``sqrt(tf) * idf``.
-Words that no example holds match nothing and count in the norm by the document frequency of their
-slot, one of ``SLOTS``.
-
-Examples go to an inverted index whose postings are grouped in blocks of neighbouring examples, each
-with the largest weight of each term. A query bounds every block's cosine by those maxima, scores the
-most promising blocks, and then only blocks whose bound reaches the k-th best cosine: the k nearest
-are exact. Votes weigh by cosine against a prior; the share is calibrated by isotonic regression on
-leave-one-out votes of the sample.
-
-An example never votes on its own document. Null and empty texts, and texts without a word of any
-example, get the calibrated rate of such examples. Without labels every score is 0.
+A bounded sample of labelled rows (``SAMPLE``, by hash of the id) gives the examples. Terms are the
+words of the examples, all of which are indexed. Document frequencies are counted over all documents.
+A term weighs ``sqrt(tf) * idf * (1 + chi2)`` with ``chi2`` the term's chi-square statistic against
+the labels of the sample, so that words tied to either label say more. Words outside of this
+vocabulary have no weight.
+
+Examples go to an inverted index in blocks of ``BLOCK`` neighbouring examples. Its cells, one per
+term and block, hold the block's largest weight of the term and where its postings begin; the cells
+and postings of terms that stand in most blocks are kept as matrices, a table per block. A query adds
+up its cells to a bound of every block's cosines; the postings of the few blocks with the highest
+bounds are read first, then those of blocks whose bound reaches the k-th best cosine; no posting of
+another block is touched, and the k nearest are exact. Votes weigh by cosine against a prior; the
+share is calibrated by isotonic regression on leave-one-out votes of the sample.
+
+An example never votes on its own document, whichever row it comes from. Null and empty texts, and
+texts without a term, get the calibrated rate of such examples. Very long texts are read whole.
+Repeated rows get equal scores, each row one; ties in cosine go to the example that comes first in the
+index. Without documents the result is empty, without labels every score is 0. Columns named like the
+outputs are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +36,13 @@ from pyspark.sql import functions as F
 
 from ._frames import modest_batches
 
-#: The bounds of the fitted model: labelled rows, and terms whose weight chi-square raises.
-SAMPLE, TERMS, CHI2 = 10_000, 2048, 25.0
-#: Such a term must occur in this share of the positive examples, and in three of them: copies of one text alone don't make a term.
-SUPPORT = 0.02
+#: The bound of the fitted model: labelled rows.
+SAMPLE = 10_000
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 1.0
-#: Places for the document frequencies of words that no example holds.
-SLOTS = 1 << 18
-#: Terms in more than this share of the examples are scored as a matrix; queries scored at a time.
-COMMON, TOGETHER = 0.05, 250
+#: Blocks read before the k-th best cosine is known, and queries scored at a time.
+FIRST, TOGETHER = 4, 256
+#: Terms in more than this share of the blocks are kept as matrices.
+COMMON = 0.6
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -56,121 +57,79 @@ def sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n)  # a top-n: no task sees more than its own rows and n
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    return found.groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("one")).select("one.doc_id", "one.text", "toxic")  # copies count once
-
-
-def stems(word: str) -> list[str]:
-    """A word's terms: itself, and its beginnings, marked by a hyphen."""
-    return [word, *(word[:n] + "-" for n in range(3, min(8, len(word))))]
-
-
-class Lookup(dict):
-    """The number of a word's term, for words seen; bounded. Of several, the one most tied to the label stands for
-    the word. A word that no example holds has the complement of its slot."""
-
-    def __init__(self, terms: list[str], slots: np.ndarray | None = None):
-        self.at = {t: k for k, t in enumerate(terms)}
-        self.squares = None if slots is None else np.square(slots).tolist()  # by slot: the idf's square
-
-    def __missing__(self, word: str) -> int:
-        found = min((self.at[t] for t in stems(word) if t in self.at), default=None)
-        if found is None:
-            found = ~(crc32(word.encode("utf-8", "surrogatepass")) % SLOTS)
-        if len(word) <= 32:
-            if len(self) > 100_000:
-                self.clear()
-            self[word] = found
-        return found
-
-    def numbers(self, text: str | None) -> dict[int, int]:
-        """Counts of terms and, at negative numbers, of slots."""
-        counts: dict[int, int] = {}
-        for word, n in Counter(WORD.findall((text or "").lower())).items():
-            k = self[word]
-            counts[k] = counts.get(k, 0) + n
-        return counts
-
-    def count(self, text: str | None) -> tuple[dict[int, int], float]:
-        """Counts of terms, and what all other words add to the square of the norm."""
-        counts = self.numbers(text)
-        others = [k for k in counts if k < 0]
-        return counts, float(sum(counts.pop(k) * self.squares[~k] for k in others))
-
-
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: Counter = Counter()
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.update((t, toxic) for t in {t for w in set(WORD.findall((text or "").lower())) for t in stems(w)})
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.int32()), pa.array(counts.values(), pa.int64())], names=["term", "toxic", "n"])
-
-
-def vocabulary(picked: DataFrame, terms: int = TERMS, chi2: float = CHI2) -> tuple[list[str], np.ndarray]:
-    """All terms of the sample, and what multiplies each one's idf: first the terms tied to the label, then every word."""
-    totals = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
-    pos, neg = float(totals.get(1, 0)), float(totals.get(0, 0))
-    one = picked.select("text", "toxic").mapInArrow(_term_rows, "term string, toxic int, n long")
-    by = one.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).cast("double").alias("b"))
-    a, b, n = F.col("a"), F.col("b"), pos + neg
-    best = []
-    if pos and neg:
-        top = (a * (neg - b) - b * (pos - a)) ** 2 * n / (pos * neg * (a + b) * (F.lit(n + 1e-9) - a - b))
-        best = by.withColumn("chi2", top).where((F.col("chi2") > chi2) & (a >= max(3.0, SUPPORT * pos)) & (a / pos > b / neg)).orderBy(F.desc("chi2"), "term").limit(terms).collect()
-    tied = [r["term"] for r in best]
-    at = Lookup(tied)
-    words = by.where(~F.col("term").endswith("-")).select("term").toArrow().column(0).to_pylist()  # bounded by the sample
-    rest = sorted(w for w in words if at[w] < 0)
-    return tied + rest, np.concatenate([gain(np.array([r["chi2"] for r in best], float)), np.ones(len(rest))])
-
-
-def gain(chi2: np.ndarray) -> np.ndarray:
-    """What multiplies the idf of a term tied to the label."""
-    return chi2 / CHI2
-
-
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """In how many of all documents each term occurs, and each slot, and how many documents there are."""
-    size = len(terms) + SLOTS
+    copies = found.groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("one"))  # copies count once
+    return copies.select("one.doc_id", "one.text", "toxic")
+
+
+def words(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term occurs, and how many documents there are."""
     handle = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n, lookup = np.zeros(size + 1, np.int64), 0, Lookup(handle.value)
+        at = {t: k for k, t in enumerate(handle.value)}
+        counts, n = np.zeros(len(at) + 1, np.int64), 0
         for batch in batches:
+            some: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 n += 1
-                k = np.fromiter(lookup.numbers(text), np.int64)
-                counts[np.where(k < 0, len(terms) + ~k, k)] += 1
+                some.update(set(words(text)))
+            for word, k in some.items():
+                if (place := at.get(word)) is not None:
+                    counts[place] += k
         counts[-1] = n
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there])], names=["k", "n"])
 
-    got = docs.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row a term or slot
-    counts = np.zeros(size + 1, np.int64)
+    got = docs.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    counts = np.zeros(len(terms) + 1, np.int64)
     counts[got.column("k").to_numpy()] = got.column("n").to_numpy()
-    return counts[: len(terms)], counts[len(terms) : -1], int(counts[-1])
+    return counts[:-1], int(counts[-1])
 
 
-def vectors(picked: DataFrame, terms: list[str], slots: np.ndarray) -> list[tuple]:
-    """(doc_id, toxic, term numbers, counts, other words' part of the squared norm) of the sample."""
-    handle = picked.sparkSession.sparkContext.broadcast((terms, slots))
+def examples_of(picked: DataFrame) -> tuple[list[str], list[tuple]]:
+    """All terms of the sample, sorted, and (doc_id, toxic, term numbers, counts) of its rows, at most ``SAMPLE``, in a fixed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(*handle.value)
         for batch in batches:
-            counts = [lookup.count(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c, _ in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in counts], pa.list_(pa.int32())), pa.array([o for _, o in counts], pa.float64())], names=["doc_id", "toxic", "k", "n", "others"])
+            counts = [Counter(words(t)) for t in batch.column(1).to_pylist()]
+            lists = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "toxic", "terms", "n"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    got = picked.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {kind}, toxic int, k array<int>, n array<int>, others double").toArrow()  # at most SAMPLE rows
-    numbers = [[x.values.to_numpy() for x in got.column(c)] for c in ("k", "n")]
-    rows = zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), *numbers, got.column("others").to_pylist(), strict=True)
-    return sorted(rows, key=lambda r: (str(r[0]), r[1]))
+    got = picked.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {kind}, toxic int, terms array<string>, n array<int>").toArrow().combine_chunks()
+    if not len(got):
+        return [], []
+    lists, counts = got.column("terms").chunk(0), got.column("n").chunk(0).flatten().to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    terms = coded.dictionary.to_pylist()
+    order = sorted(range(len(terms)), key=terms.__getitem__)
+    place = np.empty(len(terms), np.int64)
+    place[order] = np.arange(len(terms))
+    number, ends = place[coded.indices.to_numpy()], np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    rows = [(i, y, number[a:b], counts[a:b]) for i, y, a, b in zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), ends[:-1], ends[1:], strict=True)]
+    return [terms[k] for k in order], sorted(rows, key=lambda r: (str(r[0]), r[1]))
+
+
+def chi_square(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.ndarray:
+    """Of the presence of terms in ``a`` of ``pos`` and ``b`` of ``neg`` examples; 0 where a term tells nothing."""
+    n, both = pos + neg, a + b
+    under = pos * neg * both * (n - both)
+    return np.divide((a * (neg - b) - b * (pos - a)) ** 2 * n, under, out=np.zeros(len(a)), where=under > 0)
 
 
-def weigh(idf: np.ndarray, k: list[int], n: list[int], others: float) -> np.ndarray:
-    """The terms' part of a text's unit vector."""
-    w = np.sqrt(np.array(n, float)) * idf[np.array(k, int)]
-    return w / np.sqrt(w @ w + others)
+def weigh(weights: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A text's unit vector."""
+    w = np.sqrt(np.asarray(n, float)) * weights[np.asarray(k, int)]
+    return w / (np.sqrt(w @ w) or 1.0)
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges in a row."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 @dataclass
@@ -178,96 +137,126 @@ class Index:
     """Block-max inverted index of the examples' unit TF-IDF vectors."""
 
     terms: list[str]
-    idf: np.ndarray
+    weight: np.ndarray  # of each term
     ids: list
     labels: np.ndarray
     prior: float
-    slots: np.ndarray = None  # idf by slot, of words that no example holds
-    starts: np.ndarray = None  # of each term's postings
-    docs: np.ndarray = None
+    docs: np.ndarray = None  # postings by (term, example)
     weights: np.ndarray = None
+    cell_start: np.ndarray = None  # of each cell's postings; cells by (term, block)
+    cell_block: np.ndarray = None
+    cell_max: np.ndarray = None
+    term_start: np.ndarray = None  # of each term's cells
     votes: tuple[np.ndarray, np.ndarray] = None  # isotonic steps: vote, calibrated score
     blank: float = 0.0
 
     @classmethod
-    def build(cls, terms: list[str], idf: np.ndarray, examples: list[tuple], slots: np.ndarray) -> Index:
-        unit = [weigh(idf, k, n, others) if len(k) else np.zeros(0) for _, _, k, n, others in examples]
+    def build(cls, terms: list[str], weight: np.ndarray, examples: list[tuple]) -> Index:
+        """``examples`` are (doc_id, toxic, term numbers, counts)."""
+        unit = [weigh(weight, k, n) for _, _, k, n in examples]
         # neighbours in a block share their heaviest term, so that block maxima are tight
         order = sorted((i for i in range(len(unit)) if len(unit[i])), key=lambda i: (int(examples[i][2][np.argmax(unit[i])]), i))
-        index = cls(terms, idf, [examples[i][0] for i in order], np.array([examples[i][1] for i in order], float), float(np.mean([e[1] for e in examples])) if examples else 0.0, slots)
-        k = np.concatenate([np.asarray(examples[i][2], np.int32) for i in order]) if order else np.zeros(0, np.int32)
+        index = cls(terms, weight, [examples[i][0] for i in order], np.array([examples[i][1] for i in order], float), float(np.mean([e[1] for e in examples])) if examples else 0.0)
+        k = np.concatenate([np.asarray(examples[i][2], np.int64) for i in order]) if order else np.zeros(0, np.int64)
         d = np.repeat(np.arange(len(order), dtype=np.int32), [len(unit[i]) for i in order])
         w = np.concatenate([unit[i] for i in order]) if order else np.zeros(0)
         by = np.lexsort((d, k))
-        index.docs, index.weights = d[by], w[by].astype(np.float32)
-        index.starts = np.searchsorted(k[by], np.arange(len(terms) + 1))
-        index._unfold()
+        k, index.docs, index.weights = k[by], d[by], w[by].astype(np.float32)
+        cell = k * index.blocks + index.docs // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        index.cell_start = np.append(first, len(cell))
+        index.cell_block = (cell[first] % max(index.blocks, 1)).astype(np.int32)
+        index.cell_max = np.maximum.reduceat(index.weights, first) if len(first) else np.zeros(0, np.float32)
+        index.term_start = np.searchsorted(k[first], np.arange(len(terms) + 1))
         index._calibrate(examples)
         return index
 
-    def _unfold(self) -> None:
-        """What is made from the postings: the lookup, and common terms' weights as a matrix with its block maxima."""
-        self.lookup = Lookup(self.terms, self.slots)
-        size = np.diff(self.starts)
-        common = np.flatnonzero(size > max(COMMON * len(self.ids), 1))
-        self.place = np.full(len(self.terms), -1, np.int32)
-        self.place[common] = np.arange(len(common))
-        self.blocks = -(-len(self.ids) // BLOCK)
-        self.matrix = np.zeros((len(common), self.blocks * BLOCK), np.float32)
-        for j, t in enumerate(common):
-            at = slice(self.starts[t], self.starts[t + 1])
-            self.matrix[j, self.docs[at]] = self.weights[at]
-        self.maxima = self.matrix.reshape(len(common), self.blocks, BLOCK).max(2)
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.ids) // BLOCK)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("lookup", "place", "matrix", "maxima")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._unfold()
-
-    def nearest(self, k: list[int], n: list[int], others: float, own=None) -> list[tuple[float, int]]:
-        """(cosine, example) of the nearest, nearest first, ties to the first example; none with cosine 0."""
-        return self.nearest_all([(k, n, others, own)])[0]
-
-    def nearest_all(self, queries: list[tuple]) -> list[list[tuple[float, int]]]:
-        """:meth:`nearest` of each (k, n, others, own); cosines are of single precision."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("at", "tables")}
+
+    @cached_property
+    def at(self) -> dict[str, int]:
+        """The number of each term."""
+        return {t: k for k, t in enumerate(self.terms)}
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of common terms: each term's row or -1, block maxima (term, block) and weights (block, term, place)."""
+        common = np.flatnonzero(np.diff(self.term_start) > max(COMMON * self.blocks, 1))
+        row = np.full(len(self.terms), -1, np.int32)
+        row[common] = np.arange(len(common))
+        most = np.zeros((len(common), self.blocks), np.float32)
+        whole = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        for j, t in enumerate(common.tolist()):
+            cells = slice(self.term_start[t], self.term_start[t + 1])
+            most[j, self.cell_block[cells]] = self.cell_max[cells]
+            spot = slice(self.cell_start[cells.start], self.cell_start[cells.stop])
+            whole[self.docs[spot] // BLOCK, j, self.docs[spot] % BLOCK] = self.weights[spot]
+        return row, most, whole
+
+    def numbers(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of a text's terms."""
+        counts = Counter(map(self.at.get, words(text)))
+        counts.pop(None, None)
+        return np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+
+    def nearest(self, queries: list[tuple]) -> list[list[tuple[float, int]]]:
+        """(cosine, example) of the nearest to each (term numbers, counts, own id), nearest first; none with cosine 0."""
         return [near for a in range(0, len(queries), TOGETHER) for near in self._together(queries[a : a + TOGETHER])]
 
     def _together(self, queries: list[tuple]) -> list[list[tuple[float, int]]]:
-        """Postings of rare terms are summed for all examples; common terms then only in blocks whose bound reaches the nearest."""
-        cosines = np.zeros((len(queries), self.blocks * BLOCK), np.float32)
-        dense = np.zeros((len(queries), len(self.matrix)), np.float32)
-        for r, (k, n, others, _) in enumerate(queries):
-            k = np.asarray(k, int)
-            q = weigh(self.idf, k, n, others).astype(np.float32)
-            at = self.place[k]
-            dense[r, at[at >= 0]] = q[at >= 0]
-            k, q = k[at < 0], q[at < 0]
-            a, size = self.starts[k], self.starts[k + 1] - self.starts[k]
-            if total := int(size.sum()):
-                spot = np.arange(total) + np.repeat(a - (np.cumsum(size) - size), size)
-                cosines[r] = np.bincount(self.docs[spot], np.repeat(q, size) * self.weights[spot], cosines.shape[1])
-        want = NEIGHBOURS + 1  # one may be the text itself
-        bound = cosines.reshape(len(queries), self.blocks, BLOCK).max(2) + dense @ self.maxima + 1e-5
-        scored = np.zeros(bound.shape, bool)
-        first = np.partition(bound, -min(4, self.blocks), 1)[:, [-min(4, self.blocks)]]
-        known = np.full(cosines.shape, -1, np.float32)
-        floor = first
-        for _ in range(2):
-            # first the blocks with the highest bounds, then all others that can hold one of the nearest
-            todo = (bound >= floor) & ~scored
+        rows, blocks = len(queries), self.blocks
+        row, most, whole = self.tables
+        dense = np.zeros((rows, len(most)), np.float32)
+        rare = []  # of each query: terms and values
+        for r, (k, n, _) in enumerate(queries):
+            value = weigh(self.weight, k, n)
+            at = row[k]
+            dense[r, at[at >= 0]] = value[at >= 0]
+            rare.append((k[at < 0], value[at < 0]))
+        k = np.concatenate([x for x, _ in rare]).astype(np.int64)
+        size = self.term_start[k + 1] - self.term_start[k]
+        cell = _spread(self.term_start[k], size)
+        value = np.repeat(np.concatenate([x for _, x in rare]), size)
+        place = np.repeat(np.repeat(np.arange(rows), [len(x) for x, _ in rare]), size) * blocks + self.cell_block[cell]
+        bound = dense @ most + np.bincount(place, value * self.cell_max[cell], rows * blocks).reshape(rows, blocks) + 1e-5
+        want = min(NEIGHBOURS + 1, blocks * BLOCK)  # one may be the text itself
+
+        def read(todo: np.ndarray, slot: np.ndarray, width: int) -> np.ndarray:
+            """Cosines with the examples of the blocks in ``todo``; ``slot`` says where a block's go, of ``width`` slots a row."""
+            known = np.zeros((rows, width, BLOCK), np.float32)
             for b in np.flatnonzero(todo.any(0)):
-                rows, at = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-                known[rows, at] = cosines[rows, at] + dense[rows] @ self.matrix[:, at]
-            scored |= todo
-            best = np.partition(known, -min(want, known.shape[1]), 1)[:, -min(want, known.shape[1])]
-            floor = best[:, None]
+                asks = np.flatnonzero(todo[:, b])
+                known[asks, slot[asks, b]] = dense[asks] @ whole[b]
+            mine = np.flatnonzero(todo.ravel()[place])
+            start = self.cell_start[cell[mine]]
+            many = self.cell_start[cell[mine] + 1] - start
+            spot = _spread(start, many)
+            to = place[mine]
+            target = np.repeat((to // blocks * width + slot.ravel()[to]) * BLOCK, many) + self.docs[spot] % BLOCK
+            known += np.bincount(target, np.repeat(value[mine], many) * self.weights[spot], known.size).reshape(known.shape)
+            return known.reshape(rows, -1)
+
+        # the blocks with the highest bounds tell how near the k-th is at least; then all that can hold a nearer one are read
+        few = min(FIRST, blocks)
+        first = np.argpartition(bound, -few, 1)[:, -few:]
+        some, slot = np.zeros(bound.shape, bool), np.zeros(bound.shape, np.int32)
+        np.put_along_axis(some, first, True, 1)
+        np.put_along_axis(slot, first, np.arange(few, dtype=np.int32)[None], 1)
+        table = read(some, slot, few)
+        floor = np.partition(table, -min(want, table.shape[1]), 1)[:, [-min(want, table.shape[1])]] if table.shape[1] >= want else np.zeros((rows, 1))
+        every = np.broadcast_to(np.arange(blocks, dtype=np.int32), bound.shape)
+        table = read((bound >= floor) & (bound > 2e-5), every, blocks)
+        floor = np.partition(table, -want, 1)[:, [-want]]
         out = []
-        for r, (_, _, _, own) in enumerate(queries):
-            near = np.flatnonzero(known[r] >= max(best[r], np.finfo(np.float32).tiny))
-            near = near[np.lexsort((near, -known[r, near]))]
-            out.append([(float(known[r, i]), int(i)) for i in near if own is None or self.ids[i] != own][:NEIGHBOURS])
+        for r, (_, _, own) in enumerate(queries):
+            near = np.flatnonzero(table[r] >= max(floor[r, 0], np.finfo(np.float32).tiny))
+            near = near[np.lexsort((near, -table[r, near]))]
+            out.append([(float(table[r, i]), int(i)) for i in near if own is None or self.ids[i] != own][:NEIGHBOURS])
         return out
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -279,7 +268,7 @@ class Index:
         blank = [e[1] for e in examples if not len(e[2])]
         self.blank = (sum(blank) + self.prior) / (len(blank) + 1)
         full = [e for e in examples if len(e[2])]
-        near = self.nearest_all([(e[2], e[3], e[4], e[0]) for e in full])
+        near = self.nearest([(e[2], e[3], e[0]) for e in full])
         votes = sorted((self.vote(x), e[1]) for x, e in zip(near, full, strict=True))
         pools: list[list[float]] = []  # first vote, hits, rows
         for v, y in votes:
@@ -292,9 +281,9 @@ class Index:
 
     def scores(self, texts: list[str | None], own: list) -> list[tuple[float, list[tuple[float, int]]]]:
         """The score of each text and its nearest examples."""
-        counted = [self.lookup.count(t) for t in texts]
-        full = [r for r, (counts, _) in enumerate(counted) if counts and self.ids]
-        near = self.nearest_all([(list(counted[r][0]), list(counted[r][0].values()), counted[r][1], own[r]) for r in full])
+        found = [self.numbers(t) for t in texts] if self.ids else []
+        full = [r for r, (k, _) in enumerate(found) if len(k)]
+        near = self.nearest([(*found[r], own[r]) for r in full])
         out: list = [(self.blank, [])] * len(texts)
         step, level = self.votes
         for r, x in zip(full, near, strict=True):
@@ -305,11 +294,13 @@ class Index:
 def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Index:
     """The index over a bounded sample of ``labels`` (``doc_id, toxic``) with texts and frequencies from ``docs``."""
     modest_batches(docs.sparkSession)
-    picked = sample(docs, labels, n)
-    terms, gains = vocabulary(picked)
-    df, other, total = document_frequencies(docs, terms)
-    idf = lambda n: np.log((1 + total) / (1 + n)) + 1
-    return Index.build(terms, idf(df) * gains, vectors(picked, terms, idf(other)), idf(other))
+    terms, examples = examples_of(sample(docs, labels, n))
+    there = [np.concatenate([np.zeros(0, np.int64), *[e[2] for e in examples if e[1] == y]]) for y in (1, 0)]
+    a, b = (np.bincount(x, minlength=len(terms)).astype(float) for x in there)
+    toxic = float(sum(e[1] for e in examples))
+    df, total = document_frequencies(docs, terms)
+    idf = np.log((1 + total) / (1 + df)) + 1
+    return Index.build(terms, idf * (1 + chi_square(a, b, toxic, len(examples) - toxic)), examples)
 
 
 EVIDENCE = "array<struct<doc_id:string,toxic:int,cosine:double>>"
