@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
-#: Rows of texts that travel to a Python worker at a time; texts may be long, and each batch is held several times.
-BATCH_ROWS = 1000
+#: Rows and bytes that travel to a Python worker at a time; texts may be long, and each batch is held several times.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` if they are larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES`` if they are larger.
+
+    Spark reads both settings when a query runs, so they can't be put back once a lazy frame is made.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key, None))
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 _own: dict[str, str] = {}  # by application, where no folder is set
@@ -65,6 +69,20 @@ def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the columns of ``right``, which has at most one row a key; null where it has none.
+
+    ``left`` should be staged: it is read three times. Keys that hold more than ``1 / (8 * partitions)``
+    of its rows are fewer than ``8 * partitions``, so their rows of ``right`` are broadcast and the
+    rows of ``left`` stay where they are; the rest is joined by shuffle.
+    """
+    parts = 8 * shuffle_partitions(left.sparkSession)
+    some = max(left.count() // parts, 1)
+    hot = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > some).select(key)
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left")
+    return rest.unionByName(left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key, "left"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import drop_staged, staged
+from ._frames import drop_staged, spread_join, staged
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,30 +13,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round points every node at its least neighbour or itself, follows the pointers twice, and
     contracts the edges; staged tables end the lineage of every round. Chains at least halve a
-    round, stars vanish at once. Nothing but an emptiness test returns to the driver.
+    round, stars vanish at once. The centre of a star may be a third of all rows: its rows are joined
+    where they lie (:func:`._frames.spread_join`). Nothing but an emptiness test returns to the driver.
     """
     edges = staged(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col("a") < F.col("b")).distinct())
     known: DataFrame | None = None
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
-        point = both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("to"))
+        point = staged(both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("to")))
         for _ in range(2):
             ahead = point.select(F.col("node").alias("to"), F.col("to").alias("ahead"))
-            point = point.join(ahead, "to", "left").select("node", F.coalesce("ahead", "to").alias("to"))
-        point = staged(point)
+            old, point = point, staged(spread_join(point, ahead, "to").select("node", F.coalesce("ahead", "to").alias("to")))
+            drop_staged(old)
         left, right = point.select(F.col("node").alias("a"), F.col("to").alias("x")), point.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        met = edges.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(F.col("a") < F.col("b")).distinct()
+        half = staged(spread_join(edges, left, "a").select("b", "x"))
+        met = spread_join(half, right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(F.col("a") < F.col("b")).distinct()
         old, edges = edges, staged(met)
-        drop_staged(old)
+        drop_staged(old), drop_staged(half)
+        point = point.withColumnRenamed("to", "component")
         if known is None:
             known = point
         else:
-            step = point.select(F.col("node").alias("component"), F.col("to").alias("next"))
+            step = point.select(F.col("node").alias("component"), F.col("component").alias("next"))
             before = known
-            known = staged(known.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component" if "component" in known.columns else "to")))
+            known = staged(spread_join(known, step, "component").select("node", F.coalesce("next", "component").alias("component")))
             drop_staged(before), drop_staged(point)
-        if "to" in known.columns:
-            known = known.withColumnRenamed("to", "component")
     if known is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return known
