@@ -445,3 +445,133 @@ def test_digests(spark, tmp_path):
     two = {r["doc_id"]: r for r in pii.op2_pii(spark, str(tmp_path)).collect()}
     assert two[1]["n_email"] == 1 and two[1]["spans"] == "email:12:19" and two[1]["base_sha256"] == hashlib.sha256(b"email:12:19").hexdigest()
     assert two[2]["spans"] == "" and two[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def oracle(sql, path, *tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet')")
+    return con.sql(sql).df()
+
+
+def same_rows(spark_df, want, columns):
+    got = spark_df.select(*columns).toPandas()
+    assert sorted(map(tuple, got.astype(object).values.tolist())) == sorted(map(tuple, want[columns].astype(object).values.tolist()))
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def test_op1_and_op9_against_sql(spark):
+    from tidemark.llm import queries
+
+    same_rows(minhash_dedup.op1_near_duplicates(spark, SMALL), oracle(queries.NEAR_DUPLICATES, SMALL, "documents"), ["doc_id", "n_shingles", "component_id", "kept"])
+    same_rows(embedding_dedup.op9_embedding_dedup(spark, SMALL), oracle(queries.EMBEDDING_DEDUP, SMALL, "embeddings"), ["vec_id", "n_links", "component_id", "kept"])
+
+
+@pytest.mark.parametrize("n, keep, percent", [(7, 6, 85), (40, 37, 85), (400, 370, 85), (3000, 2760, 85)])
+def test_minhash_misses_as_seldom_as_stated(n, keep, percent):
+    """Pairs at the threshold agree in a place as often as they are similar, whatever their size, and meet in some tree."""
+    rng = np.random.default_rng(n)
+    depth, agree, missed, rounds = minhash_dedup.full_depth(percent), 0, 0, 600 if n < 1000 else 100
+    for _ in range(rounds):
+        both = rng.integers(0, 1 << 63, keep, dtype=np.uint64)
+        a, b = (np.sort(np.concatenate([both, rng.integers(0, 1 << 63, n - keep, dtype=np.uint64)])) for _ in range(2))
+        a, b = (minhash_dedup.mix(x) for x in (a, b))
+        equal = (minhash_dedup.signature(np.sort(a)) == minhash_dedup.signature(np.sort(b))).reshape(minhash_dedup.TREES, minhash_dedup.DEEP)
+        agree += equal.mean()
+        missed += not equal[:, :depth].all(1).any()
+    similarity = keep / (2 * n - keep)
+    assert agree / rounds == pytest.approx(similarity, abs=0.01)
+    expected = (1 - similarity**depth) ** minhash_dedup.TREES
+    assert missed <= 3 + 3 * expected * rounds
+
+
+def test_minhash_regions_are_found_across_partitions(spark):
+    """Every pair with a common prefix of the full depth shares a region, wherever partitions of the order end."""
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 3, (300, minhash_dedup.TREES * minhash_dedup.DEEP)).astype(">u2")
+    pool[200:] = pool[200]  # a hot prefix in every tree
+    pool[200:, 7 :: minhash_dedup.DEEP] = rng.integers(0, 9, (100, minhash_dedup.TREES))
+    rows = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(pool)], "node long, strings binary")
+    for depth in (6, 8):
+        regions = defaultdict(set)
+        leader = {}
+        for r in minhash_dedup.meetings(rows, depth).collect():
+            regions[r["region"]].add(r["node"])
+            leader.setdefault(r["region"], set()).add(r["leader"])
+        assert all(len(v) == 1 and v <= regions[k] for k, v in leader.items())
+        met = {p for v in regions.values() for p in itertools.combinations(sorted(v), 2)}
+        strings = pool.reshape(300, minhash_dedup.TREES, minhash_dedup.DEEP)
+        want = {(a, b) for a, b in itertools.combinations(range(300), 2) if (strings[a] == strings[b])[:, :depth].all(1).any()}
+        least = {(a, b) for a, b in itertools.combinations(range(300), 2) if (strings[a] == strings[b])[:, : minhash_dedup.SHALLOW].all(1).any()}
+        assert want <= met <= least and want
+
+
+def test_minhash_of_repeated_ids(spark):
+    """Rows of one doc_id are one document: it links with whatever one of its texts links to."""
+    r = random.Random(8)
+    a, b = " ".join(words(r, 60)), " ".join(words(r, 60))
+    rows = [(1, a), (5, a + " more"), (5, b), (7, b + " less"), (5, ""), (9, "alone in the world"), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x["doc_id"], x["component_id"]) for x in minhash_dedup.near_duplicates(df, words=3, percent=85).collect() if x["doc_id"])
+    assert got == [(1, 1), (5, 1), (5, 1), (5, 1), (7, 1), (9, 9)]
+    left = sorted((x["doc_id"] or 0, x["text"]) for x in minhash_dedup.deduplicate(df, words=3, percent=85).collect())
+    assert left == [(0, a), (1, a), (9, "alone in the world")]
+
+
+def test_neighbours_of_odd_rows(spark):
+    """Repeated ids are one vector; ragged ones take no part; ties, clashing columns, empty tables."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 8))
+    x[31] = x[30]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(20, x[20].tolist()), (20, x[20].tolist()), (40, (x[40] + 9).tolist()), (70, [1.0] * 5), (80, []), (None, x[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("mine")).withColumn("block", F.lit(1))
+    x[40] = min(x[40].tolist(), (x[40] + 9).tolist())
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=10).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"]) for r in got] == [(q, k) for q in (0, 20, 40) for k in range(1, 11)]
+    for q in (0, 20, 40):
+        own = [(r["vec_id"], r["score"]) for r in got if r["query_id"] == q]
+        assert len({v for v, _ in own}) == 10 and q not in {v for v, _ in own}
+        assert own == sorted(own, key=lambda f: (-f[1], f[0])) and all(s == pytest.approx(x[q] @ x[v]) for v, s in own)
+    assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0 == neighbours.nearest(df, F.lit(False)).count()
+
+
+def test_neighbours_forest_descends_to_the_longest_match():
+    rng = np.random.default_rng(2)
+    forest = neighbours.Forest(rng.normal(size=(500, 12)), 6.0, trees=7, bits=20)
+    codes = forest._codes(np.hstack([rng.normal(size=(9, 12)), np.zeros((9, 1))]))
+    bits = lambda v: format(int(v), "020b")
+    common = lambda a, b: next((k for k, (p, q) in enumerate(zip(a, b, strict=True)) if p != q), 20)
+    want = [[max(common(bits(c), bits(s)) for s in forest.sorted[t]) for c in codes[t]] for t in range(7)]
+    assert forest.longest(codes).tolist() == want
+    length = np.array([3, 5, 0, 7, 2, 4, 6, 8, 1])
+    for j, rows in enumerate(forest.met(codes, length)):
+        hit = {int(forest.order[t, k]) for t in range(7) for k, s in enumerate(forest.sorted[t]) if common(bits(codes[t, j]), bits(s)) >= length[j]}
+        assert set(rows.tolist()) == hit
+
+
+def test_op3_recall(spark):
+    """The query over its whole table, against brute force."""
+    table = spark.read.parquet(f"{SMALL}/embeddings.parquet").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.array(table["embedding"].tolist(), float)
+    by = defaultdict(list)
+    for r in neighbours.op3_neighbours(spark, SMALL).collect():
+        by[r["query_id"]].append(r["vec_id"])
+    hits = 0
+    asks = np.flatnonzero(ids % 20 == 0)
+    assert set(by) == set(ids[asks].tolist())
+    for q in asks:
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(set(ids[np.argsort(-scores)[:20]].tolist()) & set(by[ids[q]]))
+    assert hits >= 0.9 * 20 * len(asks)
+
+
+def test_embedding_dedup_of_odd_rows(spark):
+    """Repeated ids are one vector; ragged ones link with nothing."""
+    rows = [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (7, [1.0, 0.01], 1), (8, [1.0, 0.0, 0.0], 1), (9, [0.0, 1.0], 1), (9, [1.0, 0.0], 2), (10, [1.0, 0.0], 2)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(5, 1, 5), (5, 1, 5), (7, 1, 5), (8, 0, 8), (9, 0, 9), (9, 0, 9), (10, 0, 10)]

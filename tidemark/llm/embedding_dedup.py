@@ -9,8 +9,10 @@ suffix norms (the most that the rest can add) reaches the threshold. What is lef
 cosine of the original vectors in double precision.
 
 Each unit returns counts by vector and the edges of a spanning forest, not its pairs. Rows with null
-label, and null, zero or non-finite vectors, link with nothing. Rows of one ``vec_id`` are one vector
-if equal, and else count as linked to what any of them links to.
+label, and null, zero or non-finite vectors, or vectors not of the commonest length, link with
+nothing. Rows of one ``vec_id`` are one vector, the least usable of theirs by label and components, and
+all get its result. Rows with null ``vec_id`` are returned unlinked. An empty table gives an empty
+result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import staged
+from ._frames import drop_staged, spread_join, staged
 from ._graph import components
 from ._tiles import units
 
@@ -39,6 +41,12 @@ def usable(vector: str):
     return F.coalesce((F.size(x) > 0) & finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
+def of_commonest_length(df: DataFrame, vector: str) -> DataFrame:
+    """The rows whose vector has the length that most rows' have; of equally common ones, the largest."""
+    first = df.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()  # a row a length
+    return df.where(F.size(vector) == (first["d"] if first else 0))
+
+
 def principal_axes(vectors: DataFrame, name: str) -> np.ndarray:
     """Columns: principal axes of the unit vectors, by descending second moment about their mean."""
 
@@ -112,11 +120,13 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     ``n_links`` counts the other rows linked to a row. A null ``vec_id`` has no component and is kept.
     """
     rows = df.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"), F.col(label).alias("label"))
-    good = rows.where(usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
+    good = of_commonest_length(rows.where(usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()), "v")
+    if not rows.groupBy("vec_id").count().where("vec_id is not null and count > 1").isEmpty():
+        good = good.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("x")).select("vec_id", "x.v", "x.label")
     kind = rows.schema["vec_id"].dataType.simpleString()
-    # a class: equal vectors of a label; its least id stands for it
-    keyed = good.select("vec_id", "label", "v", F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256).alias("same"))
-    classes = staged(keyed.groupBy("label", "same").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
+    # a class: equal vectors of a label, named by 128 bits of hash; its least id stands for it
+    keyed = staged(good.select("vec_id", "label", "v", F.struct(F.xxhash64("label", "v"), F.xxhash64(F.lit(1), "v", "label")).alias("same")))
+    classes = staged(keyed.groupBy("same").agg(F.first("label").alias("label"), F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
     axes = principal_axes(classes, "v")
     if not len(axes):
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -147,11 +157,15 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     met = staged(dealt.select("unit", "side", "id", "copies", "v").groupBy("unit").applyInPandas(compare, f"a {kind}, b {kind}, n long"))
     counts = met.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     roots = components(met.where("a <> b"))
-    classed = classes.select("id", "label", "same", "copies").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    classed = classed.select("label", "same", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("root"))
-    linked = keyed.select("vec_id", "label", "same").join(classed, ["label", "same"]).select("vec_id", F.col("links").alias("n_links"), F.col("root").alias("component_id"))
-    rest = rows.where(~(usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    classed = classes.select("id", "same", "copies").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    classed = staged(classed.select("same", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("root")))
+    linked = staged(spread_join(keyed.select("vec_id", "same"), classed, "same").select("vec_id", "links", "root"))
+    for x in (keyed, classes, met, classed):
+        drop_staged(x)
+    known = rows.where("vec_id is not null").select("vec_id").join(linked, "vec_id", "left")
+    out = known.unionByName(rows.where("vec_id is null").select("vec_id", F.lit(None).cast("long").alias("links"), F.col("vec_id").alias("root")))
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
