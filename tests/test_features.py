@@ -5,7 +5,9 @@ import math
 import numpy as np
 import pytest
 
+from tidemark.functions import fitting
 from tidemark.operators import features as fs
+from tidemark.operators import rainbow
 from tidemark.operators.binning import Bins, Bootstrap, binned
 from tidemark.operators.parametric import BazinFit, LinexpFit, Periodogram, VillarFit
 from tidemark.operators.rainbow import RainbowFit
@@ -189,3 +191,100 @@ def test_rainbow():
     p, errors = f.fit_and_get_errors(t, y + rng.normal(0, s), s, band)
     assert np.abs(f.model(t, band, p) - y).max() < 0.1 * np.ptp(y)
     assert 0.3 < p[-1] < 0.8 and len(errors) == len(p) - 1  # half of chi-square per degree of freedom
+
+
+def test_linear_fits_hold_no_series(spark):
+    """Sums only, about the means of an object: large times cost no digits."""
+    rng = np.random.default_rng(8)
+    t = 2_450_000 + np.sort(rng.uniform(0, 30, 60))
+    m, sigma = 3 + 0.2 * (t - t[0]) - 0.03 * (t - t[0]) ** 2 + rng.normal(0, 0.1, 60), rng.uniform(0.05, 0.2, 60)
+    specs = [fs.LinearFit(), fs.LinearTrend(), fs.ParabolaFit()]
+    frame = spark.createDataFrame([(1, *map(float, r), "g") for r in zip(t, m, sigma, strict=True)], "object_id long, t double, m double, sigma double, band string")
+    out = extract(frame, specs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1
+    row = out.first()
+    w, x = 1 / sigma, t - t.mean()
+    line = np.polyfit(x, m, 1, w=w)
+    assert row["linear_fit_slope"] == pytest.approx(line[0], rel=1e-9) and row["linear_trend"] == pytest.approx(np.polyfit(x, m, 1)[0], rel=1e-9)
+    assert row["linear_fit_reduced_chi2"] == pytest.approx((((m - np.polyval(line, x)) * w) ** 2).sum() / 58, rel=1e-9)
+    bow = np.polyfit(x, m, 2, w=w)
+    assert row["parabola_fit_g"] == pytest.approx(bow[0], rel=1e-8) and row["parabola_fit_m0"] == pytest.approx(bow[2] - bow[1] ** 2 / (4 * bow[0]), rel=1e-8)
+    assert row["parabola_fit_reduced_chi2"] == pytest.approx((((m - np.polyval(bow, x)) * w) ** 2).sum() / 57, rel=1e-7)
+
+
+PRIORS = {"normal": fitting.normal(3.0, 0.5), "log_normal": fitting.log_normal(1.0, 0.4), "uniform": fitting.uniform(1.0, 4.0), "log_uniform": fitting.log_uniform(0.5, 9.0), "mix": fitting.mix([(2.0, fitting.normal(2.0, 0.3)), (1.0, fitting.normal(6.0, 2.0))])}
+
+
+@pytest.mark.parametrize("name", PRIORS)
+def test_priors_attract(name):
+    """The squared residual is -2 ln of the density up to a constant that doesn't depend on the parameter; least at the mode."""
+    prior = PRIORS[name]
+    x = np.linspace(1.01, 3.99, 50)
+    cost = np.array([prior.residual(v) ** 2 for v in x])
+    shift = cost + 2 * np.array([prior(v) for v in x])
+    assert np.ptp(shift) < 1e-9 and prior.residual(prior.mode()) == pytest.approx(0, abs=1e-9) and (cost >= 0).all()
+
+
+@pytest.mark.parametrize("name, args", [("normal", (9.0, 0.02)), ("log_normal", (math.log(9.0), 0.002)), ("uniform", (8.5, 9.1)), ("log_uniform", (8.0, 9.1))])
+def test_fit_with_a_prior(name, args):
+    """The fit stands where a grid search over the amplitude finds the least sum of chi-square and prior."""
+    rng = np.random.default_rng(3)
+    t, true = np.sort(rng.uniform(0, 60, 120)), (10.0, 1.0, 25.0, 4.0, 12.0)
+    s = np.full(120, 0.3)
+    y = fitting.bazin(t, true) + rng.normal(0, s)
+    prior = getattr(fitting, name)(*args)
+    free = fitting.none()
+    p = fitting.fit_model("bazin", t, y, s, niter=16, ln_prior=(prior, free, free, free, free))
+    total = lambda p: float((((fitting.bazin(t, p) - y) / s) ** 2).sum()) - 2 * prior(p[0])
+    rest = lambda a: fitting.fit_model("bazin", t, y, s, niter=0, init=[a, *p[1:5]], bounds=[(a, a), *[None] * 4])
+    grid = [total(rest(a)[:5]) for a in np.clip(np.linspace(p[0] - 0.3, p[0] + 0.3, 13), *np.clip(prior.support(), 1, 99))]
+    assert total(p[:5]) <= min(grid) + 1e-3
+    assert abs(p[0] - 9.0) < 0.2 and fitting.fit_model("bazin", t, y, s, niter=16)[0] == pytest.approx(10, abs=0.5)
+
+
+def test_robust_loss():
+    """Outliers pull the plain fit and not the one with Huber's loss."""
+    rng = np.random.default_rng(3)
+    t, true = np.sort(rng.uniform(0, 60, 150)), (10.0, 1.0, 25.0, 4.0, 12.0)
+    s = np.full(150, 0.2)
+    y = fitting.bazin(t, true) + rng.normal(0, s)
+    y[::10] += 6
+    off = lambda **how: np.abs(fitting.bazin(t, fitting.fit_model("bazin", t, y, s, "mcmc-ceres", 32, **how)) - fitting.bazin(t, true)).mean()
+    assert 3 * off(loss_reg=2.0) < off()
+
+
+def test_rainbow_terms():
+    """Written-out formulas, and peaks where the curves have them."""
+    x = np.linspace(-40, 60, 4001)
+    r, f, a, t0 = 5.0, 20.0, 3.0, 2.0
+    scale = (f / r) ** (r / (f + r)) + (f / r) ** (-f / (f + r))
+    names = {"bazin": dict(reference_time=t0, amplitude=a, rise_time=r, fall_time=f), "linexp": dict(reference_time=t0, amplitude=a, rise_time=-r), "doublexp": dict(reference_time=t0, amplitude=a, time1=4.0, time2=6.0, p=0.3)}
+    dt = x - t0
+    want = {"bazin": a * scale / (np.exp(-dt / r) + np.exp(dt / f)), "linexp": np.maximum(a * np.e * dt / r * np.exp(-dt / r), 0), "doublexp": a * np.exp(np.minimum(-dt / 4 * (0.3 - np.exp(-dt / 6)), 20))}
+    for name, p in names.items():
+        term = rainbow.BOLOMETRIC[name]
+        got = term.value(x, p)
+        assert got == pytest.approx(want[name], rel=1e-9, abs=1e-12), name
+        inside = x > -10
+        assert term.peak(p) == pytest.approx(x[inside][np.argmax(got[inside])], abs=0.05), name
+    assert want["bazin"].max() == pytest.approx(a, rel=1e-4)
+    short = dict(names["bazin"], rise_time=20.0, fall_time=5.0)
+    assert rainbow.BOLOMETRIC["bazin"].value(x, short).max() == pytest.approx(a, rel=1e-4)
+    early = dict(names["linexp"], rise_time=r)
+    assert rainbow.BOLOMETRIC["linexp"].value(x, early).max() == pytest.approx(a, rel=1e-4) and rainbow.BOLOMETRIC["linexp"].peak(early) == t0 - r
+    assert rainbow.STEFAN == pytest.approx(5.6703744191844e-5, rel=1e-10)
+
+
+@pytest.mark.parametrize("bolometric, own", [("bazin", dict(reference_time=30.0, amplitude=10.0, rise_time=3.0, fall_time=9.0)), ("linexp", dict(reference_time=15.0, amplitude=10.0, rise_time=-8.0)), ("doublexp", dict(reference_time=25.0, amplitude=10.0, time1=6.0, time2=8.0, p=0.6))])
+@pytest.mark.parametrize("temperature", ["constant", "sigmoid"])
+def test_rainbow_recovers(bolometric, own, temperature):
+    rng = np.random.default_rng(5)
+    waves = {"g": 4770.0, "r": 6231.0, "i": 7625.0}
+    f = RainbowFit.from_angstrom(waves, bolometric=bolometric, temperature=temperature, with_baseline=False)
+    t, band = np.sort(rng.uniform(0, 60, 240)), rng.choice(list(waves), 240)
+    true = own | dict(T=9000.0, T_amplitude=0.2, t_color=5.0)
+    y = f.model(t, band, [true[n] for n in f.parameters()])
+    s = np.full(240, 0.03 * np.ptp(y))
+    p, errors = f.fit_and_get_errors(t, y + rng.normal(0, s), s, band)
+    assert np.abs(f.model(t, band, p) - y).max() < 0.1 * np.ptp(y) and p[-1] < 0.8

@@ -11,7 +11,7 @@ from tidemark.operators.embedding import embed
 from tidemark.operators import reductions
 from tidemark.operators.reductions import mask, padded, reduce_series, similar
 from tidemark.sources.curves import from_nested, long_form, problems, to_nested, validated
-from tidemark.streaming.streams import count_windows, run_once, streaming_bins, streaming_features
+from tidemark.streaming.streams import count_windows, mergeable, run_once, streaming_bins, streaming_features
 
 SCHEMA = "object_id long, t double, m double, sigma double, band string"
 
@@ -102,35 +102,78 @@ def test_similar_beyond_one_block(spark):
     assert similar(many.where("vec_id < 3"), many, 1).count() == 10_001
 
 
-class FakeSession:
+#: Tensors that published sessions ask for: name, shape after the subsamples, type.
+INPUTS = {
+    "astromer1": {"times": (200, 1), "input": (200, 1), "mask_in": (200, 1)},
+    "atcat": {"flux": (243,), "flux_err": (243,), "time": (243,), "mask": (243,), "channel_index": (243,)},
+    "atat": {"data": (65, 6), "time": (65, 6), "mask": (65, 6)},
+    "astra_clr": {"input": (700, 1), "times": (700, 1), "band_info": (700, 1), "mask": (700,)},
+    "moment1_small": {"context": (512,)},
+    "chronos_bolt_tiny": {"context": (16,)},
+}
+
+
+class StrictSession:
+    """Refuses tensors that the model doesn't ask for; gives a row per subsample: the sum of one tensor."""
+
+    def __init__(self, model, tensor):
+        self.model, self.tensor = model, tensor
+
+    def __call__(self):
+        return self
+
     def run(self, outputs, inputs):
-        x = next(iter(inputs.values()))
-        return [np.full((1, 4), np.nansum(x), np.float32)]
+        n = len(next(iter(inputs.values())))
+        assert {k: v.shape for k, v in inputs.items()} == {k: (n, *v) for k, v in INPUTS[self.model].items()}
+        x = inputs[self.tensor].reshape(n, -1).astype(np.float64)
+        return [np.repeat(np.nansum(x, 1)[:, None], 4, 1).astype(np.float32)]
 
 
 def test_embedding(spark):
     df = table(spark, [(1, float(k), float(k), 1.0, "g" if k % 2 else "r") for k in range(6)])
-    assert embed(df, "moment1_small", FakeSession).first()["embedding"] == [15.0] * 4
-    two = {r["band"]: r["embedding"][0] for r in embed(df, "chronos_bolt_tiny", FakeSession, bands=["g", "r"]).collect()}
+    assert embed(df, "moment1_small", StrictSession("moment1_small", "context")).first()["embedding"] == [15.0] * 4
+    bolt = StrictSession("chronos_bolt_tiny", "context")
+    two = {r["band"]: r["embedding"][0] for r in embed(df, "chronos_bolt_tiny", bolt, bands=["g", "r"]).collect()}
     assert two == {"g": 9.0, "r": 6.0}
     with pytest.raises(ValueError):
-        embed(df, "atcat", FakeSession, band_groups=[{"g": "g"}])
-    assert embed(df, "atcat", FakeSession, band_groups=[{"g": "g"}], allow_extra_bands=True).count() == 1
+        embed(df, "atcat", StrictSession("atcat", "flux"), band_groups=[{"g": "g"}])
+    numbers = embed(df, "atcat", StrictSession("atcat", "channel_index"), band_groups=[{"r": "g"}], allow_extra_bands=True)
+    assert [r["embedding"][0] for r in numbers.collect()] == [6.0]  # three observations in the model's band 2
+    assert [r["embedding"][0] for r in embed(df, "atcat", StrictSession("atcat", "mask")).collect()] == [6.0]
+    with pytest.raises(Exception, match="no band"):
+        embed(df.withColumn("band", F.lit("x")), "atcat", StrictSession("atcat", "mask")).collect()
+
+
+def test_embedding_inputs(spark):
+    """Names, shapes and contents of what every kind of model is given, several subsamples at a time."""
+    df = table(spark, [(1, 58000.0 + k, 20.0 + k % 3, 0.1, "gri"[k % 3]) for k in range(450)] + [(2, 58001.0, 20.0, 0.1, "g")])
+    seen = embed(df, "astromer1", StrictSession("astromer1", "mask_in")).orderBy("object_id", "step").collect()
+    assert [(r["object_id"], r["step"], r["embedding"][0]) for r in seen] == [(1, 0, 200.0), (1, 1, 200.0), (1, 2, 50.0), (2, 0, 1.0)]
+    clr = {t: embed(df, "astra_clr", StrictSession("astra_clr", t)).orderBy("object_id").collect() for t in INPUTS["astra_clr"]}
+    assert [r["embedding"][0] for r in clr["mask"]] == [700 - 150 - 150 - 50, 699] and [r["embedding"][0] for r in clr["input"]] == [0, 0]
+    waves = [150 * np.log10(4746.48) + 150 * np.log10(6366.38) + 50 * np.log10(7829.03), np.log10(4746.48)]
+    assert [r["embedding"][0] for r in clr["band_info"]] == pytest.approx(waves, rel=1e-6)
+    times = sum(3 * k for k in range(150)) + sum(3 * k + 1 for k in range(150)) + sum(3 * k + 2 for k in range(50))
+    assert [r["embedding"][0] for r in clr["times"]] == [times, 1.0]
+    assert [r["embedding"][0] for r in embed(df, "atat", StrictSession("atat", "mask")).orderBy("object_id", "step").collect()] == [65 * 3, 65 * 3, 20 * 3, 1]
 
 
 class SpanSession:
     """First and last value, and how many there are, of the band at place 1 (atat) or the first block (astra_clr)."""
 
     def run(self, outputs, inputs):
-        own = inputs["data"][0, inputs["mask"][0, :, 1] > 0, 1] if "data" in inputs else inputs["x"][0, :300][inputs["mask"][0, :300] == 0, 0] + 58000
-        return [np.array([[own[0], own[-1], len(own)]] if len(own) else [[0, 0, 0]], np.float32)]
+        out = []
+        for k in range(len(inputs["mask"])):
+            own = inputs["data"][k, inputs["mask"][k, :, 1] > 0, 1] if "data" in inputs else inputs["times"][k, :300][inputs["mask"][k, :300] == 0, 0] + 58000
+            out.append([own[0], own[-1], len(own)] if len(own) else [0, 0, 0])
+        return [np.array(out, np.float32)]
 
 
 def test_embedding_reduces_each_band(spark):
     """A crowded band: its own last observations, and all of its windows, reach the model."""
     df = table(spark, [(1, 58000.0 + k, float(k), 1.0, "g") for k in range(800)] + [(1, 58000.5, 5.0, 1.0, "r")])
     scale = 10 ** (-0.4 * (31.4 - 27.5))
-    end = embed(df, "atat", SpanSession).collect()
+    end = embed(df, "atat", SpanSession, reduction="end").collect()
     assert [r["embedding"] for r in end] == [pytest.approx([735 * scale, 799 * scale, 65], rel=1e-5)]
     windows = embed(df, "atat", SpanSession, reduction="non-overlapping-windows").collect()
     assert sorted(r["step"] for r in windows) == list(range(13)) and sum(r["embedding"][2] for r in windows) == 800
@@ -166,3 +209,23 @@ def test_priors():
     want = 0.25 * np.exp(fitting.normal(0, 1)(1.0)) + 0.75 * 0.5
     assert np.exp(p(1.0)) == pytest.approx(want)
     assert fitting.log_uniform(1, np.e)(0.5) == -np.inf and fitting.none()(3.0) == 0 and np.isfinite(fitting.log_normal(0, 1)(2.0))
+
+
+def test_problems_agree_with_validation(spark):
+    """Equal times of different bands are legal, within a band they aren't; which row stays is repeatable."""
+    df = table(spark, [(1, 1.0, 2.0, 0.1, "g"), (1, 1.0, 3.0, 0.1, "r"), (2, 1.0, 2.0, 0.1, "g"), (2, 1.0, 1.0, 0.1, "g")])
+    assert [(r["object_id"], r["m"], r["reason"]) for r in problems(df).collect()] == [(2, 1.0, "repeated time")]
+    assert validated(df.where("object_id = 1")).count() == 2
+    with pytest.raises(Exception, match="ascending"):
+        validated(df).collect()
+    assert [r["m"] for r in validated(df, duplicates="keep_first").where("object_id = 2").collect()] == [1.0]
+
+
+def test_running_chi_square_keeps_its_digits(spark):
+    rng = np.random.default_rng(6)
+    m, sigma = 20 + 1e-4 * rng.normal(size=500), rng.uniform(0.5e-4, 2e-4, 500)
+    df = table(spark, [(1, float(k), float(a), float(s), None) for k, (a, s) in enumerate(zip(m, sigma, strict=True))])
+    w = sigma**-2
+    mean = (w * m).sum() / w.sum()
+    got = df.groupBy("object_id").agg(mergeable()["reduced_chi2"].alias("x")).first()["x"]
+    assert got == pytest.approx((w * (m - mean) ** 2).sum() / 499, rel=1e-6)

@@ -45,6 +45,7 @@ class EmbeddingModel:
     outputs: tuple[str, ...] = ("mean",)
     multiband: bool = False
     lengths: tuple[tuple[str, int], ...] = ()  # of bands that are reduced each by itself
+    reduction: str = "non-overlapping-windows"
 
 
 def flux_scale(flux: np.ndarray, mag_zp: float, model_zp: float = 27.5) -> np.ndarray:
@@ -58,12 +59,17 @@ def astromer(t, m, sigma, band, size=200):
 
 def _band_number(band, order):
     at = {b: k for k, b in enumerate(order)}
-    return np.array([at.get(b, 0) for b in band], np.float32)
+    if unknown := sorted({str(b) for b in band if b not in at}):
+        raise ValueError(f"the model has no band {', '.join(unknown)}; there are {', '.join(order)}")
+    return np.array([at[b] for b in band], np.int64)
 
 
 def atcat(t, m, sigma, band, size=243, mag_zp=31.4, order=("u", "g", "r", "i", "z", "Y")):
     """Times from the first, fluxes at the model's zero point, band numbers."""
-    return {"time": _place(t - t[0] if len(t) else t, size)[None], "flux": _place(flux_scale(m, mag_zp), size)[None], "flux_err": _place(flux_scale(sigma, mag_zp), size)[None], "band": _place(_band_number(band, order), size)[None].astype(np.int64), "mask": (_place(np.ones(len(t)), size) > 0)[None]}
+    return {
+        "flux": _place(flux_scale(m, mag_zp), size)[None], "flux_err": _place(flux_scale(sigma, mag_zp), size)[None], "time": _place(t - t[0] if len(t) else t, size)[None],
+        "mask": (_place(np.ones(len(t)), size) > 0)[None], "channel_index": _place(_band_number(band, order), size)[None].astype(np.int64),
+    }
 
 
 def atat(t, m, sigma, band, size=65, mag_zp=31.4, order=("u", "g", "r", "i", "z", "Y")):
@@ -77,15 +83,16 @@ def atat(t, m, sigma, band, size=65, mag_zp=31.4, order=("u", "g", "r", "i", "z"
 
 
 def astra_clr(t, m, sigma, band, lengths=(("g", 300), ("r", 350), ("i", 50)), waves=(("g", 4746.48), ("r", 6366.38), ("i", 7829.03)), origin=58000.0):
-    """Blocks per band of fixed length: time, value less its weighted mean, error, log wavelength; mask 1 marks padding."""
+    """Blocks per band of fixed length, one after another: value less its weighted mean, time, log wavelength; mask 1 marks padding."""
     wave, blocks, pads = dict(waves), [], []
     for b, size in lengths:
         own = np.flatnonzero(band == b)[:size]
         w = 1 / np.maximum(sigma[own], 1e-12) ** 2
         mean = float((w * m[own]).sum() / w.sum()) if len(own) else 0.0
-        rows = np.stack([_place(t[own] - origin, size), _place(m[own] - mean, size), _place(sigma[own], size), _place(np.full(len(own), np.log10(wave[b])), size)], 1)
+        rows = np.stack([_place(m[own] - mean, size), _place(t[own] - origin, size), _place(np.full(len(own), np.log10(wave[b])), size)], 1)
         blocks.append(rows), pads.append(np.arange(size) >= len(own))
-    return {"x": np.concatenate(blocks)[None].astype(np.float32), "mask": np.concatenate(pads)[None].astype(np.float32)}
+    whole = np.concatenate(blocks)[None].astype(np.float32)
+    return {name: whole[:, :, [k]] for k, name in enumerate(("input", "times", "band_info"))} | {"mask": np.concatenate(pads)[None].astype(np.float32)}
 
 
 def left_padded(multiple: int | None, fixed: int | None = None):
@@ -104,7 +111,7 @@ MODELS = {
     "astromer2": EmbeddingModel("astromer2", 200, 256, astromer, ("mean", "max", "sequence")),
     "atcat": EmbeddingModel("atcat", 243, 384, atcat, ("last", "mean", "sequence"), True),
     "atat": EmbeddingModel("atat", 390, 192, atat, ("token", "mean", "sequence"), True, tuple((b, 65) for b in ("u", "g", "r", "i", "z", "Y"))),
-    "astra_clr": EmbeddingModel("astra_clr", 700, 512, astra_clr, ("mean",), True, (("g", 300), ("r", 350), ("i", 50))),
+    "astra_clr": EmbeddingModel("astra_clr", 700, 512, astra_clr, ("mean",), True, (("g", 300), ("r", 350), ("i", 50)), "beginning"),
     "chronos2": EmbeddingModel("chronos2", 8192, 768, left_padded(16), ("mean", "sequence")),
     "chronos_bolt_tiny": EmbeddingModel("chronos_bolt_tiny", 2048, 256, left_padded(16), ("mean", "sequence")),
     "chronos_bolt_mini": EmbeddingModel("chronos_bolt_mini", 2048, 384, left_padded(16), ("mean", "sequence")),
@@ -130,14 +137,35 @@ def _by_band(series: DataFrame, lengths: Sequence[tuple[str, int]], reduction: s
     return cut.select("object_id", "group", F.concat(*[steps(h) for h in range(len(hows))]).alias("subs"))
 
 
-def embed(df: DataFrame, model: str | EmbeddingModel, session: Callable[[], object], *, output: str = "mean", reduction: str | Sequence[str] = "end", bands: Sequence[str] | None = None, band_groups: Sequence[dict[str, str]] | None = None, allow_extra_bands: bool = False, seed: int = 0) -> DataFrame:
+#: Subsamples that go through a session at a time.
+TOGETHER = 64
+
+
+def infer(model, output: str, tensors: list[dict[str, np.ndarray]]) -> list[np.ndarray]:
+    """(place, dimension) of each subsample; those of equal shapes go through the session together."""
+    found: list = [None] * len(tensors)
+    shapes: dict[tuple, list[int]] = {}
+    for k, x in enumerate(tensors):
+        shapes.setdefault(tuple((n, v.shape) for n, v in x.items()), []).append(k)
+    for rows in shapes.values():
+        for a in range(0, len(rows), TOGETHER):
+            part = rows[a : a + TOGETHER]
+            got = np.asarray(model.run([output], {n: np.concatenate([tensors[k][n] for k in part]) for n in tensors[part[0]]})[0])
+            for k, row in zip(part, got.reshape(len(part), -1, got.shape[-1]), strict=True):
+                found[k] = row
+    return found
+
+
+def embed(df: DataFrame, model: str | EmbeddingModel, session: Callable[[], object], *, output: str | None = None, reduction: str | Sequence[str] | None = None, bands: Sequence[str] | None = None, band_groups: Sequence[dict[str, str]] | None = None, allow_extra_bands: bool = False, seed: int = 0) -> DataFrame:
     """``object_id, band, step, embedding``: one vector per object, band (or group of bands) and subsample.
 
     ``session`` is called once in each worker. A single-band model takes ``bands`` one at a time (all
     observations, if none are given); a multi-band one takes each of ``band_groups``, which map the
     model's band names to labels. ``sequence`` gives a row per place, ``seq`` in a column of its own.
+    ``output`` and ``reduction`` are the model's first and own by default.
     """
     spec = MODELS[model] if isinstance(model, str) else model
+    output, reduction = output or spec.outputs[0], reduction or spec.reduction
     if output not in spec.outputs:
         raise ValueError(f"{spec.name} gives {', '.join(spec.outputs)}, not {output}")
     if spec.multiband and band_groups:
@@ -166,10 +194,8 @@ def embed(df: DataFrame, model: str | EmbeddingModel, session: Callable[[], obje
         for batch in batches:
             found, owner, place = [], [], []
             cols = [batch.column(f"x_{c}").to_pylist() for c in ("t", "m", "sigma", "band")]
-            for k, (t, m, sigma, band) in enumerate(zip(*cols, strict=True)):
-                inputs = spec.tensors(np.asarray(t, float), np.asarray(m, float), np.asarray(sigma, float), np.asarray(band, object))
-                got = np.asarray(model.run([output], inputs)[0])
-                got = got.reshape(-1, got.shape[-1])
+            inputs = [spec.tensors(np.asarray(t, float), np.asarray(m, float), np.asarray(sigma, float), np.asarray(band, object)) for t, m, sigma, band in zip(*cols, strict=True)]
+            for k, got in enumerate(infer(model, output, inputs)):
                 for j, row in enumerate(got if whole else got[:1]):
                     owner.append(k), place.append(j), found.append(row.astype(np.float32).tolist())
             at = pa.array(owner, pa.int64())

@@ -431,17 +431,12 @@ class LinearFit(Feature):
         return ("linear_fit_slope", "linear_fit_slope_sigma", "linear_fit_reduced_chi2")
 
     def values(self, d, b):
-        s, t0, m0 = d.series(b), _weighted_time(d, b), d.weighted_mean(b)
-        w = lambda x: 1 / F.nullif(x["sigma"] * x["sigma"], F.lit(0.0))
-        sxx = d.derive("lf sxx", b, lambda: total(s, lambda x: w(x) * (x["t"] - t0) * (x["t"] - t0)))
-        sxy = d.derive("lf sxy", b, lambda: total(s, lambda x: w(x) * (x["t"] - t0) * (x["m"] - m0)))
-        slope = div(sxy, sxx)
-        chi2 = total(s, lambda x: w(x) * F.pow(x["m"] - m0 - slope * (x["t"] - t0), F.lit(2.0)))
-        return (slope, F.sqrt(div(F.lit(1.0), sxx)), div(chi2, d.n(b) - 2))
-
-
-def _weighted_time(d: Draft, b: str | None) -> Column:
-    return div(d.aggregate("sum wt", b, lambda v: F.sum(v.w * v.t)), d.weight(b))
+        s0, sx, sy = d.moment(b, 0, 0), d.moment(b, 1, 0), d.moment(b, 0, 1)
+        sxx = d.derive("lf sxx", b, lambda: d.moment(b, 2, 0) - div(sx * sx, s0))
+        sxy = d.derive("lf sxy", b, lambda: d.moment(b, 1, 1) - div(sx * sy, s0))
+        syy = d.moment(b, 0, 2) - div(sy * sy, s0)
+        chi2 = F.greatest(syy - div(sxy * sxy, sxx), F.lit(0.0))
+        return (div(sxy, sxx), F.sqrt(div(F.lit(1.0), sxx)), div(chi2, d.n(b) - 2))
 
 
 class LinearTrend(Feature):
@@ -453,13 +448,12 @@ class LinearTrend(Feature):
         return ("linear_trend", "linear_trend_sigma", "linear_trend_noise")
 
     def values(self, d, b):
-        s, m0 = d.series(b), d.mean(b)
-        t0 = d.aggregate("mean t", b, lambda v: F.avg(v.t))
-        sxx = d.derive("lt sxx", b, lambda: total(s, lambda x: (x["t"] - t0) * (x["t"] - t0)))
-        sxy = d.derive("lt sxy", b, lambda: total(s, lambda x: (x["t"] - t0) * (x["m"] - m0)))
-        slope = div(sxy, sxx)
-        noise = div(total(s, lambda x: F.pow(x["m"] - m0 - slope * (x["t"] - t0), F.lit(2.0))), d.n(b) - 2)
-        return (slope, F.sqrt(div(noise, sxx)), F.sqrt(noise))
+        n, sx, sy = d.n(b), d.moment(b, 1, 0, False), d.moment(b, 0, 1, False)
+        sxx = d.derive("lt sxx", b, lambda: d.moment(b, 2, 0, False) - div(sx * sx, n))
+        sxy = d.derive("lt sxy", b, lambda: d.moment(b, 1, 1, False) - div(sx * sy, n))
+        syy = d.moment(b, 0, 2, False) - div(sy * sy, n)
+        noise = div(F.greatest(syy - div(sxy * sxy, sxx), F.lit(0.0)), n - 2)
+        return (div(sxy, sxx), F.sqrt(div(noise, sxx)), F.sqrt(noise))
 
 
 class ParabolaFit(Feature):
@@ -471,18 +465,22 @@ class ParabolaFit(Feature):
         return ("parabola_fit_g", "parabola_fit_m0", "parabola_fit_reduced_chi2")
 
     def values(self, d, b):
-        s, t0, m0 = d.series(b), _weighted_time(d, b), d.weighted_mean(b)
-        w = lambda x: 1 / F.nullif(x["sigma"] * x["sigma"], F.lit(0.0))
-        p = lambda k, y: d.derive(("pf", k, y), b, lambda: total(s, lambda x: w(x) * F.pow(x["t"] - t0, F.lit(float(k))) * ((x["m"] - m0) if y else 1)))
-        s0, s2, s3, s4, y1, y2 = p(0, 0), p(2, 0), p(3, 0), p(4, 0), p(1, 1), p(2, 1)
-        # normal equations in x = t - t0 about weighted means, where the first moments vanish
+        p = lambda k, y: d.moment(b, k, y)
+        s0, y0 = p(0, 0), p(0, 1)
+        # moments about the weighted mean of time, where the first one vanishes
+        c = d.derive("pf c", b, lambda: div(p(1, 0), s0), 0)
+        s2 = d.derive("pf 2", b, lambda: p(2, 0) - s0 * c * c)
+        s3 = d.derive("pf 3", b, lambda: p(3, 0) - 3 * c * p(2, 0) + 2 * s0 * c * c * c)
+        s4 = d.derive("pf 4", b, lambda: p(4, 0) - 4 * c * p(3, 0) + 6 * c * c * p(2, 0) - 3 * s0 * c * c * c * c)
+        y1 = d.derive("pf y1", b, lambda: p(1, 1) - c * y0)
+        y2 = d.derive("pf y2", b, lambda: p(2, 1) - 2 * c * p(1, 1) + c * c * y0 - div(y0, s0) * s2, 2)
         det = s2 * (s4 * s0 - s2 * s2) - s3 * s3 * s0
-        g = d.derive("pf g", b, lambda: div(s0 * (y2 * s2 - y1 * s3), det), 2)
-        line = d.derive("pf b", b, lambda: div(y1 - g * s3, s2), 3)
+        g = d.derive("pf g", b, lambda: div(s0 * (y2 * s2 - y1 * s3), det), 3)
+        line = d.derive("pf b", b, lambda: div(y1 - g * s3, s2), 4)
         offset = -div(g * s2, s0)
-        chi2 = total(s, lambda x: w(x) * F.pow(x["m"] - m0 - offset - line * (x["t"] - t0) - g * (x["t"] - t0) * (x["t"] - t0), F.lit(2.0)))
+        chi2 = F.greatest(p(0, 2) - div(y0 * y0, s0) - line * y1 - g * y2, F.lit(0.0))
         curved = F.abs(g) > F.lit(1e-12)
-        return (F.when(curved, g), F.when(curved, m0 + offset - div(line * line, 4 * g)), F.when(curved, div(chi2, d.n(b) - 3)))
+        return (F.when(curved, g), F.when(curved, d.weighted_mean(b) + offset - div(line * line, 4 * g)), F.when(curved, div(chi2, d.n(b) - 3)))
 
 
 class Duration(Feature):

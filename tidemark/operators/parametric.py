@@ -47,6 +47,10 @@ class _Fit(_Kernel):
 
     ``transform=True`` turns the amplitude into a magnitude of zero point 8.9, gives the baseline in
     units of it, leaves the reference time out and takes ln(1 + chi-square).
+
+    Every algorithm ends in bounded least squares of at most 20 times as many steps as ``lmsder_niter`` or
+    ``ceres_niter`` says; with ``ceres`` in its name, residuals beyond ``ceres_loss_reg`` sigmas count by
+    Huber's loss. ``mcmc`` draws ``mcmc_niter`` starting places, ``nuts`` ``nuts_ntune + nuts_niter``.
     """
 
     algorithm: str = "mcmc-lmsder"
@@ -97,7 +101,10 @@ class _Fit(_Kernel):
         return tuple(self.ln_prior)
 
     def kernel(self, t, m, sigma, band):
-        got = fitting.fit_model(self.kind, t, m, sigma, self.algorithm, self.mcmc_niter, self.init, self.bounds, self.priors())
+        draws = self.nuts_ntune + self.nuts_niter if "nuts" in self.algorithm else self.mcmc_niter
+        ceres = "ceres" in self.algorithm
+        steps = 20 * (self.ceres_niter if ceres else self.lmsder_niter)
+        got = fitting.fit_model(self.kind, t, m, sigma, self.algorithm, draws, self.init, self.bounds, self.priors(), steps=steps, loss_reg=self.ceres_loss_reg if ceres else None)
         if got is None or not self.transform:
             return got
         values = dict(zip((*self.parameters, "chi2"), got, strict=True))

@@ -19,7 +19,8 @@ from .features import Feature
 from .parametric import over_series
 
 # CGS constants
-SPEED, PLANCK, BOLTZMANN, STEFAN = 2.99792458e10, 6.62607015e-27, 1.380649e-16, 5.6703744191844e-5
+SPEED, PLANCK, BOLTZMANN = 2.99792458e10, 6.62607015e-27, 1.380649e-16
+STEFAN = 2 * math.pi**5 * BOLTZMANN**4 / (15 * SPEED**2 * PLANCK**3)
 WIEN_CM = 0.2897771955
 
 
@@ -57,36 +58,64 @@ def _amp(f):
     return (0.0, 20 * max(float(np.ptp(f)), 1e-9))
 
 
+def _linexp_start(t, f):
+    """A rise time with the longer side's sign: positive where the series is longer before its maximum."""
+    at = float(t[np.argmax(f)])
+    return _span(t) / 10 if at - t.min() >= t.max() - at else -_span(t) / 10
+
+
 def _sigmoid(x, p):
     dt = x - p["reference_time"]
     return np.where(dt > -100 * p["rise_time"], p["amplitude"] / (_s(-dt / p["rise_time"]) + 1), 0.0)
 
 
+def _bazin_peak(p):
+    """Where both exponentials change equally fast."""
+    rise, fall = p["rise_time"], p["fall_time"]
+    return p["reference_time"] + math.log(fall / rise) * rise * fall / (rise + fall)
+
+
 def _bazin(x, p):
-    """With its maximum at the reference time, of the height of the amplitude; needs fall > rise for one."""
+    """One over the sum of a falling and a growing exponential, of the height of the amplitude at its peak."""
     rise, fall = p["rise_time"], p["fall_time"]
-    form = lambda u: np.exp(np.clip(-u / fall - np.logaddexp(0, -u / rise), -700, 100))
-    peak = rise * math.log(max(fall / rise - 1, 1e-6))
-    return p["amplitude"] * form(x - p["reference_time"] + peak) / max(float(form(np.array(peak))), 1e-300)
+    log_sum = lambda dt: np.logaddexp(-dt / rise, dt / fall)
+    top = log_sum(np.array(_bazin_peak(p) - p["reference_time"]))
+    return p["amplitude"] * np.exp(np.maximum(top - log_sum(np.asarray(x, float) - p["reference_time"]), -700))
 
 
 def _linexp(x, p):
-    dt = (x - p["reference_time"]) / p["rise_time"] + 1
-    return p["amplitude"] * np.maximum(dt * np.exp(np.minimum(1 - dt, 100)), 0)
+    """Zero at the reference time; the peak comes one rise time before it, or after it if that is negative."""
+    rise = math.copysign(max(abs(p["rise_time"]), 1e-5), p["rise_time"])
+    u = (p["reference_time"] - np.asarray(x, float)) / rise
+    return p["amplitude"] * np.maximum(u * np.exp(np.minimum(1 - u, 100)), 0)
+
+
+def _lambert(y: float) -> float:
+    """The principal solution of ``w e^w = y`` for y >= 0."""
+    w = math.log1p(y)
+    for _ in range(50):
+        e = math.exp(w)
+        w -= (w * e - y) / (e * (w + 1))
+    return w
+
+
+def _doublexp_peak(p):
+    """Where the inner exponent's slope vanishes: ``(1 - u) e^(1 - u) = p e`` at ``u = dt / time2``."""
+    return p["reference_time"] + p["time2"] * (1 - _lambert(p["p"] * math.e))
 
 
 def _doublexp(x, p):
     dt = x - p["reference_time"]
     a, b, q = p["time1"], p["time2"], p["p"]
-    inner = -dt / a * (q - np.exp(np.clip(-dt / b, -20, 20)))
-    return p["amplitude"] * np.exp(np.clip(inner, -20, 20))
+    inner = -dt / a * (q - np.exp(np.minimum(-dt / b, 500)))
+    return p["amplitude"] * np.exp(np.clip(inner, -700, 20))
 
 
 BOLOMETRIC = {
-    "sigmoid": Term("sigmoid", ("reference_time", "amplitude", "rise_time"), _sigmoid, lambda t, f: [_centre(t, f), float(np.ptp(f)), _span(t) / 10], lambda t, f: [_time(t), _amp(f), (1e-4, 10 * _span(t))], peak=lambda p: math.inf),
-    "bazin": Term("bazin", ("reference_time", "amplitude", "rise_time", "fall_time"), _bazin, lambda t, f: [_centre(t, f), float(np.ptp(f)), _span(t) / 20, _span(t) / 5], lambda t, f: [_time(t), _amp(f), (1e-4, 10 * _span(t)), (1e-4, 10 * _span(t))]),
-    "linexp": Term("linexp", ("reference_time", "amplitude", "rise_time"), _linexp, lambda t, f: [_centre(t, f), float(np.ptp(f)), _span(t) / 10], lambda t, f: [_time(t), _amp(f), (1e-4, 10 * _span(t))]),
-    "doublexp": Term("doublexp", ("reference_time", "amplitude", "time1", "time2", "p"), _doublexp, lambda t, f: [_centre(t, f), float(np.ptp(f)), _span(t) / 10, _span(t) / 10, 0.5], lambda t, f: [_time(t), _amp(f), (1e-2, 10 * _span(t)), (1e-2, 10 * _span(t)), (1e-4, 100.0)]),
+    "sigmoid": Term("sigmoid", ("reference_time", "amplitude", "rise_time"), _sigmoid, lambda t, f: [_centre(t, f), float(np.ptp(f)), _span(t) / 10], lambda t, f: [_time(t), _amp(f), (1e-4, 10 * _span(t))], peak=lambda p: p["reference_time"]),
+    "bazin": Term("bazin", ("reference_time", "amplitude", "rise_time", "fall_time"), _bazin, lambda t, f: [_centre(t, f), float(np.ptp(f)), _span(t) / 20, _span(t) / 5], lambda t, f: [_time(t), _amp(f), (1e-4, 10 * _span(t)), (1e-4, 10 * _span(t))], peak=_bazin_peak),
+    "linexp": Term("linexp", ("reference_time", "amplitude", "rise_time"), _linexp, lambda t, f: [float(t[np.argmax(f)]) + _linexp_start(t, f), float(np.ptp(f)), _linexp_start(t, f)], lambda t, f: [_time(t), _amp(f), (-10 * _span(t), 10 * _span(t))], peak=lambda p: p["reference_time"] - p["rise_time"]),
+    "doublexp": Term("doublexp", ("reference_time", "amplitude", "time1", "time2", "p"), _doublexp, lambda t, f: [_centre(t, f), float(np.ptp(f)), _span(t) / 10, _span(t) / 10, 0.5], lambda t, f: [_time(t), _amp(f), (1e-2, 10 * _span(t)), (1e-2, 10 * _span(t)), (1e-4, 100.0)], peak=_doublexp_peak),
 }
 
 
@@ -255,7 +284,8 @@ class RainbowFit(Feature):
             for b, _ in self.wavelengths:
                 own = ms[band == b] if (band == b).any() else ms
                 start[f"baseline_{b}"], low[f"baseline_{b}"], high[f"baseline_{b}"] = base[b], float(own.min() - 10 * np.ptp(own) - 1e-9), float(own.max() + 1e-9)
-        logs = [n in ("T", "rise_time", "fall_time", "t_color", "time1", "time2") for n in names]
+        # positive ones are fitted by their logarithm
+        logs = [n in ("T", "rise_time", "fall_time", "t_color", "time1", "time2") and low[n] > 0 for n in names]
         into = lambda d: np.array([math.log(d[n]) if lg else d[n] for n, lg in zip(names, logs, strict=True)])
         back = lambda q: np.where(logs, np.exp(np.clip(q, -50, 50)), q)
         weights = [(names.index(n), mu, s) for n, (mu, s) in prior.items() if n in names]
@@ -276,6 +306,10 @@ class RainbowFit(Feature):
                 for n in ("rise_time", "fall_time"):
                     if n in d:
                         d[n] = min(max(d[n] * stretch, low[n]), high[n])
+                if bol.name == "linexp":  # the peak stays, the zero moves with the rise time
+                    d["reference_time"] += d["rise_time"] - start["rise_time"]
+                    if stretch == 1.0 and shift:
+                        d["reference_time"], d["rise_time"] = d["reference_time"] - 2 * d["rise_time"], -d["rise_time"]
                 starts.append(into(d))
         lo, hi = into(low | {n: max(low[n], 1e-9) for n, lg in zip(names, logs, strict=True) if lg}), into(high)
         best, cost = min((least_squares(residuals, s, lo, hi, steps=150) for s in starts), key=lambda x: x[1])

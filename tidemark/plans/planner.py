@@ -6,14 +6,15 @@ what is asked for once, however many features share it, and lays it out in tiers
 the object, columns derived from the aggregates, kernels, the output. The series is only collected
 if some feature needs it. Sums over observations that need an aggregate first (deviations from a mean,
 steps in time) run in a second pass: the series is exploded where it lies and aggregated again on the
-same key, in generated code and without another exchange.
+same key, in generated code and without another exchange. Moments of time and value are sums about an
+object's means, which a window over that one exchange adds to the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import OBSERVATION, finite
@@ -29,6 +30,7 @@ class Values:
         self.t, self.m, self.sigma = (keep(F.col(c)) for c in ("t", "m", "sigma"))
         self.w = keep(1 / F.nullif(F.col("sigma") * F.col("sigma"), F.lit(0.0)))
         self.one = keep(F.lit(1))
+        self.x, self.y = keep(F.col("t") - F.col("__t0")), keep(F.col("m") - F.col("__m0"))  # about the object's means
 
 
 class Observation:
@@ -50,6 +52,7 @@ class Draft:
         self.second: dict[str, Column] = {}
         self.last: dict[str, Column] = {}  # kernels over scalars, after the second pass
         self.needs_second = False  # set by a feature that uses the second pass
+        self.centred = False  # set where sums about an object's means are asked for
 
     def over(self, key: object, make: Callable[[Observation], Column], how: Callable[[Column], Column] = F.sum) -> Column:
         """An aggregate over the observations of an object, in terms of columns that exist by then."""
@@ -60,6 +63,18 @@ class Draft:
             self.second[name] = how(make(Observation())).alias(name)
         return F.col(name)
 
+    def moment(self, band: str | None, p: int, q: int, weighted: bool = True) -> Column:
+        """Sum of ``w x^p y^q`` with time and value about the object's means, so that large times cost no digits."""
+        self.centred = True
+
+        def term(v: Values) -> Column:
+            out = v.w if weighted else v.one.cast("double")
+            for factor in [v.x] * p + [v.y] * q:
+                out = out * factor
+            return F.sum(out)
+
+        return self.aggregate(f"moment {p} {q} {weighted}", band, term)
+
     def _name(self, *key) -> tuple[str, bool]:
         known = key in self.names
         return self.names.setdefault(key, f"__x{len(self.names)}"), known
@@ -144,6 +159,9 @@ def extract(df: DataFrame, features: Sequence, fill: float | None = None, strict
         raise ValueError("two features have the same name: " + ", ".join(sorted({n for n in names if names.count(n) > 1})))
     if not draft.aggregates:
         draft.n()
+    if draft.centred:  # a window over the exchange that the aggregates need: it spills, and holds no series
+        whole = Window.partitionBy(*keys)
+        df = df.withColumns({"__t0": F.avg("t").over(whole), "__m0": F.avg("m").over(whole)})
     out = df.groupBy(*keys).agg(*draft.aggregates.values())
     for tier in draft.tiers:
         if tier:

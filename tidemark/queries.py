@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import features as fs
@@ -21,10 +21,11 @@ from .streaming.streams import run_once, streaming_bins
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-PLACES = 4
-#: Added before rounding, in Spark and in SQL: averages of values with two decimals would else sit on the border
-#: between two rounded values, where the order of a sum decides.
-SHIFT = 0.0000123
+#: Digits that are compared, and decimal places at most.
+DIGITS, PLACES = 7, 9
+#: Multiplies values before rounding, in Spark and in SQL: averages of values with two decimals would else sit on
+#: the border between two rounded values, where the order of a sum decides.
+STRETCH = 1.0000123456789
 
 #: The series of events in SQL; :func:`..sources.curves.events` makes the same.
 LC = """lc AS (SELECT user_id AS object_id, epoch_us(ts) / 86400000000.0::DOUBLE - 19723.0::DOUBLE AS t, value AS m, 0.05::DOUBLE * value + 0.1::DOUBLE AS sigma, event_type AS band FROM events)"""
@@ -34,14 +35,22 @@ ST = """st AS (SELECT object_id, count(*) AS n, avg(m) AS mu, stddev_samp(m) AS
  sum(1/(sigma*sigma)) AS sw, sum(m/(sigma*sigma))/sum(1/(sigma*sigma)) AS wm, sum(t/(sigma*sigma))/sum(1/(sigma*sigma)) AS wt, avg(t) AS mt FROM lc GROUP BY object_id)"""
 
 
-def rounded(df: DataFrame, keys: Sequence[str] = ("object_id",), places: int = PLACES) -> DataFrame:
-    """Doubles rounded as the SQL rounds them."""
+def rounded(df: DataFrame, keys: Sequence[str] = ("object_id",), digits: int = DIGITS) -> DataFrame:
+    """Doubles rounded to as many digits as the SQL rounds them to."""
     kinds = dict(df.dtypes)
-    return df.select(*[F.col(f"`{c}`") if c in keys or kinds[c] != "double" else (F.round(F.col(f"`{c}`") + F.lit(SHIFT), places) + F.lit(0.0)).alias(c) for c in df.columns])
 
+    def one(c: str) -> Column:
+        x = F.col(f"`{c}`") * F.lit(STRETCH)
+        unit = F.pow(F.lit(10.0), F.least(F.lit(PLACES), digits - 1 - F.floor(F.log10(F.abs(x)))).cast("double"))
+        return F.when(F.abs(x) < F.lit(10.0**-PLACES), F.lit(0.0)).otherwise(F.floor(x * unit + 0.5) / unit).alias(c)
 
-def sql_round(x: str, places: int = PLACES) -> str:
-    return f"round(({x})::DOUBLE + {SHIFT:.7f}::DOUBLE, {places}) + 0.0::DOUBLE"
+    return df.select(*[F.col(f"`{c}`") if c in keys or kinds[c] != "double" else one(c) for c in df.columns])
+
+
+def sql_round(x: str, digits: int = DIGITS) -> str:
+    x = f"(({x})::DOUBLE * {STRETCH}::DOUBLE)"
+    unit = f"pow(10.0::DOUBLE, least({PLACES}, {digits - 1} - floor(log10(abs(v)))))"
+    return f"list_transform([{x}], lambda v: CASE WHEN abs(v) < 1e-{PLACES} THEN 0.0::DOUBLE ELSE floor(v * {unit} + 0.5::DOUBLE) / {unit} END)[1]"
 
 
 def feature(key: str, *specs: fs.Feature, sql: str | dict[str, str] | None = None, source: str = "lc", ctes: Sequence[str] = (LC,)) -> None:
@@ -119,8 +128,20 @@ feature("biweight_scale", fs.BiweightScale(), sql={"biweight_scale_9": "sqrt(any
 feature("qn_scale", fs.QnScale(), sql="any_value(q)", source="(SELECT object_id, 2.2219::DOUBLE*list_sort(list(abs(a.m-b.m)))[((any_value(n)//2+1)*(any_value(n)//2))//2] AS q FROM ord a JOIN (SELECT object_id, m, k FROM ord) b USING (object_id) WHERE a.k<b.k GROUP BY object_id)", ctes=O2)
 QUERIES["magn_n_not_det"] = lambda spark, sf_dir: rounded(extract(events(spark, sf_dir).withColumn("sigma", F.when(F.col("m") > 60, F.lit(float("inf"))).otherwise(F.col("sigma"))), [fs.MagnitudeNNotDetBeforeFd()]))
 ORACLE["magn_n_not_det"] = f"WITH {LC}, {ORD} SELECT object_id, {sql_round('CASE WHEN NOT bool_and(m<=60) THEN (min(k) FILTER (m<=60)-1)::DOUBLE END')} AS magn_n_non_detections_before_fd FROM ord GROUP BY object_id"
-for name in ("chi2_pvar", "anderson_darling"):
-    feature(name, {"chi2_pvar": fs.Chi2Pvar, "anderson_darling": fs.AndersonDarlingNormal}[name]())
+
+
+def lower_gamma(a: str, x: str) -> str:
+    """The regularised lower incomplete gamma function, as a sum of positive terms; 1 far above its middle."""
+    terms = f"list_sum(list_transform(range(0, ({x} + 40*sqrt({x}+1) + 60)::INT), lambda j: exp(({a}+j)*ln({x}) - {x} - lgamma({a}+j+1))))"
+    return f"CASE WHEN {x} <= 0 THEN 0 WHEN {x} > {a} + 40*sqrt({a}) + 200 THEN 1 ELSE least({terms}, 1) END"
+
+
+CHI = "chi AS (SELECT object_id, (count(*)-1)/2.0::DOUBLE AS a, sum(pow(m-wm,2)/(sigma*sigma))/2 AS x FROM lc JOIN st USING (object_id) GROUP BY object_id)"
+feature("chi2_pvar", fs.Chi2Pvar(), sql=f"any_value({lower_gamma('a', 'x')})", source="chi", ctes=(LC, ST, CHI))
+# the normal distribution function by the incomplete gamma function of 1/2
+AD = f"""az AS (SELECT object_id, n, row_number() OVER (PARTITION BY object_id ORDER BY m) AS k, (m-mu)/sd AS z, pow((m-mu)/sd, 2)/2 AS x, 0.5::DOUBLE AS a FROM lc JOIN st USING (object_id) WHERE sd > 0),
+ap AS (SELECT *, 0.5 + sign(z)*({lower_gamma('a', 'x')})/2 AS p FROM az)"""
+feature("anderson_darling", fs.AndersonDarlingNormal(), sql="(-any_value(n) - sum((2*k-1)*ln(p) + (2*(n-k)+1)*ln(1-p))/any_value(n))*(1+4/any_value(n)-25/pow(any_value(n),2))", source="ap", ctes=(LC, ST, AD))
 
 BANDS = ("view", "click", "purchase")
 of = lambda x, b: f"{x} FILTER (band='{b}')"
@@ -166,6 +187,12 @@ feature("periodogram_peaks", Periodogram(peaks=2, fast=False))
 feature("periodogram_fast", Periodogram(peaks=1, fast=True))
 feature("periodogram_phase_features", Periodogram(features=("standard_deviation", "beyond_1_std"), phase_features=("lafler_kinman_string_length", "amplitude")))
 feature("periodogram_multiband", Periodogram(bands=BANDS, fast=False))
+GRID = """gr AS (SELECT object_id, count(*) AS n, avg(m) AS mu, stddev_samp(m) AS sd, 2*pi()/(10*(max(t)-min(t))) AS step, ceil(pi()*(count(*)-1)/(max(t)-min(t))*0.2::DOUBLE/(2*pi()/(10*(max(t)-min(t)))))::INT AS top FROM lc GROUP BY object_id HAVING count(*) > 2 AND max(t) > min(t)),
+fr AS (SELECT object_id, n, mu, sd, unnest(range(1, greatest(top, 1)+1)) * step AS omega FROM gr),
+su AS (SELECT object_id, omega, any_value(n) AS n, sum(cos(omega*t)*cos(omega*t)) AS cc, sum(sin(omega*t)*sin(omega*t)) AS ss, sum(cos(omega*t)*sin(omega*t)) AS cs, sum(cos(omega*t)*(m-mu)/sd) AS yc, sum(sin(omega*t)*(m-mu)/sd) AS ys FROM fr JOIN lc USING (object_id) GROUP BY object_id, omega),
+ta AS (SELECT *, atan2(2*cs, cc-ss)/2 AS tau FROM su),
+po AS (SELECT object_id, omega, n, pow(yc*cos(tau)+ys*sin(tau),2) AS a, cos(tau)*cos(tau)*cc+2*cos(tau)*sin(tau)*cs+sin(tau)*sin(tau)*ss AS b, pow(ys*cos(tau)-yc*sin(tau),2) AS c, cos(tau)*cos(tau)*ss-2*cos(tau)*sin(tau)*cs+sin(tau)*sin(tau)*cc AS d FROM ta)"""
+ORACLE["periodogram_freq_power"] = f"WITH {LC}, {GRID} SELECT object_id, {sql_round('omega')} AS omega, {sql_round('(CASE WHEN b > 1e-12*n THEN a/b ELSE 0 END + CASE WHEN d > 1e-12*n THEN c/d ELSE 0 END)/2')} AS power FROM po"
 QUERIES["periodogram_freq_power"] = lambda spark, sf_dir: rounded(freq_power(events(spark, sf_dir), Periodogram(fast=False, max_freq_factor=0.2)))
 feature("bazin_fit", BazinFit(mcmc_niter=16))
 feature("linexp_fit", LinexpFit(mcmc_niter=16))
@@ -194,11 +221,11 @@ def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validated(long_form(df, "l_suppkey", days(F.col("l_shipdate")), "l_extendedprice", F.lit(10.0), "l_returnflag"), duplicates="mean")
 
 
-QUERIES["duplicates_mean"] = lambda spark, sf_dir: rounded(extract(supplier_series(spark, sf_dir), [fs.Mean(), fs.ObservationCount(), fs.Eta(bands=("A", "N"))]), places=3)
+QUERIES["duplicates_mean"] = lambda spark, sf_dir: rounded(extract(supplier_series(spark, sf_dir), [fs.Mean(), fs.ObservationCount(), fs.Eta(bands=("A", "N"))]))
 SUP = "day AS (SELECT l_suppkey AS object_id, l_returnflag AS band, epoch_us(l_shipdate)/86400000000.0::DOUBLE AS t, avg(l_extendedprice::DOUBLE) AS m FROM lineitem GROUP BY 1,2,3), stp AS (SELECT *, m - lag(m) OVER (PARTITION BY object_id, band ORDER BY t) AS dm FROM day)"
-ORACLE["duplicates_mean"] = f"WITH {SUP} SELECT object_id, {sql_round('avg(m)', 3)} AS mean, {sql_round('count(*)', 3)} AS observation_count, " + ", ".join(f"""{sql_round(f"sum(dm*dm) FILTER (band='{b}')/((count(*) FILTER (band='{b}')-1)*var_samp(m) FILTER (band='{b}'))", 3)} AS "eta_{b}" """ for b in "AN") + " FROM stp GROUP BY object_id"
-QUERIES["few_observations"] = lambda spark, sf_dir: rounded(extract(long_form(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey", days(F.col("o_orderdate")), "o_totalprice").groupBy("object_id", "t").agg(F.avg("m").alias("m"), F.lit(1.0).alias("sigma"), F.lit(None).cast("string").alias("band")), [fs.Kurtosis(), fs.Skew(), fs.ObservationCount()], fill=-1.0), places=3)
-ORACLE["few_observations"] = f"WITH o AS (SELECT o_custkey AS object_id, o_orderdate AS t, avg(o_totalprice::DOUBLE) AS m FROM orders GROUP BY 1, 2) SELECT object_id, {sql_round('coalesce(CASE WHEN count(*)>=4 THEN kurtosis(m) END, -1)', 3)} AS kurtosis, {sql_round('coalesce(CASE WHEN count(*)>=3 THEN skewness(m) END, -1)', 3)} AS skew, {sql_round('count(*)', 3)} AS observation_count FROM o GROUP BY object_id"
+ORACLE["duplicates_mean"] = f"WITH {SUP} SELECT object_id, {sql_round('avg(m)')} AS mean, {sql_round('count(*)')} AS observation_count, " + ", ".join(f"""{sql_round(f"sum(dm*dm) FILTER (band='{b}')/((count(*) FILTER (band='{b}')-1)*var_samp(m) FILTER (band='{b}'))")} AS "eta_{b}" """ for b in "AN") + " FROM stp GROUP BY object_id"
+QUERIES["few_observations"] = lambda spark, sf_dir: rounded(extract(long_form(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey", days(F.col("o_orderdate")), "o_totalprice").groupBy("object_id", "t").agg(F.avg("m").alias("m"), F.lit(1.0).alias("sigma"), F.lit(None).cast("string").alias("band")), [fs.Kurtosis(), fs.Skew(), fs.ObservationCount()], fill=-1.0))
+ORACLE["few_observations"] = f"WITH o AS (SELECT o_custkey AS object_id, o_orderdate AS t, avg(o_totalprice::DOUBLE) AS m FROM orders GROUP BY 1, 2) SELECT object_id, {sql_round('coalesce(CASE WHEN count(*)>=4 THEN kurtosis(m) END, -1)')} AS kurtosis, {sql_round('coalesce(CASE WHEN count(*)>=3 THEN skewness(m) END, -1)')} AS skew, {sql_round('count(*)')} AS observation_count FROM o GROUP BY object_id"
 RAINBOW = RainbowFit.from_angstrom({"view": 4770.0, "click": 6231.0, "purchase": 7625.0}, with_baseline=False, bolometric="sigmoid", temperature="constant")
 QUERIES["rainbow_fit"] = lambda spark, sf_dir: extract(events(spark, sf_dir), [RAINBOW])
 
@@ -219,9 +246,33 @@ ORACLE["streaming_bins"] = f"WITH {LC} SELECT object_id, ((floor(t)+19723)*86400
 TIMES = (fs.Duration(), fs.MaximumTimeInterval(), fs.MinimumTimeInterval(), fs.ObservationCount(), fs.TimeMean(), fs.TimeStandardDeviation())
 feature("time_sampling_features", *TIMES, sql={"duration": "max(t)-min(t)", "maximum_time_interval": "max(dt)", "minimum_time_interval": "min(dt)", "observation_count": "count(*)", "time_mean": "avg(t)", "time_standard_deviation": "stddev_samp(t)"}, source="ord", ctes=O2)
 feature("linear_features", fs.LinearFit(), fs.LinearTrend(), fs.ParabolaFit())
+
+
+def joined(*parts: tuple[str, str]) -> str:
+    """SQL of several queries side by side; parts are (columns, SQL by object)."""
+    return "SELECT object_id, " + ", ".join(c for c, _ in parts) + " FROM " + " JOIN ".join(f"({x}) AS p{k}" + (" USING (object_id)" if k else "") for k, (_, x) in enumerate(parts))
+
+
+ORACLE["linear_features"] = joined(*[(", ".join(f.names()), ORACLE[q]) for q, f in (("linear_fit", fs.LinearFit()), ("linear_trend", fs.LinearTrend()), ("parabola_fit", fs.ParabolaFit()))])
 VARIABILITY = (
     fs.Amplitude(), fs.AndersonDarlingNormal(), fs.BeyondNStd(), fs.BiweightScale(), fs.Chi2Pvar(), fs.Cusum(), fs.Eta(), fs.EtaE(), fs.ExcessVariance(), fs.InterPercentileRange(), fs.Kurtosis(),
     fs.LaflerKinmanStringLength(), fs.MagnitudePercentageRatio(), fs.MaximumSlope(), fs.Mean(), fs.MeanVariance(), fs.Median(), fs.MedianAbsoluteDeviation(), fs.MedianBufferRangePercentage(), fs.OtsuSplit(),
     fs.PercentAmplitude(), fs.PercentDifferenceMagnitudePercentile(), fs.QnScale(), fs.ReducedChi2(), fs.Roms(), fs.Skew(), fs.StandardDeviation(), fs.StetsonK(), fs.WeightedMean(),
 )
 feature("all_variability_features", *VARIABILITY)
+RAW = f"WITH {LC}, {ORD} SELECT object_id, {sql_round('sum(pow(dm/dt,2))*pow(max(t)-min(t),2)/(pow(count(*)-1,3)*var_samp(m))')} AS eta_e, {sql_round('max(abs(dm/dt))')} AS maximum_slope FROM ord GROUP BY object_id"
+#: Where each feature's SQL stands; those of two have none of their own.
+WHERE = {"standard_deviation": "stddev", "beyond_1_std": "beyond_n_std", "lafler_kinman_string_length": "lafler_kinman", "anderson_darling_normal": "anderson_darling"}
+
+
+def variability_sql() -> str:
+    parts: dict[str, list[str]] = {}
+    for f in VARIABILITY:
+        for n in f.names():
+            key = type(f).__name__ if type(f).__name__ in ("EtaE", "MaximumSlope") else WHERE.get(n) or (n if n in ORACLE else fs.snake(type(f).__name__))
+            parts.setdefault(key, []).append(n)
+    raw = [n for k in ("EtaE", "MaximumSlope") for n in parts.pop(k)]
+    return joined((", ".join(raw), RAW), *[(", ".join(f'"{n}"' for n in names), ORACLE[k]) for k, names in parts.items()])
+
+
+ORACLE["all_variability_features"] = variability_sql()

@@ -71,15 +71,16 @@ def to_nested(df: DataFrame, lc: str = "lc") -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, object_id: str | None = None) -> DataFrame:
-    """Files of ``time, mag, magerr`` or ``time, flux, fluxerr``; of equal times of an object one row stays."""
+    """Files of ``time, mag, magerr`` or ``time, flux, fluxerr``; of equal times of an object the least value stays."""
     df = spark.read.csv(path, header=True, inferSchema=True)
     value, error = ("mag", "magerr") if "mag" in df.columns else ("flux", "fluxerr")
     who = F.col(object_id) if object_id else F.input_file_name()
-    return long_form(df, who, "time", value, error).dropDuplicates(["object_id", "t"])
+    rows = long_form(df, who, "time", value, error)
+    return rows.groupBy("object_id", "t").agg(F.min(F.struct("m", "sigma", "band")).alias("x")).select("object_id", "t", "x.m", "x.sigma", "x.band")
 
 
 def problems(df: DataFrame) -> DataFrame:
-    """Rows that break the contract, with a ``reason``: nulls, non-finite times or values, NaN or non-positive errors, repeated times."""
+    """Rows that break the contract, with a ``reason``: nulls, non-finite times or values, NaN or non-positive errors, times repeated within a band."""
     infinite = lambda c: F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
     bad = (
         F.when(F.col("t").isNull() | F.col("m").isNull(), "null")
@@ -88,8 +89,8 @@ def problems(df: DataFrame) -> DataFrame:
         .when(F.isnan("sigma") | (F.col("sigma") <= 0), "error is NaN or not positive")
     )
     own = df.withColumn("reason", bad).where("reason is not null")
-    same = df.groupBy("object_id", "t").agg(F.count(F.lit(1)).alias("n"), F.first("m").alias("m"), F.first("sigma").alias("sigma"), F.first("band").alias("band")).where("n > 1 and t is not null")
-    return own.unionByName(same.drop("n").withColumn("reason", F.lit("repeated time")))
+    same = df.where("t is not null").groupBy("object_id", "band", "t").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("m", "sigma")).alias("x")).where("n > 1")
+    return own.unionByName(same.select("object_id", "t", "x.m", "x.sigma", "band", F.lit("repeated time").alias("reason")))
 
 
 def validated(df: DataFrame, duplicates: str = "error", bands: Sequence[str] | None = None, unknown: str = "error") -> DataFrame:

@@ -24,6 +24,12 @@ def streaming_bins(stream: DataFrame, window: str, offset: str | None = None, ts
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), div(F.col("swm"), F.col("sw")).alias("m"), F.sqrt(div(F.col("n").cast("double"), F.col("sw"))).alias("sigma"), "n")
 
 
+def _weighted_squares(m: Column, w: Column) -> Column:
+    """Weighted sum of squares about the weighted mean, from covariances, which are merged about means: large values cost no digits."""
+    both = F.covar_pop(w, m)
+    return F.count(F.lit(1)) * (F.covar_pop(w * m, m) - F.avg(m) * both - div(both * both, F.avg(w)))
+
+
 def mergeable() -> dict[str, Column]:
     """Aggregates that need no series: their state is a few sums."""
     m, sigma = F.col("m"), F.col("sigma")
@@ -32,7 +38,7 @@ def mergeable() -> dict[str, Column]:
     return {
         "amplitude": (F.max(m) - F.min(m)) / 2, "mean": F.avg(m), "standard_deviation": F.stddev_samp(m), "mean_variance": div(F.stddev_samp(m), F.avg(m)),
         "skew": F.when(n > 2, F.sqrt(F.greatest(n * (n - 1), F.lit(0.0))) * div(F.skewness(m), n - 2)), "kurtosis": div(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(m) + 6),
-        "weighted_mean": div(F.sum(w * m), F.sum(w)), "reduced_chi2": div(F.sum(w * m * m) - div(F.sum(w * m) * F.sum(w * m), F.sum(w)), n - 1),
+        "weighted_mean": div(F.sum(w * m), F.sum(w)), "reduced_chi2": div(_weighted_squares(m, w), n - 1),
         "excess_variance": div(F.var_samp(m) - F.avg(sigma * sigma), F.avg(m) * F.avg(m)), "observation_count": n,
     }
 
