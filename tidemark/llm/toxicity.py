@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import modest_batches
+from ._frames import drop_staged, modest_batches, staged
 
 #: The bound of the fitted model: labelled rows.
 SAMPLE = 10_000
@@ -42,7 +42,7 @@ NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 1.0
 #: Blocks read before the k-th best cosine is known, and queries scored at a time.
 FIRST, TOGETHER = 4, 256
 #: Terms in more than this share of the blocks are kept as matrices.
-COMMON = 0.6
+COMMON = 0.35
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -61,57 +61,78 @@ def sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
     return copies.select("one.doc_id", "one.text", "toxic")
 
 
+#: What becomes of each ASCII character: letters in lower case, all others a blank.
+ASCII = "".join(chr(c).lower() if chr(c).isalpha() else " " for c in range(128))
+
+
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = text or ""
+    return text.translate(ASCII).split(" ") if text.isascii() else WORD.findall(text.lower())
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term occurs, and how many documents there are."""
+def numbered(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """``docs`` with the numbers and counts of its texts' terms in place of ``text``."""
+    keep = [c for c in docs.columns if c != "text"]
+    at = docs.columns.index("text")
     handle = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {t: k for k, t in enumerate(handle.value)}
-        counts, n = np.zeros(len(at) + 1, np.int64), 0
+        number = {t: k for k, t in enumerate(handle.value)}
         for batch in batches:
-            some: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                n += 1
-                some.update(set(words(text)))
-            for word, k in some.items():
-                if (place := at.get(word)) is not None:
-                    counts[place] += k
-        counts[-1] = n
+            lists = numbers_of(batch.column(at).to_pylist(), number)
+            ends = pa.array(np.cumsum([0, *(len(k) for k, _ in lists)]).astype(np.int32))
+            made = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *x]))) for x in zip(*lists, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=[*keep, "k", "n"])
+
+    none = F.expr("cast(array() as array<int>)")
+    return docs.mapInArrow(run, docs.select(*keep, none.alias("k"), none.alias("n")).schema)
+
+
+def numbers_of(texts: list[str | None], at: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Numbers and counts of the terms of each text."""
+    out = []
+    for text in texts:
+        counts = Counter(map(at.get, words(text)))
+        counts.pop(None, None)
+        out.append((np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))))
+    return out
+
+
+def document_frequencies(rows: DataFrame, terms: int) -> tuple[np.ndarray, int]:
+    """In how many of all documents (rows of :func:`numbered`) each term occurs, and how many documents there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(terms + 1, np.int64)
+        for batch in batches:
+            counts[:-1] += np.bincount(np.asarray(batch.column(0).flatten()), minlength=terms)
+            counts[-1] += len(batch)
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there])], names=["k", "n"])
 
-    got = docs.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row a term
-    counts = np.zeros(len(terms) + 1, np.int64)
+    got = rows.select("k").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    counts = np.zeros(terms + 1, np.int64)
     counts[got.column("k").to_numpy()] = got.column("n").to_numpy()
     return counts[:-1], int(counts[-1])
 
 
-def examples_of(picked: DataFrame) -> tuple[list[str], list[tuple]]:
-    """All terms of the sample, sorted, and (doc_id, toxic, term numbers, counts) of its rows, at most ``SAMPLE``, in a fixed order."""
+def vocabulary(picked: DataFrame) -> list[str]:
+    """All words of the sample, sorted; bounded by it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [Counter(words(t)) for t in batch.column(1).to_pylist()]
-            lists = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "toxic", "terms", "n"])
-
-    kind = picked.schema["doc_id"].dataType.simpleString()
-    got = picked.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {kind}, toxic int, terms array<string>, n array<int>").toArrow().combine_chunks()
-    if not len(got):
-        return [], []
-    lists, counts = got.column("terms").chunk(0), got.column("n").chunk(0).flatten().to_numpy()
-    coded = lists.flatten().dictionary_encode()
-    terms = coded.dictionary.to_pylist()
-    order = sorted(range(len(terms)), key=terms.__getitem__)
-    place = np.empty(len(terms), np.int64)
-    place[order] = np.arange(len(terms))
-    number, ends = place[coded.indices.to_numpy()], np.asarray(lists.offsets) - lists.offsets[0].as_py()
-    rows = [(i, y, number[a:b], counts[a:b]) for i, y, a, b in zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), ends[:-1], ends[1:], strict=True)]
-    return [terms[k] for k in order], sorted(rows, key=lambda r: (str(r[0]), r[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in batch.column(0).to_pylist() for w in words(t) if w}), pa.string())], names=["term"])
+
+    return sorted(picked.select("text").mapInArrow(run, "term string").distinct().toArrow().column("term").to_pylist())
+
+
+def examples_of(rows: DataFrame) -> list[tuple]:
+    """(doc_id, toxic, term numbers, counts) of the sample (:func:`numbered`), at most ``SAMPLE`` rows, in a fixed order."""
+    got = rows.select("doc_id", "toxic", "k", "n").toArrow()
+    lists = [[x.values.to_numpy().copy() for x in got.column(c)] for c in ("k", "n")]
+    # terms in order, whatever order a task met them in
+    sorted_ = [(k[o], n[o]) for k, n in zip(*lists, strict=True) for o in [np.argsort(k)]]
+    found = [(i, y, k, n) for i, y, (k, n) in zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), sorted_, strict=True)]
+    return sorted(found, key=lambda r: (str(r[0]), r[1]))
 
 
 def chi_square(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.ndarray:
@@ -123,13 +144,33 @@ def chi_square(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.ndarr
 
 def weigh(weights: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A text's unit vector."""
-    w = np.sqrt(np.asarray(n, float)) * weights[np.asarray(k, int)]
-    return w / (np.sqrt(w @ w) or 1.0)
+    w = np.sqrt(np.asarray(n, float)) * weights[k]
+    return (w / (np.sqrt(w @ w) or 1.0)).astype(np.float32)
+
+
+def clusters(numbers: list[np.ndarray], unit: list[np.ndarray], terms: int, k: int = 16, steps: int = 5) -> np.ndarray:
+    """A cluster of each vector by spherical k-means over its part in the ``1024`` most frequent terms."""
+    if len(unit) <= BLOCK:
+        return np.zeros(len(unit), int)
+    often = np.bincount(np.concatenate(numbers), minlength=terms)
+    row = np.full(terms, -1, np.int32)
+    top = np.argsort(-often, kind="stable")[:1024]
+    row[top] = np.arange(len(top))
+    x = np.zeros((len(unit), len(top)), np.float32)
+    for i, (t, w) in enumerate(zip(numbers, unit, strict=True)):
+        at = row[t]
+        x[i, at[at >= 0]] = w[at >= 0]
+    centre = x[np.random.default_rng(3).permutation(len(x))[:k]].copy()
+    for _ in range(steps):
+        near = np.argmax(x @ (centre / (np.linalg.norm(centre, axis=1)[:, None] + 1e-9)).T, 1)
+        centre = np.stack([x[near == c].sum(0) for c in range(len(centre))])
+    return near
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers of all ranges in a row."""
-    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    ends = np.cumsum(sizes, dtype=np.int32)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(starts - (ends - sizes), sizes)
 
 
 @dataclass
@@ -154,21 +195,23 @@ class Index:
     def build(cls, terms: list[str], weight: np.ndarray, examples: list[tuple]) -> Index:
         """``examples`` are (doc_id, toxic, term numbers, counts)."""
         unit = [weigh(weight, k, n) for _, _, k, n in examples]
-        # neighbours in a block share their heaviest term, so that block maxima are tight
-        order = sorted((i for i in range(len(unit)) if len(unit[i])), key=lambda i: (int(examples[i][2][np.argmax(unit[i])]), i))
+        # neighbours in a block are of one cluster and share their heaviest term, so that block maxima are tight
+        full = [i for i in range(len(unit)) if len(unit[i])]
+        cluster = dict(zip(full, clusters([examples[i][2] for i in full], [unit[i] for i in full], len(terms)).tolist(), strict=True))
+        order = sorted(full, key=lambda i: (cluster[i], int(examples[i][2][np.argmax(unit[i])]), i))
         index = cls(terms, weight, [examples[i][0] for i in order], np.array([examples[i][1] for i in order], float), float(np.mean([e[1] for e in examples])) if examples else 0.0)
-        k = np.concatenate([np.asarray(examples[i][2], np.int64) for i in order]) if order else np.zeros(0, np.int64)
+        k = np.concatenate([np.zeros(0, np.int32), *[examples[i][2] for i in order]])
         d = np.repeat(np.arange(len(order), dtype=np.int32), [len(unit[i]) for i in order])
-        w = np.concatenate([unit[i] for i in order]) if order else np.zeros(0)
-        by = np.lexsort((d, k))
-        k, index.docs, index.weights = k[by], d[by], w[by].astype(np.float32)
+        w = np.concatenate([np.zeros(0, np.float32), *[unit[i] for i in order]])
+        by = np.argsort(k, kind="stable")  # examples are in order already
+        k, index.docs, index.weights = k[by].astype(np.int64), d[by], w[by]
+        del d, w, by, unit
         cell = k * index.blocks + index.docs // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
-        index.cell_start = np.append(first, len(cell))
+        index.cell_start = np.append(first, len(cell)).astype(np.int32)
         index.cell_block = (cell[first] % max(index.blocks, 1)).astype(np.int32)
         index.cell_max = np.maximum.reduceat(index.weights, first) if len(first) else np.zeros(0, np.float32)
-        index.term_start = np.searchsorted(k[first], np.arange(len(terms) + 1))
-        index._calibrate(examples)
+        index.term_start = np.searchsorted(k[first], np.arange(len(terms) + 1)).astype(np.int32)
         return index
 
     @property
@@ -200,9 +243,7 @@ class Index:
 
     def numbers(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of a text's terms."""
-        counts = Counter(map(self.at.get, words(text)))
-        counts.pop(None, None)
-        return np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+        return numbers_of([text], self.at)[0]
 
     def nearest(self, queries: list[tuple]) -> list[list[tuple[float, int]]]:
         """(cosine, example) of the nearest to each (term numbers, counts, own id), nearest first; none with cosine 0."""
@@ -218,27 +259,28 @@ class Index:
             at = row[k]
             dense[r, at[at >= 0]] = value[at >= 0]
             rare.append((k[at < 0], value[at < 0]))
-        k = np.concatenate([x for x, _ in rare]).astype(np.int64)
-        size = self.term_start[k + 1] - self.term_start[k]
-        cell = _spread(self.term_start[k], size)
+        k = np.concatenate([x for x, _ in rare])
+        begin = self.term_start[k]
+        size = self.term_start[k + 1] - begin
+        cell = _spread(begin, size)
         value = np.repeat(np.concatenate([x for _, x in rare]), size)
-        place = np.repeat(np.repeat(np.arange(rows), [len(x) for x, _ in rare]), size) * blocks + self.cell_block[cell]
-        bound = dense @ most + np.bincount(place, value * self.cell_max[cell], rows * blocks).reshape(rows, blocks) + 1e-5
+        owner = np.repeat(np.arange(rows, dtype=np.int32), [len(x) for x, _ in rare])
+        place = np.repeat(owner * np.int32(blocks), size) + self.cell_block[cell]
+        bound = dense @ most + np.bincount(place, value * self.cell_max[cell], rows * blocks).reshape(rows, blocks).astype(np.float32) + np.float32(1e-5)
         want = min(NEIGHBOURS + 1, blocks * BLOCK)  # one may be the text itself
 
         def read(todo: np.ndarray, slot: np.ndarray, width: int) -> np.ndarray:
             """Cosines with the examples of the blocks in ``todo``; ``slot`` says where a block's go, of ``width`` slots a row."""
-            known = np.zeros((rows, width, BLOCK), np.float32)
-            for b in np.flatnonzero(todo.any(0)):
-                asks = np.flatnonzero(todo[:, b])
-                known[asks, slot[asks, b]] = dense[asks] @ whole[b]
             mine = np.flatnonzero(todo.ravel()[place])
-            start = self.cell_start[cell[mine]]
-            many = self.cell_start[cell[mine] + 1] - start
+            to, some = place[mine], cell[mine]
+            start = self.cell_start[some]
+            many = self.cell_start[some + 1] - start
             spot = _spread(start, many)
-            to = place[mine]
             target = np.repeat((to // blocks * width + slot.ravel()[to]) * BLOCK, many) + self.docs[spot] % BLOCK
-            known += np.bincount(target, np.repeat(value[mine], many) * self.weights[spot], known.size).reshape(known.shape)
+            known = np.bincount(target, np.repeat(value[mine], many) * self.weights[spot], rows * width * BLOCK).astype(np.float32).reshape(rows, width, BLOCK)
+            for b in np.flatnonzero(todo.any(0)):
+                asks = np.flatnonzero(todo[:, b])
+                known[asks, slot[asks, b]] += dense[asks] @ whole[b]
             return known.reshape(rows, -1)
 
         # the blocks with the highest bounds tell how near the k-th is at least; then all that can hold a nearer one are read
@@ -248,30 +290,30 @@ class Index:
         np.put_along_axis(some, first, True, 1)
         np.put_along_axis(slot, first, np.arange(few, dtype=np.int32)[None], 1)
         table = read(some, slot, few)
-        floor = np.partition(table, -min(want, table.shape[1]), 1)[:, [-min(want, table.shape[1])]] if table.shape[1] >= want else np.zeros((rows, 1))
+        floor = np.partition(table, -want, 1)[:, [-want]] if table.shape[1] >= want else np.zeros((rows, 1), np.float32)
         every = np.broadcast_to(np.arange(blocks, dtype=np.int32), bound.shape)
         table = read((bound >= floor) & (bound > 2e-5), every, blocks)
-        floor = np.partition(table, -want, 1)[:, [-want]]
+        # sums in another order may differ in the last bits
+        row, near = np.nonzero(table >= np.maximum(floor - np.float32(1e-5), np.finfo(np.float32).tiny))
+        cosine = table[row, near]
+        by = np.lexsort((near, -cosine, row))
+        row, near, cosine = row[by], near[by].tolist(), cosine[by].tolist()
+        ends = np.searchsorted(row, np.arange(rows + 1)).tolist()
         out = []
         for r, (_, _, own) in enumerate(queries):
-            near = np.flatnonzero(table[r] >= max(floor[r, 0], np.finfo(np.float32).tiny))
-            near = near[np.lexsort((near, -table[r, near]))]
-            out.append([(float(table[r, i]), int(i)) for i in near if own is None or self.ids[i] != own][:NEIGHBOURS])
+            a, b = ends[r], min(ends[r + 1], ends[r] + NEIGHBOURS + 1)
+            out.append([(cosine[i], near[i]) for i in range(a, b) if own is None or self.ids[near[i]] != own][:NEIGHBOURS])
         return out
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(c for c, _ in near)
         return (sum(c * self.labels[i] for c, i in near) + PRIOR_WEIGHT * self.prior) / (total + PRIOR_WEIGHT)
 
-    def _calibrate(self, examples: list[tuple]) -> None:
-        """Isotonic steps from leave-one-out votes by pooling adjacent violators."""
-        blank = [e[1] for e in examples if not len(e[2])]
+    def calibrate(self, votes: list[tuple[float, int]], blank: list[int]) -> None:
+        """Isotonic steps from leave-one-out votes by pooling adjacent violators; ``blank`` are labels of texts without a term."""
         self.blank = (sum(blank) + self.prior) / (len(blank) + 1)
-        full = [e for e in examples if len(e[2])]
-        near = self.nearest([(e[2], e[3], e[0]) for e in full])
-        votes = sorted((self.vote(x), e[1]) for x, e in zip(near, full, strict=True))
         pools: list[list[float]] = []  # first vote, hits, rows
-        for v, y in votes:
+        for v, y in sorted(votes):
             pools.append([v, float(y), 1.0])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 _, hits, rows = pools.pop()
@@ -279,48 +321,95 @@ class Index:
                 pools[-1][2] += rows
         self.votes = np.array([p[0] for p in pools]), np.array([(p[1] + self.prior) / (p[2] + 1) for p in pools])
 
-    def scores(self, texts: list[str | None], own: list) -> list[tuple[float, list[tuple[float, int]]]]:
-        """The score of each text and its nearest examples."""
-        found = [self.numbers(t) for t in texts] if self.ids else []
-        full = [r for r, (k, _) in enumerate(found) if len(k)]
+    def scores(self, found: list[tuple[np.ndarray, np.ndarray]], own: list) -> list[tuple[float, list[tuple[float, int]]]]:
+        """The score of each text, given as numbers and counts, and its nearest examples."""
+        full = [r for r, (k, _) in enumerate(found) if len(k)] if self.ids else []
         near = self.nearest([(*found[r], own[r]) for r in full])
-        out: list = [(self.blank, [])] * len(texts)
+        out: list = [(self.blank, [])] * len(found)
         step, level = self.votes
-        for r, x in zip(full, near, strict=True):
-            out[r] = float(np.interp(self.vote(x), step, np.maximum.accumulate(level))), x
+        values = np.interp([self.vote(x) for x in near], step, np.maximum.accumulate(level)) if full else []
+        for r, x, v in zip(full, near, values, strict=True):
+            out[r] = float(v), x
         return out
 
 
+def _arrays(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Numbers and counts of each row, without copies."""
+    k, n = batch.column(batch.schema.get_field_index("k")), batch.column(batch.schema.get_field_index("n"))
+    ends = (np.asarray(k.offsets) - k.offsets[0].as_py()).tolist()
+    flat = [np.asarray(x.flatten()) for x in (k, n)]
+    return [(flat[0][a:b], flat[1][a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Index:
     """The index over a bounded sample of ``labels`` (``doc_id, toxic``) with texts and frequencies from ``docs``."""
+    return fit_numbered(docs.select("doc_id", "text"), labels, n)[0]
+
+
+def fit_numbered(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> tuple[Index, DataFrame]:
+    """The index, and ``docs`` as :func:`numbered` (staged), from which frequencies were counted."""
     modest_batches(docs.sparkSession)
-    terms, examples = examples_of(sample(docs, labels, n))
-    there = [np.concatenate([np.zeros(0, np.int64), *[e[2] for e in examples if e[1] == y]]) for y in (1, 0)]
+    picked = staged(sample(docs, labels, n))
+    terms = vocabulary(picked)
+    rows = staged(numbered(docs, terms))
+    df, total = document_frequencies(rows, len(terms))
+    chosen = staged(numbered(picked, terms))
+    examples = examples_of(chosen)
+    there = [np.concatenate([np.zeros(0, np.int32), *[e[2] for e in examples if e[1] == y]]) for y in (1, 0)]
     a, b = (np.bincount(x, minlength=len(terms)).astype(float) for x in there)
     toxic = float(sum(e[1] for e in examples))
-    df, total = document_frequencies(docs, terms)
-    idf = np.log((1 + total) / (1 + df)) + 1
-    return Index.build(terms, idf * (1 + chi_square(a, b, toxic, len(examples) - toxic)), examples)
+    weight = (np.log((1 + total) / (1 + df)) + 1) * (1 + chi_square(a, b, toxic, len(examples) - toxic))
+    index = Index.build(terms, weight, examples)
+    blank = [e[1] for e in examples if not len(e[2])]
+    del examples
+    index.calibrate(_votes(chosen, index), blank)
+    drop_staged(picked), drop_staged(chosen)
+    return index, rows
+
+
+def _votes(chosen: DataFrame, index: Index) -> list[tuple[float, int]]:
+    """Leave-one-out votes of the examples that have a term, and their labels."""
+    handle = chosen.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = handle.value
+        for batch in batches:
+            found = [(*x, i, y) for x, i, y in zip(_arrays(batch), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(x[0])]
+            votes = [index.vote(near) for near in index.nearest([x[:3] for x in found])]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array([x[3] for x in found], pa.int32())], names=["vote", "toxic"])
+
+    got = chosen.select("doc_id", "toxic", "k", "n").mapInArrow(run, "vote double, toxic int").toArrow()  # at most SAMPLE rows
+    handle.unpersist()
+    return list(zip(got.column("vote").to_pylist(), got.column("toxic").to_pylist(), strict=True))
 
 
 EVIDENCE = "array<struct<doc_id:string,toxic:int,cosine:double>>"
-EVIDENCE_ARROW = pa.list_(pa.struct([("doc_id", pa.string()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
 
 def scored(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with ``score``, ``predicted`` and ``evidence`` (the three nearest examples); such columns are replaced."""
+    c = df.drop("score", "predicted", "evidence").columns.index(text)
+    return _scored(df, index, doc_id, lambda batch, index: numbers_of(batch.column(c).to_pylist(), index.at))
+
+
+def _scored(df: DataFrame, index: Index, doc_id: str, numbers: Callable) -> DataFrame:
     modest_batches(df.sparkSession)
     df = df.drop("score", "predicted", "evidence")
-    c, d = df.columns.index(text), df.columns.index(doc_id)
+    d = df.columns.index(doc_id)
     handle = df.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = handle.value
+        names = [str(x) for x in index.ids]
         for batch in batches:
-            got = index.scores(batch.column(c).to_pylist(), batch.column(d).to_pylist())
+            got = index.scores(numbers(batch, index), batch.column(d).to_pylist())
             scores = np.clip(np.array([s for s, _ in got], float), 0, 1)
-            evidence = [[{"doc_id": str(index.ids[i]), "toxic": int(index.labels[i]), "cosine": x} for x, i in near[:3]] for _, near in got]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(evidence, EVIDENCE_ARROW)], names=[*batch.schema.names, "score", "predicted", "evidence"])
+            first = [near[:3] for _, near in got]
+            flat = np.array([i for near in first for _, i in near], np.int64)
+            fields = [pa.array([names[i] for i in flat.tolist()], pa.string()), pa.array(index.labels[flat].astype(np.int32)), pa.array([c for near in first for c, _ in near], pa.float64())]
+            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+            evidence = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, names=["doc_id", "toxic", "cosine"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), evidence], names=[*batch.schema.names, "score", "predicted", "evidence"])
 
     schema = df.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.expr(f"cast(array() as {EVIDENCE})").alias("evidence")).schema
     return df.mapInArrow(run, schema)
@@ -335,7 +424,7 @@ def filtered(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = handle.value
         for batch in batches:
-            keep = [s < THRESHOLD for s, _ in index.scores(batch.column(c).to_pylist(), batch.column(d).to_pylist())]
+            keep = [s < THRESHOLD for s, _ in index.scores(numbers_of(batch.column(c).to_pylist(), index.at), batch.column(d).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
@@ -343,5 +432,6 @@ def filtered(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "t
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    index = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    return scored(docs, index).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+    index, rows = fit_numbered(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    out = _scored(rows, index, "doc_id", lambda batch, _: _arrays(batch))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
