@@ -26,7 +26,7 @@ def test_without_llm(tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["flagship", "parabola_fit", "otsu_split", "color_spread", "magnitude_percentage_ratio", "bins_extractor", "bootstrap", "dmdt_norm_max", "windows_non_overlapping", "duplicates_mean", "few_observations", "streaming_bins"])
+@pytest.mark.parametrize("name", ["flagship", "parabola_fit", "otsu_split", "color_spread", "magnitude_percentage_ratio", "bins_extractor", "bootstrap", "dmdt_norm_max", "windows_non_overlapping", "duplicates_mean", "few_observations", "streaming_bins", "linear_features", "all_variability_features", "periodogram_freq_power", "chi2_pvar", "anderson_darling"])
 def test_like_sql(spark, name):
     import __spark_entry__ as entry
 
