@@ -7,6 +7,7 @@ import io
 import itertools
 import random
 import re
+import time
 import uuid
 import zlib
 from collections import Counter, defaultdict
@@ -633,3 +634,37 @@ def test_warc_of_odd_pages(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_id", F.lit("mine")).withColumn("refers_to", F.lit(1))
     out = warc.derive(warc.responses(pages), "page_id").collect()
     assert len(out) == 10 and len({r["record_id"] for r in out}) == 8 and max(r["content_length"] for r in out) == 1_999_999
+
+
+def test_pii_overlaps_against_brute_force():
+    """Added spans: in order of probability, each that meets neither a base span nor one taken before."""
+    r = random.Random(12)
+    pieces = ["bob (at) example (dot) com", "(415) 555-2671", "4111.1111.1111.1111", "a@b.com", "+1 (017) 555-7713", "10.1.2.3", "0415 555 2671 4111 1111 1111 1111", "call", "order", "2001:db8:0:0:0:0:0:1", "555-2671-4415", "x [at] y.org"]
+    model = pii.default_model()
+    for _ in range(40):
+        text = " ".join(r.choice(pieces) for _ in range(60))
+        base, more = pii.find([text], model)[0]
+        rows = pii.proposals(text)
+        p = model.probability(np.array([pii.features(text, *row) for row in rows]))
+        want: list = []
+        free = [k for k, (_, _, a, b) in enumerate(rows) if not any(a < e and b > s for _, s, e in base)]
+        for k in sorted(free, key=lambda k: (-p[k], k)):
+            kind, _, a, b = rows[k]
+            if p[k] >= model.thresholds[kind] and not any(a < e and b > s for _, s, e in want):
+                want.append((kind, a, b))
+        assert sorted(more) == sorted(want)
+
+
+def test_pii_of_long_texts():
+    """Long local parts are found whole, and time grows with the length."""
+    local = "b" * 300
+    for address in (f"{local}[at]example.org", f"{local} at example dot com"):
+        assert pii.find([f"mail {address} now"], pii.default_model())[0][1] == [("email", 5, 5 + len(address))]
+    text = "write a@b.com or call (415) 555-2671 or 10.0.0.1 ok " * 2500
+    start = time.perf_counter()
+    base, more = pii.find([text], pii.default_model())[0]
+    once = time.perf_counter() - start
+    assert len(base) == 5000 and len(more) == 2500
+    start = time.perf_counter()
+    pii.find([text * 4], pii.default_model())
+    assert time.perf_counter() - start < 10 * once
