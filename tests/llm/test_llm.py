@@ -668,3 +668,53 @@ def test_pii_of_long_texts():
     start = time.perf_counter()
     pii.find([text * 4], pii.default_model())
     assert time.perf_counter() - start < 10 * once
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying every place for every length."""
+    best, order = len(lengths), sorted(lengths, reverse=True)
+
+    def go(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(order):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= order[k]:
+                left = list(rooms)
+                left.remove(room)
+                go(k + 1, [*left, room - order[k]])
+        go(k + 1, [*rooms, capacity - order[k]])
+
+    go(0, [])
+    return best
+
+
+def test_packing_is_optimal_on_small_cases():
+    for seed in range(200):
+        r = random.Random(seed)
+        lengths = [r.randint(5, 70) for _ in range(r.randint(1, 11))]
+        assert sum(n for _, n in packing.solve(Counter(lengths), 100)) == fewest(lengths, 100), lengths
+
+
+def test_packing_of_tight_triplets():
+    """300 triplets that fill 300 sequences exactly: greedy packing takes 307."""
+    r = random.Random(0)
+    lengths = []
+    for _ in range(300):
+        a = r.randint(520, 900)
+        b = r.randint(520, max(520, 1528 - a))
+        lengths += [a, b, 2048 - a - b]
+    solution = packing.solve(Counter(lengths))
+    assert sum((Counter({x: filling.count(x) * n for x in filling}) for filling, n in solution), Counter()) == Counter(lengths)
+    assert all(sum(filling) <= 2048 for filling, _ in solution) and sum(n for _, n in solution) <= 302
+    plain = packing.fewer(Counter(lengths[:30]), 10, 2048)
+    assert plain and sum(map(Counter, plain), Counter()) == Counter(lengths[:30])
+    assert packing.fewer(Counter([60, 60, 60]), 2, 100) is None
+
+
+def test_packing_meets_the_bound_on_documents(spark):
+    lengths = [r["length"] for r in packing.op4_packing(spark, SMALL).select("length").collect()]
+    assert sum(n for _, n in packing.solve(Counter(lengths))) == -(-sum(lengths) // 2048)

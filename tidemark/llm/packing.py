@@ -10,15 +10,25 @@ filling is repeated as often as the counts allow, so a step uses up a length. Wh
 compete too: pure best fit is the first incumbent, and each further search order is given up once
 its waste exceeds the incumbent's.
 
+While the incumbent is above the lower bound, branch-and-bound takes parts of it to pieces: the
+sequences with waste and some full ones (``PARTS`` in turn) are packed anew into one sequence less. There it
+branches over all undominated fillings around the largest length left, by their waste, and returns
+from a filling when the waste that the bound leaves is used up (:func:`fewer`). Such a search is exact
+unless it ends by ``BRANCHES``; it is repeated until the bound is met or ``TRIES`` parts in a row have
+given nothing. Packing is NP-hard: nothing is lost when a search ends, at worst a sequence more stays.
+
 Pieces then take their places by their rank within their length; ranks are found bucket by bucket
 (``rank_within``), so one length may hold any share of the rows.
 
-Null texts are empty documents of one token; repeated rows are documents of their own.
+Null texts are empty documents of one token; repeated rows are documents of their own. Texts of any
+length are cut, none is left out. An empty table gives an empty result. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import random
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +46,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CAPACITY, END = 2048, 0
 #: Fillings looked at around one largest document before the best one found is taken.
 NODES = 3000
+#: Sequences that are packed anew at a time, fillings that such a search tries, and searches in a row without success.
+PARTS, BRANCHES, TRIES = (8, 12, 16, 24), 2000, 80
 
 
 @lru_cache(maxsize=2)
@@ -145,7 +157,105 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
             incumbent, bins = out, used
         if bins <= least:
             break
-    return incumbent or []
+    return improved(incumbent, capacity, least) if incumbent and bins > least else incumbent or []
+
+
+def undominated(room: int, counts: dict[int, int], lengths: list[int], budget: int, most: int = 400) -> list[tuple[int, Filling]]:
+    """(waste, lengths) of the fillings of ``room`` with at most ``budget`` of waste, least first.
+
+    Left out are fillings that leave room for a length at hand, and those in which a longer one could
+    take a length's place: whatever they allow, the other allows too.
+    """
+    found: list[tuple[int, Filling]] = []
+    have = [x for x in lengths if counts[x] and x <= room]
+    used: dict[int, int] = {}
+
+    def free(low: int, high: int) -> bool:
+        """Is a length above ``low`` and up to ``high`` left over?"""
+        return any(low < x <= high and counts[x] > used.get(x, 0) for x in have)
+
+    def search(k: int, rest: int, chosen: list[int]) -> None:
+        if len(found) >= most:
+            return
+        for j in range(k, len(have)):
+            x = have[j]
+            if x <= rest and used.get(x, 0) < counts[x]:
+                used[x] = used.get(x, 0) + 1
+                chosen.append(x)
+                search(j, rest - x, chosen)
+                chosen.pop()
+                used[x] -= 1
+        if rest <= budget and not free(0, rest) and not any(free(x, x + rest) for x in set(chosen)):
+            found.append((rest, tuple(chosen)))
+
+    search(0, room, [])
+    return sorted(found, key=lambda f: (f[0], [-x for x in f[1]]))
+
+
+def fewer(items: dict[int, int], bins: int, capacity: int, branches: int = BRANCHES) -> list[Filling] | None:
+    """All of ``items`` in at most ``bins`` fillings by depth-first branch-and-bound, or None."""
+    counts, out, left = dict(items), [], branches
+    lengths = sorted(counts, reverse=True)
+
+    def go(budget: int) -> bool:
+        nonlocal left
+        top = next((x for x in lengths if counts[x]), None)
+        if top is None:
+            return True
+        counts[top] -= 1
+        for waste, beside in undominated(capacity - top, counts, lengths, budget):
+            left -= 1
+            if left < 0:
+                break
+            for x in beside:
+                counts[x] -= 1
+            out.append((top, *beside))
+            if go(budget - waste):
+                return True
+            out.pop()
+            for x in beside:
+                counts[x] += 1
+        counts[top] += 1
+        return False
+
+    budget = bins * capacity - sum(x * n for x, n in items.items())
+    return out if budget >= 0 and go(budget) else None
+
+
+def improved(solution: list[tuple[Filling, int]], capacity: int, least: int, tries: int = TRIES) -> list[tuple[Filling, int]]:
+    """``solution`` with sequences saved by packing parts of it anew."""
+    fillings: dict[Filling, int] = {}
+    for f, n in solution:
+        fillings[f] = fillings.get(f, 0) + n
+    rng, failed, turn = random.Random(5), 0, 0
+    while sum(fillings.values()) > least and failed < tries:
+        part, turn = PARTS[turn % len(PARTS)], turn + 1
+        loose = sorted((f for f in fillings if sum(f) < capacity), key=sum)
+        chosen: list[Filling] = []
+        for f in loose:  # the emptiest first, until a sequence could be saved
+            chosen += [f] * min(fillings[f], part - len(chosen))
+            if len(chosen) >= part // 2 and sum(capacity - sum(c) for c in chosen) >= capacity:
+                break
+        names = sorted(fillings)
+        while len(chosen) < min(part, sum(fillings.values())):
+            f = rng.choice(names)
+            if chosen.count(f) < fillings[f]:
+                chosen.append(f)
+        items: dict[int, int] = {}
+        for f in chosen:
+            for x in f:
+                items[x] = items.get(x, 0) + 1
+        again = fewer(items, len(chosen) - 1, capacity)
+        failed = 0 if again else failed + 1
+        if again is None and failed % 2 and len(chosen) > 4:  # other neighbours next time: shuffle what has waste
+            again = fewer(items, len(chosen), capacity, BRANCHES // 4)
+        if again:
+            for f in chosen:
+                fillings[f] -= 1
+            for f in again:
+                fillings[f] = fillings.get(f, 0) + 1
+            fillings = {f: n for f, n in fillings.items() if n}
+    return list(fillings.items())
 
 
 def places(solution: list[tuple[Filling, int]]) -> dict[str, np.ndarray]:
