@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import itertools
+import math
 import random
 import re
 import time
@@ -15,6 +16,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -250,11 +252,15 @@ def test_sharding(spark, odd_texts):
 
 def test_sharding_by_weight(spark):
     heavy = sharding.HashTree((sharding.Shard(0, 0, 0, 1.0), sharding.Shard(1, 0, 1, 3.0), sharding.Shard(2, 1, 0, 4.0)))
-    lighter = sharding.HashTree((sharding.Shard(0, 0, 0, 1.0), sharding.Shard(1, 0, 1, 5.0), sharding.Shard(2, 1, 0, 4.0)))
+    lighter = heavy.plus(sharding.Shard(1, 0, 1, 2.0))
     rows = sharding.assign(spark.range(8000).withColumnRenamed("id", "doc_id"), heavy, grown=lighter).collect()
     share = Counter(r["shard"] for r in rows)
     assert share[2] / 8000 == pytest.approx(0.5, abs=0.03) and share[1] / 8000 == pytest.approx(0.375, abs=0.03)
     assert {r["grown_shard"] for r in rows if r["grown_shard"] != r["shard"]} == {1}
+    assert Counter(r["grown_shard"] for r in rows)[1] / 8000 == pytest.approx(0.5, abs=0.03)
+    again = sharding.assign(spark.range(8000).withColumnRenamed("id", "doc_id"), lighter, grown=lighter.plus(sharding.Shard(3, 1, 1, 10.0))).collect()
+    assert Counter(r["grown_shard"] for r in again)[3] / 8000 == pytest.approx(0.5, abs=0.03)
+    assert {r["grown_shard"] for r in again if r["grown_shard"] != r["shard"]} == {3}
 
 
 @settings(max_examples=60, deadline=None)
@@ -718,3 +724,28 @@ def test_packing_of_tight_triplets():
 def test_packing_meets_the_bound_on_documents(spark):
     lengths = [r["length"] for r in packing.op4_packing(spark, SMALL).select("length").collect()]
     assert sum(n for _, n in packing.solve(Counter(lengths))) == -(-sum(lengths) // 2048)
+
+
+def drawn(key, seed, level, name, weight):
+    h = 42
+    for raw in ((key or 0).to_bytes(8, "little", signed=True) if key is not None else b"", *(v.to_bytes(4, "little", signed=True) for v in (seed, level, name))):
+        h = xxhash.xxh64_intdigest(raw, seed=h) if raw else h
+    return -math.log(((h >> 11) + 0.5) * 2.0**-53) / weight
+
+
+def test_op5_against_a_twin(spark):
+    """The query over its whole table, against a plain descent of the same tree."""
+    rows = sharding.op5_shards(spark, SMALL).collect()
+    docs_ = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert len(rows) == len(docs_)
+    slots = defaultdict(list)
+    for r in rows:
+        k = r["doc_id"]
+        top, region = min((drawn(k, 20011, sharding.REGION, g, 8.0), g) for g in range(3))
+        _, rack = min((drawn(k, 20011, sharding.RACK, 2 * region + j, 4.0), j) for j in range(2))
+        _, shard = min((drawn(k, 20011, sharding.SHARD, n, 1.0), n) for n in range(8 * region + 4 * rack, 8 * region + 4 * rack + 4))
+        late = drawn(k, 20011, sharding.ADDED, 24, 1.0)
+        assert (r["region"], r["rack"], r["shard"], r["grown_shard"], r["law"]) == (region, rack, shard, 24 if late < top else shard, "key")
+        assert (r["size"], r["text_crc32"]) == (len(docs_[k]) + 8, zlib.crc32(docs_[k]))
+        slots[shard].append(r["slot"])
+    assert set(slots) == set(range(24)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
