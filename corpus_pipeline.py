@@ -1,7 +1,12 @@
 """From documents to training sequences: toxicity filter, near-dedup, PII redaction, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
-return the columns of documents. Null texts pass every filter and pack as empty documents.
+return the columns of documents; further ones, whatever their names, pass through them unread.
+
+Null and empty texts pass every filter and pack as empty documents. Texts of any length are read whole.
+Equal texts are near-duplicates: the one with the least id stays; of rows that share an id, the one
+with the least text; rows without an id all stay. Without labels no document is toxic. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import minhash_dedup, packing, pii, toxicity
-from tidemark.llm._frames import staged
+from tidemark.llm._frames import drop_staged, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,5 +49,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, staged(stage(spark, docs, sf_dir))
+        drop_staged(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # has written its pieces
+    drop_staged(docs)
+    return out

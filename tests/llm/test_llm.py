@@ -15,6 +15,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -749,3 +750,74 @@ def test_op5_against_a_twin(spark):
         assert (r["size"], r["text_crc32"]) == (len(docs_[k]) + 8, zlib.crc32(docs_[k]))
         slots[shard].append(r["slot"])
     assert set(slots) == set(range(24)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_bpe_long_words_come_through_the_recursion(monkeypatch):
+    r = random.Random(9)
+    long_ = ["".join(r.choice("abcdefgh\u00e9\u65e5") for _ in range(n)) for n in (300, 1500, 4000)] + ["x" * 5000]
+    coder = bpe.DuckBpe(bpe.RANKS)
+    coder.long = None  # the library is not asked
+    want = [library(bpe.RANKS).encode_ordinary(t) for t in long_]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.units.encode_batch(long_)] == want
+    assert coder.decode(pa.array(want, pa.list_(pa.int32()))) == [t.encode() for t in long_]
+    with pytest.raises(ValueError):
+        coder.decode(pa.array([[10**6]], pa.list_(pa.int32())))
+
+
+def test_op8_against_brute_force(spark):
+    """The query over its whole table."""
+    lengths = [len(library(bpe.RANKS).encode_ordinary(r["text"] or "")) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    rows = token_counts.op8_token_counts(spark, SMALL).collect()
+    assert {r["n_tokens"]: r["n_docs"] for r in rows} == Counter(lengths)
+    for r in rows[::20]:
+        assert r["truncated_total"] == sum(min(v, r["n_tokens"]) for v in lengths) and r["docs_at_least"] == sum(v >= r["n_tokens"] for v in lengths)
+
+
+def test_op7_held_out_accuracy(spark):
+    """The query over its whole table: held-out documents, whose labels it doesn't learn."""
+    got = {r["doc_id"]: r for r in toxicity.op7_toxicity(spark, SMALL).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    assert len(got) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for k, r in got.items())
+    held = [(r["predicted"], labels[k]) for k, r in got.items() if r["held_out"] and labels.get(k) is not None]
+    assert np.mean([p == y for p, y in held]) > 0.85 and sum(y for _, y in held) > 3  # 36 toxic examples; larger tables do better
+    assert np.mean([p for p, y in held if y]) >= 0.8
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Empty tables, long texts, repeated rows, ties, clashing columns."""
+    rows = toxic_corpus(random.Random(5), 300)
+    df = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string").withColumn("score", F.lit("mine"))
+    index = toxicity.fit(df, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    odd = spark.createDataFrame([(900, "vile rotten awful " * 50_000), (901, "vile rotten"), (901, "vile rotten"), (None, "vile rotten"), (902, "\u65e5\u672c 12 !?")], "doc_id long, text string").withColumn("score", F.lit("mine"))
+    got = sorted(((r["doc_id"] or 0), r["score"]) for r in toxicity.scored(odd, index).collect())
+    assert [k for k, _ in got] == [0, 900, 901, 901, 902] and got[0][1] == got[2][1] == got[3][1] and all(0 <= s <= 1 for _, s in got)
+    assert got[4][1] == index.blank
+    assert toxicity.scored(df.limit(0), index).count() == 0 == toxicity.filtered(df.limit(0), index).count()
+    assert toxicity.scored(df, toxicity.fit(df.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))).select("score").distinct().count() == 1
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, no labels, long texts, repeated ids, rows without an id, clashing columns."""
+    import corpus_pipeline
+
+    def tables(name, rows, labels):
+        df = spark.createDataFrame(rows, DOCS)
+        for c in ("score", "spans", "component_id", "kept", "length", "k", "row"):
+            df = df.withColumn(c, F.lit("mine"))
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        return str(tmp_path / name)
+
+    assert corpus_pipeline.run(spark, tables("empty", [], [])).count() == 0
+    r = random.Random(2)
+    long_ = " ".join(words(r, 60_000))
+    one, two = " ".join(words(r, 50)), " ".join(words(r, 50))
+    rows = [(1, long_, "en", "s", 1), (2, long_ + " end", "en", "s", 1), (3, one, "en", "s", 1), (3, two, "en", "s", 1), (None, two, "en", "s", 1), (None, None, "en", "s", None), (7, "", "en", "s", 0)]
+    path = tables("odd", rows, [(1, 1, None)])
+    first = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(path + "/documents.parquet"), path)
+    assert first.count() == 7 and first.columns[5:] == ["score", "spans", "component_id", "kept", "length", "k", "row"]
+    out = corpus_pipeline.run(spark, path).collect()
+    assert Counter(x["doc_id"] for x in out if x["piece"] == 0) == {1: 1, 3: 1, None: 2, 7: 1}
+    kept = spark.createDataFrame([(min(one, two),)], "text string")
+    assert {x["ids_crc32"] for x in out if x["doc_id"] == 3} == {x["ids_crc32"] for x in packing.packed(kept.withColumn("doc_id", F.lit(3))).collect()}

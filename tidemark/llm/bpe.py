@@ -6,14 +6,19 @@ leftmost pair of minimum rank, until no pair of any word can merge; the last sta
 its ids. Words that are tokens themselves are taken whole, as the tiktoken library does.
 Decoding looks ids up in the vocabulary and aggregates their bytes in the order of the ids.
 
-The rows a word passes through grow with the square of its length, so words over ``LONG_BYTES``
-bytes (no cap: all are encoded) take the library's own merge of the same ranks.
+Words of up to ``SHORT_BYTES`` are contracted together and their states kept till the end; longer ones
+go through the same recursion with only each word's newest state kept (``USING KEY``), so memory grows
+with the word. Time still grows with the square of a word's length, a step a merge: words without a
+break over ``LONG_BYTES`` (no cap: all are encoded) take the library's own merge of the same ranks.
 
-Null texts count as empty: no ids, no bytes. Columns named like the outputs are replaced.
+Null texts count as empty: no ids, no bytes. Texts of any length are read whole; repeated rows are
+encoded each. An empty table gives an empty result. Columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,22 +34,32 @@ from ._bpe import UnitEncoder, library, read_ranks, slices, text_slices
 from ._frames import modest_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-LONG_BYTES = 256
+SHORT_BYTES, LONG_BYTES = 256, 8192
 
-CONTRACT = """
-WITH RECURSIVE state(word, toks, step) AS (
-    SELECT word, toks, 0 FROM first_state
-  UNION ALL
-    SELECT s.word, s.toks[:b.pair % 65536 - 1] || [(b.pair // 65536)::INT] || s.toks[b.pair % 65536 + 2:], s.step + 1
+#: One step: of each word's newest tokens, the leftmost pair of the least rank becomes one token.
+STEP = """
+    SELECT s.word, s.toks[:b.pair % 65536 - 1] || [(b.pair // 65536)::INT] || s.toks[b.pair % 65536 + 2:] {step}
     FROM state s JOIN (
         SELECT t.word, min(m.rank::BIGINT * 65536 + t.pos) AS pair
         FROM (SELECT word, unnest(toks) AS a, unnest(toks[2:]) AS b, generate_subscripts(toks, 1) AS pos FROM state) t
         JOIN merges m ON m.a = t.a AND m.b = t.b
         GROUP BY t.word
     ) b ON s.word = b.word
+"""
+CONTRACT = f"""
+WITH RECURSIVE state(word, toks, step) AS (
+    SELECT word, toks, 0 FROM first_state
+  UNION ALL {STEP.format(step=", s.step + 1")}
 )
 SELECT word, arg_max(toks, step) AS toks FROM state GROUP BY word ORDER BY word
 """
+CONTRACT_LONG = f"""
+WITH RECURSIVE state(word, toks) USING KEY (word) AS (
+    SELECT word, toks FROM first_state
+  UNION {STEP.format(step="")}
+)
+SELECT word, toks FROM state ORDER BY word
+"""
 
 DECODE = """
 SELECT row, from_hex(array_to_string(list_select((SELECT list(hex ORDER BY id) FROM vocabulary), list_transform(ids, lambda id: id + 1)), '')) AS bytes
@@ -52,6 +67,13 @@ FROM batch ORDER BY row
 """
 
 
+def _spill() -> str:
+    """Where a worker's DuckDB may spill; gone with the worker."""
+    path = tempfile.mkdtemp(prefix="duck")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 class DuckBpe:
     """A worker's DuckDB with the vocabulary and the merge table of one rank file."""
 
@@ -61,9 +83,11 @@ class DuckBpe:
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.long = library(path).encode_ordinary
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.mkdtemp(prefix="duck")})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": _spill()})
         ranks = self.ranks
-        ids = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks], pa.string())})
+        self.by_id = {r: t for t, r in ranks.items()}
+        every = range(max(self.by_id, default=-1) + 1)  # ids without a token have no bytes, and can't be decoded
+        ids = pa.table({"id": pa.array(every, pa.int32()), "hex": pa.array([self.by_id.get(k, b"").hex() for k in every], pa.string())})
         # every way to split a token in two tokens merges into it at its rank
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)) if pairs else [pa.array([], pa.int32())] * 3
@@ -93,18 +117,19 @@ class DuckBpe:
                     late[w] = np.array(self.long(w), "<u4").tobytes()
                 else:
                     todo[w] = raw
-        raws = list(todo.values())
-        for k in range(0, len(raws), 50_000):
-            for w, ids in zip(list(todo)[k : k + 50_000], self.contract(raws[k : k + 50_000]), strict=True):
-                known[w] = ids
+        for query, some in ((CONTRACT, [w for w, raw in todo.items() if len(raw) <= SHORT_BYTES]), (CONTRACT_LONG, [w for w, raw in todo.items() if len(raw) > SHORT_BYTES])):
+            for k in range(0, len(some), 50_000):
+                part = some[k : k + 50_000]
+                for w, ids in zip(part, self.contract([todo[w] for w in part], query), strict=True):
+                    (known if query is CONTRACT else late)[w] = ids
         return [b"".join([known[w] if w in known else late[w] for w in words]) for words in split]
 
-    def contract(self, raws: list[bytes]) -> list[bytes]:
+    def contract(self, raws: list[bytes], query: str = CONTRACT) -> list[bytes]:
         """Ids of each word by the recursive query."""
         one = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
         ends = np.cumsum([0, *map(len, raws)]).astype(np.int32)
         toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(one[np.frombuffer(b"".join(raws), np.uint8)]))
-        got = self.query(CONTRACT, first_state=pa.table({"word": np.arange(len(raws), dtype=np.int32), "toks": toks})).column("toks").combine_chunks()
+        got = self.query(query, first_state=pa.table({"word": np.arange(len(raws), dtype=np.int32), "toks": toks})).column("toks").combine_chunks()
         ends, ids = 4 * np.asarray(got.offsets).astype(np.int64), np.asarray(got.values).astype("<u4").tobytes()
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
@@ -119,7 +144,7 @@ class DuckBpe:
     def decode(self, ids: pa.Array) -> list[bytes]:
         """Bytes of each list of ids; unknown ids are an error."""
         known = np.asarray(ids.flatten())
-        if len(known) and (known.min() < 0 or known.max() >= len(self.ranks)):
+        if any(k not in self.by_id for k in np.unique(known).tolist()):
             raise ValueError("an id is not in the vocabulary")
         got = self.query(DECODE, batch=pa.table({"row": np.arange(len(ids)), "ids": ids.cast(pa.list_(pa.int32()))})).column("bytes")
         return got.to_pylist() if len(ids) else []

@@ -295,6 +295,8 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     drop_staged(dealt)
     if not large.isEmpty():
         edges = edges.unionByName(_rest(docs, met, large, reps, edges, words, percent))
+    for x in (met, family, rows):
+        drop_staged(x)
     return edges
 
 

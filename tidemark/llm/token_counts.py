@@ -6,7 +6,9 @@ it, how many tokens all documents hold, and how many remain when documents are c
 two such lengths the truncated total is linear, so :func:`truncated_total` answers every limit.
 
 The sums run in two levels - blocks of lengths, then lengths within a block - so that no task sees
-the whole histogram but for one row a block. Null and empty texts have length 0.
+the whole histogram but for one row a block. Null and empty texts have length 0; texts of any length are
+encoded whole; repeated rows count each. An empty table gives an empty result. Only the named columns
+are read.
 """
 
 from __future__ import annotations
