@@ -23,14 +23,13 @@ outputs are replaced.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +43,8 @@ FIRST, TOGETHER = 4, 256
 #: Terms in more than this share of the blocks are kept as matrices.
 COMMON = 0.35
 THRESHOLD = 0.3
-WORD = re.compile(r"[^\W\d_]+")
+#: What parts words: all but letters and numerals that aren't decimal digits.
+NO_WORD = r"[^\p{L}\p{Nl}\p{No}]+"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -61,13 +61,9 @@ def sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
     return copies.select("one.doc_id", "one.text", "toxic")
 
 
-#: What becomes of each ASCII character: letters in lower case, all others a blank.
-ASCII = "".join(chr(c).lower() if chr(c).isalpha() else " " for c in range(128))
-
-
-def words(text: str | None) -> list[str]:
-    text = text or ""
-    return text.translate(ASCII).split(" ") if text.isascii() else WORD.findall(text.lower())
+def words(column: pa.Array) -> pa.ListArray:
+    """The words of each text in lower case, perhaps with empty ones at its ends; null texts have none."""
+    return pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(column.cast(pa.string()), "")), NO_WORD)
 
 
 def numbered(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -79,7 +75,7 @@ def numbered(docs: DataFrame, terms: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {t: k for k, t in enumerate(handle.value)}
         for batch in batches:
-            lists = numbers_of(batch.column(at).to_pylist(), number)
+            lists = numbers_of(batch.column(at), number)
             ends = pa.array(np.cumsum([0, *(len(k) for k, _ in lists)]).astype(np.int32))
             made = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *x]))) for x in zip(*lists, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=[*keep, "k", "n"])
@@ -88,14 +84,17 @@ def numbered(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.mapInArrow(run, docs.select(*keep, none.alias("k"), none.alias("n")).schema)
 
 
-def numbers_of(texts: list[str | None], at: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Numbers and counts of the terms of each text."""
-    out = []
-    for text in texts:
-        counts = Counter(map(at.get, words(text)))
-        counts.pop(None, None)
-        out.append((np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))))
-    return out
+def numbers_of(column: pa.Array, at: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Numbers, ascending, and counts of the terms of each text."""
+    lists = words(column)
+    coded = lists.flatten().dictionary_encode()
+    number = np.array([at.get(w, -1) for w in coded.dictionary.to_pylist()] or [-1], np.int64)[coded.indices.to_numpy()]
+    owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    known = number >= 0
+    size = max(len(at), 1)
+    pair, n = np.unique(owner[known] * size + number[known], return_counts=True)
+    k, n, ends = (pair % size).astype(np.int32), n.astype(np.int32), np.searchsorted(pair, np.arange(len(lists) + 1) * size).tolist()
+    return [(k[a:b], n[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def document_frequencies(rows: DataFrame, terms: int) -> tuple[np.ndarray, int]:
@@ -120,18 +119,16 @@ def vocabulary(picked: DataFrame) -> list[str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in batch.column(0).to_pylist() for w in words(t) if w}), pa.string())], names=["term"])
+            yield pa.RecordBatch.from_arrays([pc.unique(words(batch.column(0)).flatten())], names=["term"])
 
-    return sorted(picked.select("text").mapInArrow(run, "term string").distinct().toArrow().column("term").to_pylist())
+    return sorted(picked.select("text").mapInArrow(run, "term string").where("term <> ''").distinct().toArrow().column("term").to_pylist())
 
 
 def examples_of(rows: DataFrame) -> list[tuple]:
     """(doc_id, toxic, term numbers, counts) of the sample (:func:`numbered`), at most ``SAMPLE`` rows, in a fixed order."""
     got = rows.select("doc_id", "toxic", "k", "n").toArrow()
     lists = [[x.values.to_numpy().copy() for x in got.column(c)] for c in ("k", "n")]
-    # terms in order, whatever order a task met them in
-    sorted_ = [(k[o], n[o]) for k, n in zip(*lists, strict=True) for o in [np.argsort(k)]]
-    found = [(i, y, k, n) for i, y, (k, n) in zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), sorted_, strict=True)]
+    found = list(zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), *lists, strict=True))
     return sorted(found, key=lambda r: (str(r[0]), r[1]))
 
 
@@ -243,7 +240,7 @@ class Index:
 
     def numbers(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of a text's terms."""
-        return numbers_of([text], self.at)[0]
+        return numbers_of(pa.array([text], pa.string()), self.at)[0]
 
     def nearest(self, queries: list[tuple]) -> list[list[tuple[float, int]]]:
         """(cosine, example) of the nearest to each (term numbers, counts, own id), nearest first; none with cosine 0."""
@@ -389,7 +386,7 @@ EVIDENCE = "array<struct<doc_id:string,toxic:int,cosine:double>>"
 def scored(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with ``score``, ``predicted`` and ``evidence`` (the three nearest examples); such columns are replaced."""
     c = df.drop("score", "predicted", "evidence").columns.index(text)
-    return _scored(df, index, doc_id, lambda batch, index: numbers_of(batch.column(c).to_pylist(), index.at))
+    return _scored(df, index, doc_id, lambda batch, index: numbers_of(batch.column(c), index.at))
 
 
 def _scored(df: DataFrame, index: Index, doc_id: str, numbers: Callable) -> DataFrame:
@@ -424,7 +421,7 @@ def filtered(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = handle.value
         for batch in batches:
-            keep = [s < THRESHOLD for s, _ in index.scores(numbers_of(batch.column(c).to_pylist(), index.at), batch.column(d).to_pylist())]
+            keep = [s < THRESHOLD for s, _ in index.scores(numbers_of(batch.column(c), index.at), batch.column(d).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
