@@ -340,9 +340,9 @@ def test_toxicity_of_varied_wording(spark):
     assert found and found[0]["doc_id"] == str(first) and found[0]["toxic"] == 1 and found[0]["cosine"] > 0.9
     # every word of every example has a term and weighs by how many of all documents hold it
     df_of = Counter(t for w in texts.values() for t in set(w))
-    assert set(index.terms) == {t for w in known.values() for t in w}
+    assert set(index.terms.to_pylist()) == {t for w in known.values() for t in w}
     toxic = sum(k >= 200 for k in known)
-    for t, w in list(zip(index.terms, index.weight, strict=True))[::7]:
+    for t, w in list(zip(index.terms.to_pylist(), index.weight, strict=True))[::7]:
         a, b = (sum(t in v for k, v in known.items() if (k >= 200) == side) for side in (True, False))
         c, d, n = toxic - a, len(known) - toxic - b, len(known)
         chi2 = n * (a * d - b * c) ** 2 / (toxic * (n - toxic) * (a + b) * (c + d))

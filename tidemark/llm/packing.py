@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bpe import text_slices, unit_encoder
-from ._frames import modest_batches, rank_within, staged
+from ._frames import modest_batches, rank_within, staged, trim
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -69,6 +69,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
         special = [t["content"] for t in json.load(f)["added_tokens"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         encoder = unit_encoder(ranks)
         for batch in batches:
             for a, _, texts in text_slices(batch.column(1)):

@@ -8,7 +8,7 @@ vocabulary have no weight.
 
 Examples go to an inverted index in blocks of ``BLOCK`` neighbouring examples. Its cells, one per
 term and block, hold the block's largest weight of the term and where its postings begin; the cells
-and postings of terms that stand in most blocks are kept as matrices, a table per block. A query adds
+and postings of terms that stand in many examples are kept as matrices, a table per block. A query adds
 up its cells to a bound of every block's cosines; the postings of the few blocks with the highest
 bounds are read first, then those of blocks whose bound reaches the k-th best cosine; no posting of
 another block is touched, and the k nearest are exact. Votes weigh by cosine against a prior; the
@@ -33,15 +33,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import drop_staged, modest_batches, staged
+from ._frames import drop_staged, modest_batches, staged, trim
 
 #: The bound of the fitted model: labelled rows.
 SAMPLE = 10_000
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 1.0
 #: Blocks read before the k-th best cosine is known, and queries scored at a time.
-FIRST, TOGETHER = 4, 256
-#: Terms in more than this share of the blocks are kept as matrices.
-COMMON = 0.35
+FIRST, TOGETHER = 4, 64
+#: Terms in more than this share of the examples are kept as matrices.
+COMMON = 0.03
 THRESHOLD = 0.3
 #: What parts words: all but letters and numerals that aren't decimal digits.
 NO_WORD = r"[^\p{L}\p{Nl}\p{No}]+"
@@ -66,16 +66,16 @@ def words(column: pa.Array) -> pa.ListArray:
     return pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(column.cast(pa.string()), "")), NO_WORD)
 
 
-def numbered(docs: DataFrame, terms: list[str]) -> DataFrame:
+def numbered(docs: DataFrame, terms: pa.Array) -> DataFrame:
     """``docs`` with the numbers and counts of its texts' terms in place of ``text``."""
     keep = [c for c in docs.columns if c != "text"]
     at = docs.columns.index("text")
     handle = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {t: k for k, t in enumerate(handle.value)}
+        trim()
         for batch in batches:
-            lists = numbers_of(batch.column(at), number)
+            lists = numbers_of(batch.column(at), handle.value)
             ends = pa.array(np.cumsum([0, *(len(k) for k, _ in lists)]).astype(np.int32))
             made = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *x]))) for x in zip(*lists, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=[*keep, "k", "n"])
@@ -84,14 +84,15 @@ def numbered(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.mapInArrow(run, docs.select(*keep, none.alias("k"), none.alias("n")).schema)
 
 
-def numbers_of(column: pa.Array, at: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+def numbers_of(column: pa.Array, terms: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Numbers, ascending, and counts of the terms of each text."""
     lists = words(column)
     coded = lists.flatten().dictionary_encode()
-    number = np.array([at.get(w, -1) for w in coded.dictionary.to_pylist()] or [-1], np.int64)[coded.indices.to_numpy()]
+    place = pc.fill_null(pc.index_in(coded.dictionary, value_set=terms), -1).to_numpy().astype(np.int64)
+    number = place[coded.indices.to_numpy()]
     owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
     known = number >= 0
-    size = max(len(at), 1)
+    size = max(len(terms), 1)
     pair, n = np.unique(owner[known] * size + number[known], return_counts=True)
     k, n, ends = (pair % size).astype(np.int32), n.astype(np.int32), np.searchsorted(pair, np.arange(len(lists) + 1) * size).tolist()
     return [(k[a:b], n[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -114,14 +115,16 @@ def document_frequencies(rows: DataFrame, terms: int) -> tuple[np.ndarray, int]:
     return counts[:-1], int(counts[-1])
 
 
-def vocabulary(picked: DataFrame) -> list[str]:
+def vocabulary(picked: DataFrame) -> pa.Array:
     """All words of the sample, sorted; bounded by it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pc.unique(words(batch.column(0)).flatten())], names=["term"])
 
-    return sorted(picked.select("text").mapInArrow(run, "term string").where("term <> ''").distinct().toArrow().column("term").to_pylist())
+    found = picked.select("text").mapInArrow(run, "term string").where("term <> ''").distinct().toArrow().column("term").combine_chunks()
+    found = found if isinstance(found, pa.Array) else pa.concat_arrays(found.chunks) if found.num_chunks else pa.array([], pa.string())
+    return found.take(pc.array_sort_indices(found))
 
 
 def examples_of(rows: DataFrame) -> list[tuple]:
@@ -174,7 +177,7 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Index:
     """Block-max inverted index of the examples' unit TF-IDF vectors."""
 
-    terms: list[str]
+    terms: pa.Array  # sorted
     weight: np.ndarray  # of each term
     ids: list
     labels: np.ndarray
@@ -189,7 +192,7 @@ class Index:
     blank: float = 0.0
 
     @classmethod
-    def build(cls, terms: list[str], weight: np.ndarray, examples: list[tuple]) -> Index:
+    def build(cls, terms: pa.Array, weight: np.ndarray, examples: list[tuple]) -> Index:
         """``examples`` are (doc_id, toxic, term numbers, counts)."""
         unit = [weigh(weight, k, n) for _, _, k, n in examples]
         # neighbours in a block are of one cluster and share their heaviest term, so that block maxima are tight
@@ -216,17 +219,13 @@ class Index:
         return -(-len(self.ids) // BLOCK)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("at", "tables")}
-
-    @cached_property
-    def at(self) -> dict[str, int]:
-        """The number of each term."""
-        return {t: k for k, t in enumerate(self.terms)}
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
 
     @cached_property
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of common terms: each term's row or -1, block maxima (term, block) and weights (block, term, place)."""
-        common = np.flatnonzero(np.diff(self.term_start) > max(COMMON * self.blocks, 1))
+        size = self.cell_start[self.term_start[1:]] - self.cell_start[self.term_start[:-1]]  # postings
+        common = np.flatnonzero(size > max(COMMON * len(self.ids), BLOCK))
         row = np.full(len(self.terms), -1, np.int32)
         row[common] = np.arange(len(common))
         most = np.zeros((len(common), self.blocks), np.float32)
@@ -240,7 +239,7 @@ class Index:
 
     def numbers(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of a text's terms."""
-        return numbers_of(pa.array([text], pa.string()), self.at)[0]
+        return numbers_of(pa.array([text], pa.string()), self.terms)[0]
 
     def nearest(self, queries: list[tuple]) -> list[list[tuple[float, int]]]:
         """(cosine, example) of the nearest to each (term numbers, counts, own id), nearest first; none with cosine 0."""
@@ -386,7 +385,7 @@ EVIDENCE = "array<struct<doc_id:string,toxic:int,cosine:double>>"
 def scored(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with ``score``, ``predicted`` and ``evidence`` (the three nearest examples); such columns are replaced."""
     c = df.drop("score", "predicted", "evidence").columns.index(text)
-    return _scored(df, index, doc_id, lambda batch, index: numbers_of(batch.column(c), index.at))
+    return _scored(df, index, doc_id, lambda batch, index: numbers_of(batch.column(c), index.terms))
 
 
 def _scored(df: DataFrame, index: Index, doc_id: str, numbers: Callable) -> DataFrame:
@@ -396,6 +395,7 @@ def _scored(df: DataFrame, index: Index, doc_id: str, numbers: Callable) -> Data
     handle = df.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         index = handle.value
         names = [str(x) for x in index.ids]
         for batch in batches:
@@ -419,9 +419,10 @@ def filtered(df: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "t
     handle = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         index = handle.value
         for batch in batches:
-            keep = [s < THRESHOLD for s, _ in index.scores(numbers_of(batch.column(c), index.at), batch.column(d).to_pylist())]
+            keep = [s < THRESHOLD for s, _ in index.scores(numbers_of(batch.column(c), index.terms), batch.column(d).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
