@@ -22,7 +22,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embedding_dedup, minhash_dedup, neighbours, packing, pii, sharding, token_counts, toxicity, warc
+from tidemark.llm import _graph, bpe, embedding_dedup, minhash_dedup, neighbours, packing, pii, sharding, token_counts, toxicity, warc
 from tidemark.llm._bpe import library, unit_encoder
 from tidemark.llm._frames import rank_within, staged
 from tidemark.llm._graph import components
@@ -362,6 +362,21 @@ def test_token_counts(spark, odd_texts):
     assert token_counts.length_at_quantile(table, 0.5).first()["n_tokens"] == lengths[-(-len(lengths) // 2) - 1]
 
 
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
+    """Rounds of small jobs and their plans fill the driver; rounds until few edges are left find the same."""
+    r = random.Random(4)
+    edges = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(250)] + [(k, 500) for k in range(501, 560)] + [(k, k + 1) for k in range(600, 700)]
+    df = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in edges], "a string, b string")
+    context = spark.sparkContext
+    context.setLocalProperty("spark.jobGroup.id", "few-edges")
+    got = sorted(components(df).collect())
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("few-edges")) <= 12
+    monkeypatch.setattr(_graph, "AT_ONCE", 20)
+    assert sorted(components(df).collect()) == got and len({c for _, c in got}) > 3
+    assert components(df.limit(0)).count() == 0
+
+
 def test_embedding_dedup(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(12, 8))
