@@ -779,6 +779,28 @@ def test_bpe_long_words_come_through_the_recursion(monkeypatch):
         coder.decode(pa.array([[10**6]], pa.list_(pa.int32())))
 
 
+def test_bpe_words_are_contracted_once(monkeypatch):
+    """A word that stands alone and beside others goes through the recursion once, and a word that is kept never again."""
+    coder, asked = bpe.DuckBpe(bpe.RANKS), []
+    contract = coder.contract
+    monkeypatch.setattr(coder, "contract", lambda raws, query=bpe.CONTRACT: asked.extend(raws) or contract(raws, query))
+    r = random.Random(9)
+    new = ["".join(r.choice("bcdfgklmnrstvz") + r.choice("aeiou") for _ in range(7)) for _ in range(50)]
+    texts = ["x " + " ".join(new), "x " + " ".join(f"{w}, ({w})" for w in new), "x " + " ".join(f"{w}!" for w in new) + " " + "ab" * 200]
+    want = [np.array(library(bpe.RANKS).encode_ordinary(t), "<u4").tobytes() for t in texts]
+    assert [coder.units.encode_batch([t])[0] for t in texts] == want and len(asked) == len(set(asked))
+    assert coder.units.encode_batch(texts) == want
+    assert all(len(u) <= 48 for u in coder.units.cache)
+
+
+def test_bpe_round_trip_in_one_pass(spark, odd_texts):
+    df = docs(spark, odd_texts).select("doc_id", "text", "ids", F.lit(1).alias("decoded"))
+    got = bpe.round_trip(df)
+    assert got.columns == ["doc_id", "ids", "decoded"] and got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = bpe.decode(bpe.encode(df).drop("text"))
+    assert sorted(got.collect(), key=lambda x: x["doc_id"]) == sorted(want.select(*got.columns).collect(), key=lambda x: x["doc_id"])
+
+
 def test_op8_against_brute_force(spark):
     """The query over its whole table."""
     lengths = [len(library(bpe.RANKS).encode_ordinary(r["text"] or "")) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]

@@ -37,14 +37,14 @@ def library(path: str):
 
 
 class UnitEncoder:
-    """Texts to ids (little-endian unsigned 32-bit, as bytes). ``resolve`` encodes a list of new units."""
+    """Texts to ids (little-endian unsigned 32-bit, as bytes). ``resolve`` encodes a list of new units; ``keep`` are kept."""
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]]):
-        self.resolve, self.cache = resolve, {}
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], keep: int = CACHE_UNITS):
+        self.resolve, self.keep, self.cache = resolve, keep, {}
 
     def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
         cache, split, todo = self.cache, [], {}
-        if len(cache) > CACHE_UNITS:
+        if len(cache) > self.keep:
             cache.clear()
         for text in texts:
             units = self._units(text)
@@ -52,14 +52,14 @@ class UnitEncoder:
                 if u not in cache:
                     todo[u] = None
             split.append(units)
-        late: dict[str, bytes] = {}
         if todo:
-            for u, ids in zip(todo, self.resolve(list(todo)), strict=True):
-                (cache if len(u) <= CACHE_CHARS else late)[u] = ids
-        if not late:
-            get = cache.__getitem__
-            return [b"".join(map(get, units)) for units in split]
-        return [b"".join([cache[u] if u in cache else late[u] for u in units]) for units in split]
+            cache.update(zip(todo, self.resolve(list(todo)), strict=True))
+        get = cache.__getitem__
+        out = [b"".join(map(get, units)) for units in split]
+        for u in todo:
+            if len(u) > CACHE_CHARS:
+                del cache[u]
+        return out
 
     @staticmethod
     def _units(text: str) -> list[str]:

@@ -4,6 +4,7 @@ Per partition, the distinct new words of a batch go to an in-memory DuckDB. A re
 each word into token-position rows, joins neighbours with the merge table and contracts the word's
 leftmost pair of minimum rank, until no pair of any word can merge; the last state of each word is
 its ids. Words that are tokens themselves are taken whole, as the tiktoken library does.
+Ids of up to ``UNITS`` units are kept, so that few words come through the query again.
 Decoding looks ids up in the vocabulary and aggregates their bytes in the order of the ids.
 
 Words of up to ``SHORT_BYTES`` are contracted together and their states kept till the end; longer ones
@@ -30,11 +31,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bpe import UnitEncoder, library, read_ranks, slices, text_slices
+from ._bpe import CACHE_CHARS, UnitEncoder, library, read_ranks, slices, text_slices
 from ._frames import modest_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SHORT_BYTES, LONG_BYTES = 256, 8192
+#: Units, and words of units that are several words, whose ids a worker keeps.
+UNITS, WORDS = 600_000, 50_000
 
 #: One step: of each word's newest tokens, the leftmost pair of the least rank becomes one token.
 STEP = """
@@ -97,32 +100,50 @@ class DuckBpe:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.words: dict[str, bytes] = {}
-        self.units = UnitEncoder(self.resolve)
+        self.there = np.isin(every, list(self.by_id))
+        self.units = UnitEncoder(self.resolve, UNITS)
 
     def resolve(self, units: list[str]) -> list[bytes]:
         """Ids of each unit, whose words are encoded together if they are new."""
-        split = [self.pattern.findall(u) for u in units]
-        known, todo = self.words, {}
-        if len(known) > 150_000:
+        known, cache, ranks = self.words, self.units.cache, self.ranks
+        if len(known) > WORDS:
             known.clear()
-        late: dict[str, bytes] = {}
-        for words in split:
+        new: dict[str, bytes] = {}
+        short: dict[str, bytes] = {}
+        long: dict[str, bytes] = {}
+        several: dict[str, list[str]] = {}
+        for u in units:
+            if u.isascii() and u[u[:1] == " " :].isalpha():  # one match, which the units' encoder keeps
+                words = (u,)
+            else:
+                words = several[u] = self.pattern.findall(u)
             for w in words:
-                if w in known or w in todo or w in late:
+                if w in known or w in cache or w in new or w in short:
                     continue
                 raw = w.encode()
-                if (r := self.ranks.get(raw)) is not None:
-                    known[w] = r.to_bytes(4, "little")
-                elif len(raw) > LONG_BYTES:
-                    late[w] = np.array(self.long(w), "<u4").tobytes()
+                if (r := ranks.get(raw)) is not None:
+                    new[w] = r.to_bytes(4, "little")
+                elif len(raw) <= SHORT_BYTES:
+                    short[w] = raw
+                elif len(raw) <= LONG_BYTES:
+                    long[w] = raw
                 else:
-                    todo[w] = raw
-        for query, some in ((CONTRACT, [w for w, raw in todo.items() if len(raw) <= SHORT_BYTES]), (CONTRACT_LONG, [w for w, raw in todo.items() if len(raw) > SHORT_BYTES])):
-            for k in range(0, len(some), 50_000):
-                part = some[k : k + 50_000]
-                for w, ids in zip(part, self.contract([todo[w] for w in part], query), strict=True):
-                    (known if query is CONTRACT else late)[w] = ids
-        return [b"".join([known[w] if w in known else late[w] for w in words]) for words in split]
+                    new[w] = np.array(self.long(w), "<u4").tobytes()
+        for query, some in ((CONTRACT, short), (CONTRACT_LONG, long)):
+            every = list(some)
+            for k in range(0, len(every), 50_000):
+                part = every[k : k + 50_000]
+                new.update(zip(part, self.contract([some[w] for w in part], query), strict=True))
+        out = []
+        for u in units:
+            if (ids := new.get(u)) is None:
+                ids = b"".join([new.get(w) or known.get(w) or cache[w] for w in several.get(u, (u,))])
+            out.append(ids)
+        for words in several.values():
+            for w in words:
+                if w in new and len(w) <= CACHE_CHARS:
+                    known[w] = new[w]
+        return out
 
     def contract(self, raws: list[bytes], query: str = CONTRACT) -> list[bytes]:
         """Ids of each word by the recursive query."""
@@ -144,7 +165,7 @@ class DuckBpe:
     def decode(self, ids: pa.Array) -> list[bytes]:
         """Bytes of each list of ids; unknown ids are an error."""
         known = np.asarray(ids.flatten())
-        if any(k not in self.by_id for k in np.unique(known).tolist()):
+        if len(known) and (known.min() < 0 or known.max() >= len(self.there) or not self.there[known].all()):
             raise ValueError("an id is not in the vocabulary")
         got = self.query(DECODE, batch=pa.table({"row": np.arange(len(ids)), "ids": ids.cast(pa.list_(pa.int32()))})).column("bytes")
         return got.to_pylist() if len(ids) else []
@@ -156,22 +177,33 @@ def duck_bpe(path: str) -> DuckBpe:
     return DuckBpe(path)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], k: int, ids: str, ranks: str) -> Iterator[pa.RecordBatch]:
+    """``batches`` with the ids of the texts in column ``k``."""
+    coder = duck_bpe(ranks)
+    for batch in batches:
+        for a, b, texts in text_slices(batch.column(k), 1 << 22):
+            raw = coder.units.encode_batch(texts)
+            ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], names=[*batch.schema.names, ids])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], k: int, decoded: str, ranks: str) -> Iterator[pa.RecordBatch]:
+    """``batches`` with the bytes of the ids in column ``k``."""
+    coder = duck_bpe(ranks)
+    for batch in batches:
+        lists = batch.column(k)
+        for a, b in slices([range(n or 0) for n in lists.value_lengths().to_pylist()], 1 << 19):
+            got = pa.array(coder.decode(lists.slice(a, b - a).fill_null([]) if lists.null_count else lists.slice(a, b - a)), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, got], names=[*batch.schema.names, decoded])
+
+
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks: str = RANKS) -> DataFrame:
     """``df`` with the ids of its texts as ``array<int>`` in column ``ids``."""
     modest_batches(df.sparkSession)
     df = df.drop(ids) if ids != text else df
     k = df.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = duck_bpe(ranks)
-        for batch in batches:
-            for a, b, texts in text_slices(batch.column(k)):
-                raw = coder.units.encode_batch(texts)
-                ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], names=[*batch.schema.names, ids])
-
-    return df.mapInArrow(run, df.select("*", F.array(F.lit(0)).alias(ids)).schema)
+    return df.mapInArrow(lambda batches: _encoded(batches, k, ids, ranks), df.select("*", F.array(F.lit(0)).alias(ids)).schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", ranks: str = RANKS) -> DataFrame:
@@ -179,19 +211,24 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", ranks: str
     modest_batches(df.sparkSession)
     df = df.drop(decoded)
     k = df.columns.index(ids)
+    return df.mapInArrow(lambda batches: _decoded(batches, k, decoded, ranks), df.select("*", F.lit(b"").alias(decoded)).schema)
+
+
+def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", ranks: str = RANKS) -> DataFrame:
+    """:func:`encode`, then :func:`decode` without the texts, in one pass: neither texts nor ids travel in between."""
+    modest_batches(df.sparkSession)
+    df = df.drop(*{ids, decoded} - {text})
+    k = df.columns.index(text)
+    rest = [c for c in range(len(df.columns)) if c != k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = duck_bpe(ranks)
-        for batch in batches:
-            lists = batch.column(k)
-            for a, b in slices([range(n or 0) for n in lists.value_lengths().to_pylist()], 1 << 19):
-                got = pa.array(coder.decode(lists.slice(a, b - a).fill_null([]) if lists.null_count else lists.slice(a, b - a)), pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, got], names=[*batch.schema.names, decoded])
+        coded = (b.select([*rest, len(rest) + 1]) for b in _encoded(batches, k, ids, ranks))
+        return _decoded(coded, len(rest), decoded, ranks)
 
-    return df.mapInArrow(run, df.select("*", F.lit(b"").alias(decoded)).schema)
+    return df.mapInArrow(run, df.select(*[df.columns[c] for c in rest], F.array(F.lit(0)).alias(ids), F.lit(b"").alias(decoded)).schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = decode(encode(docs).drop("text"))
+    coded = round_trip(docs)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
