@@ -288,3 +288,40 @@ def test_rainbow_recovers(bolometric, own, temperature):
     s = np.full(240, 0.03 * np.ptp(y))
     p, errors = f.fit_and_get_errors(t, y + rng.normal(0, s), s, band)
     assert np.abs(f.model(t, band, p) - y).max() < 0.1 * np.ptp(y) and p[-1] < 0.8
+
+
+def transients(count: int = 40):
+    """Noisy rises and falls of several lengths in two bands."""
+    rng = np.random.default_rng(11)
+    out = []
+    for i in range(count):
+        n = 40 + i % 7
+        t = np.sort(rng.uniform(0, 60, n))
+        y = fitting.bazin(t, (10.0 + i % 5, 1.0, 20.0 + i % 9, 3.0, 12.0))
+        out.append((t, y + rng.normal(0, 0.2, n), np.full(n, 0.2), np.array(["g", "r"] * n, object)[:n]))
+    return out
+
+
+def test_rainbows_are_fitted_side_by_side(monkeypatch):
+    calls = []
+    flux = RainbowFit._flux
+    monkeypatch.setattr(RainbowFit, "_flux", lambda *a: calls.append(1) or flux(*a))
+    f = RainbowFit.from_angstrom({"g": 4770.0, "r": 6231.0}, bolometric="sigmoid", temperature="constant", with_baseline=False)
+    together = f.kernels([*transients(), tuple(x[:3] for x in transients(1)[0])])
+    most, calls[:] = len(calls), []
+    alone = [f.kernel(*s) for s in transients()]
+    assert together[-1] is None and most < len(calls) / 5
+    assert [x[-1] for x in together[:-1]] == pytest.approx([x[-1] for x in alone], rel=1e-3)
+
+
+def test_many_least_squares_are_those_of_each():
+    """The same minima as one problem after another, with bounds that bind in some."""
+    rng = np.random.default_rng(12)
+    t = np.linspace(0, 5, 30)
+    true = np.column_stack([rng.uniform(1, 4, 20), rng.uniform(0.3, 2, 20)])
+    y = true[:, :1] * np.exp(-true[:, 1:] * t) + rng.normal(0, 0.01, (20, 30))
+    low, high = np.tile([0.0, 0.5], (20, 1)), np.tile([3.0, 5.0], (20, 1))
+    p, cost = fitting.least_squares_many(lambda q, of: q[:, :1] * np.exp(-q[:, 1:] * t) - y[of], np.ones((20, 2)), low, high)
+    for i in range(20):
+        q, c = fitting.least_squares(lambda q, i=i: q[0] * np.exp(-q[1] * t) - y[i], np.ones(2), low[i], high[i])
+        assert p[i] == pytest.approx(q, rel=1e-5) and cost[i] == pytest.approx(c, rel=1e-8)

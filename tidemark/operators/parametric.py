@@ -16,19 +16,24 @@ from ..functions import fitting, spectra
 from .features import Feature
 
 
-def over_series(kernel, series: Column) -> Column:
-    """``kernel(t, m, sigma, band) -> list of float or None`` over each array of observations, Arrow batch by batch."""
+def over_batches(kernel, series: Column) -> Column:
+    """``kernel([(t, m, sigma, band), ...]) -> [list of float or None, ...]`` over the arrays of observations of an Arrow batch together."""
 
     def run(t: pd.Series, m: pd.Series, sigma: pd.Series, band: pd.Series) -> pd.Series:
-        out = []
-        for a, b, c, d in zip(t, m, sigma, band, strict=True):
-            value = None if a is None or not len(a) else kernel(np.asarray(a, float), np.asarray(b, float), np.asarray(c, float), np.asarray(d, object))
-            out.append(None if value is None else [float(v) for v in value])
+        out: list[list[float] | None] = [None] * len(t)
+        some = [(i, (np.asarray(a, float), np.asarray(b, float), np.asarray(c, float), np.asarray(d, object))) for i, (a, b, c, d) in enumerate(zip(t, m, sigma, band, strict=True)) if a is not None and len(a)]
+        for (i, _), value in zip(some, kernel([s for _, s in some]), strict=True):
+            out[i] = None if value is None else [float(v) for v in value]
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, ArrayType(DoubleType()))(*[series[c] for c in ("t", "m", "sigma", "band")])
 
 
+def over_series(kernel, series: Column) -> Column:
+    """``kernel(t, m, sigma, band) -> list of float or None`` over each array of observations, Arrow batch by batch."""
+    return over_batches(lambda many: [kernel(*s) for s in many], series)
+
+
 class _Kernel(Feature):
     """Base of features whose values are the items of one kernel's array."""
 

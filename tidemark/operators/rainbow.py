@@ -14,9 +14,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.fitting import covariance, least_squares
+from ..functions.fitting import batches, covariance, least_squares_many, padded
 from .features import Feature
-from .parametric import over_series
+from .parametric import over_batches
 
 # CGS constants
 SPEED, PLANCK, BOLTZMANN = 2.99792458e10, 6.62607015e-27, 1.380649e-16
@@ -72,20 +72,20 @@ def _sigmoid(x, p):
 def _bazin_peak(p):
     """Where both exponentials change equally fast."""
     rise, fall = p["rise_time"], p["fall_time"]
-    return p["reference_time"] + math.log(fall / rise) * rise * fall / (rise + fall)
+    return p["reference_time"] + np.log(fall / rise) * rise * fall / (rise + fall)
 
 
 def _bazin(x, p):
     """One over the sum of a falling and a growing exponential, of the height of the amplitude at its peak."""
     rise, fall = p["rise_time"], p["fall_time"]
     log_sum = lambda dt: np.logaddexp(-dt / rise, dt / fall)
-    top = log_sum(np.array(_bazin_peak(p) - p["reference_time"]))
+    top = log_sum(_bazin_peak(p) - p["reference_time"])
     return p["amplitude"] * np.exp(np.maximum(top - log_sum(np.asarray(x, float) - p["reference_time"]), -700))
 
 
 def _linexp(x, p):
     """Zero at the reference time; the peak comes one rise time before it, or after it if that is negative."""
-    rise = math.copysign(max(abs(p["rise_time"]), 1e-5), p["rise_time"])
+    rise = np.copysign(np.maximum(np.abs(p["rise_time"]), 1e-5), p["rise_time"])
     u = (p["reference_time"] - np.asarray(x, float)) / rise
     return p["amplitude"] * np.maximum(u * np.exp(np.minimum(1 - u, 100)), 0)
 
@@ -238,22 +238,35 @@ class RainbowFit(Feature):
 
     def columns(self, draft):
         series = draft.series()
-        array = draft.derive(("RainbowFit", str(self)), None, lambda: over_series(self.kernel, series), 1)
+        array = draft.derive(("RainbowFit", str(self)), None, lambda: over_batches(self.kernels, series), 1)
         for k, name in enumerate(self.names()):
             yield name, F.try_element_at(array, F.lit(k + 1))
 
     def model(self, t, band, params: Sequence[float]) -> np.ndarray:
         """Flux at times in bands."""
-        p = dict(zip(self.parameters(), params, strict=False))
+        return self._flux(np.asarray(t, float), self._places(band), dict(zip(self.parameters(), params, strict=False)))
+
+    def _places(self, band) -> np.ndarray:
+        place = {b: k for k, (b, _) in enumerate(self.wavelengths)}
+        return np.array([place[b] for b in band], int)
+
+    def _flux(self, t: np.ndarray, place: np.ndarray, p: Mapping[str, float | np.ndarray]) -> np.ndarray:
+        """Flux where ``place`` is each time's band; parameters are numbers, or columns for rows of times."""
         bol, temp, spec = self.terms()
-        wave = dict(self.wavelengths)
-        t, band = np.asarray(t, float), np.asarray(band, object)
-        w = np.array([wave[b] for b in band])
-        nu = SPEED / np.mean(list(wave.values()))
-        kelvin = temp.value(t, p)
+        waves = np.array([w for _, w in self.wavelengths])
+        nu = SPEED / np.mean(waves)
+        if temp is TEMPERATURE["constant"]:  # one spectrum for all times
+            kelvin = np.asarray(p["T"], float)
+            light = spec.value(waves, kelvin, p)
+            light = light[place] if light.ndim == 1 else np.take_along_axis(light, place, 1)
+        else:
+            kelvin = temp.value(t, p)
+            light = spec.value(waves[place], kelvin, p)
         norm = STEFAN * kelvin**4 / (math.pi * nu)
-        flux = bol.value(t, p) * spec.value(w, kelvin, p) / norm
-        return flux + np.array([p[f"baseline_{b}"] for b in band]) if self.with_baseline else flux
+        flux = bol.value(t, p) * light / norm
+        for k, (b, _) in enumerate(self.wavelengths if self.with_baseline else ()):
+            flux = flux + np.where(place == k, p[f"baseline_{b}"], 0.0)
+        return flux
 
     def peak_time(self, params: Sequence[float]) -> float:
         p = dict(zip(self.parameters(), params, strict=False))
@@ -261,18 +274,50 @@ class RainbowFit(Feature):
 
     def fit(self, t, m, sigma, band, upper_mask=None) -> tuple[np.ndarray, float, np.ndarray]:
         """Parameters, half of chi-square per degree of freedom, covariance; upper limits count by the chance of lying below."""
+        problem = self._problem(t, m, sigma, band, upper_mask)
+        best = self._solve([problem])[0]
+        residuals = lambda q: self._residuals([problem])(q[None], np.zeros(1, int))[0]
+        h = 1e-6
+        jac = np.stack([(residuals(best + h * e) - residuals(best)) / h for e in np.eye(len(best))], 1)
+        unit = self._units(problem) * np.where(self._logs(), self._back(best), 1)
+        return *self._result(problem, best, residuals(best)), covariance(jac) * np.outer(unit, unit)
+
+    def fits(self, many: Sequence[tuple]) -> list[tuple[np.ndarray, float] | None]:
+        """Parameters and chi-square as of :meth:`fit` of many ``(t, m, sigma, band)``, fitted side by side; None where observations are too few."""
+        out: list[tuple[np.ndarray, float] | None] = [None] * len(many)
+        long = [i for i, s in enumerate(many) if len(s[0]) > len(self.parameters())]
+        for batch in batches([len(many[i][0]) for i in long], 9):
+            problems = [self._problem(*many[long[b]]) for b in batch]
+            best = self._solve(problems)
+            with np.errstate(all="ignore"):
+                r = self._residuals(problems)(best, np.arange(len(batch)))
+            for i, b in enumerate(batch):
+                out[long[b]] = self._result(problems[i], best[i], r[i])
+        return out
+
+    def _logs(self) -> list[bool]:
+        """Positive parameters are fitted by their logarithm; a rise time of either sign is not."""
+        bol = self.terms()[0]
+        return [n in ("T", "rise_time", "fall_time", "t_color", "time1", "time2") and not (n == "rise_time" and bol.name == "linexp") for n in self.parameters()]
+
+    def _back(self, q: np.ndarray) -> np.ndarray:
+        return np.where(self._logs(), np.exp(np.clip(q, -50, 50)), q)
+
+    def _problem(self, t, m, sigma, band, upper_mask=None) -> dict:
+        """One series in units of its own, with starting places and limits."""
         t, m, sigma, band = np.asarray(t, float), np.asarray(m, float), np.asarray(sigma, float), np.asarray(band, object)
         upper = np.zeros(len(t), bool) if upper_mask is None else np.asarray(upper_mask, bool)
         names = self.parameters()
         bol, temp, spec = self.terms()
-        dof = len(t) - len(names)
-        if dof <= 0:
+        if len(t) <= len(names):
             raise ValueError("too few observations")
         t0, t_scale, scale = t.mean(), t.std() or 1.0, m.std() or 1.0
         ts, ms, ss = (t - t0) / t_scale, m / scale, sigma / scale
-        base = {b: float(np.median(ms[band == b])) if (band == b).any() else 0.0 for b, _ in self.wavelengths}
-        flat = ms - np.array([base[b] for b in band]) if self.with_baseline else ms
+        flat, place = ms, self._places(band)
         start, low, high, prior = {}, {}, {}, {}
+        if self.with_baseline:
+            base = {b: float(np.median(ms[band == b])) if (band == b).any() else 0.0 for b, _ in self.wavelengths}
+            flat = ms - np.array([base[b] for b in band])
         for part in (temp, bol):
             for n, g, (a, z) in zip(part.parameters, part.guess(ts, flat), part.limits(ts, flat), strict=True):
                 start[n], low[n], high[n] = g, a, z
@@ -284,20 +329,8 @@ class RainbowFit(Feature):
             for b, _ in self.wavelengths:
                 own = ms[band == b] if (band == b).any() else ms
                 start[f"baseline_{b}"], low[f"baseline_{b}"], high[f"baseline_{b}"] = base[b], float(own.min() - 10 * np.ptp(own) - 1e-9), float(own.max() + 1e-9)
-        # positive ones are fitted by their logarithm
-        logs = [n in ("T", "rise_time", "fall_time", "t_color", "time1", "time2") and low[n] > 0 for n in names]
+        logs = self._logs()
         into = lambda d: np.array([math.log(d[n]) if lg else d[n] for n, lg in zip(names, logs, strict=True)])
-        back = lambda q: np.where(logs, np.exp(np.clip(q, -50, 50)), q)
-        weights = [(names.index(n), mu, s) for n, (mu, s) in prior.items() if n in names]
-
-        def residuals(q):
-            p = back(q)
-            f = self.model(ts, band, p)
-            r = (f - ms) / ss
-            if upper.any():
-                r = np.where(upper, np.sqrt(np.maximum(-2 * log_normal_cdf((ms - f) / ss), 0)), r)
-            return np.concatenate([r, [(p[k] - mu) / s for k, mu, s in weights]])
-
         starts = []
         for shift in (0.0, -0.5, 0.5):
             for stretch in (1.0, 0.3, 3.0):
@@ -311,28 +344,65 @@ class RainbowFit(Feature):
                     if stretch == 1.0 and shift:
                         d["reference_time"], d["rise_time"] = d["reference_time"] - 2 * d["rise_time"], -d["rise_time"]
                 starts.append(into(d))
-        lo, hi = into(low | {n: max(low[n], 1e-9) for n, lg in zip(names, logs, strict=True) if lg}), into(high)
-        best, cost = min((least_squares(residuals, s, lo, hi, steps=150) for s in starts), key=lambda x: x[1])
-        p = back(best)
-        h = 1e-6
-        jac = np.stack([(residuals(best + h * e) - residuals(best)) / h for e in np.eye(len(best))], 1)
-        unit = np.array([t_scale if n in ("reference_time", "rise_time", "fall_time", "t_color", "t_delay", "time1", "time2") else scale if n == "amplitude" or n.startswith("baseline_") else 1.0 for n in names])
-        cov = covariance(jac) * np.outer(unit * np.where(logs, p, 1), unit * np.where(logs, p, 1))
-        out = p * unit
+        low = low | {n: max(low[n], 1e-9) for n, lg in zip(names, logs, strict=True) if lg}
+        weights = [(names.index(n), mu, s) for n, (mu, s) in prior.items() if n in names]
+        return dict(t=ts, m=ms, sigma=ss, place=place, upper=upper, starts=np.array(starts), low=into(low), high=into(high), weights=weights, t0=t0, t_scale=t_scale, scale=scale)
+
+    def _residuals(self, problems: Sequence[dict]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """Residuals of rows of parameters, of the problems at ``which``, with those of the priors behind them."""
+        names = self.parameters()
+        side = all(isinstance(x, str) for x in (self.bolometric, self.temperature, self.spectral))
+        weights = problems[0]["weights"]
+        t, m, place = padded([x["t"] for x in problems]), padded([x["m"] for x in problems]), padded([x["place"] for x in problems]).astype(int)
+        sigma, upper = padded([x["sigma"] for x in problems], 1.0), padded([x["upper"] for x in problems], 0.0) > 0
+        there = np.arange(t.shape[1]) < np.array([[len(x["t"])] for x in problems])
+
+        def run(q: np.ndarray, which: np.ndarray) -> np.ndarray:
+            p = self._back(q)
+            if side:
+                f = self._flux(t[which], place[which], {n: p[:, k, None] for k, n in enumerate(names)})
+            else:  # a term of the caller's own may take one series only
+                f = np.stack([self._flux(t[i], place[i], dict(zip(names, row, strict=True))) for i, row in zip(which, p, strict=True)])
+            r = (f - m[which]) / sigma[which]
+            if upper.any():
+                r = np.where(upper[which], np.sqrt(np.maximum(-2 * log_normal_cdf((m[which] - f) / sigma[which]), 0)), r)
+            return np.hstack([np.where(there[which], r, 0.0), *[(p[:, k, None] - mu) / s for k, mu, s in weights]])
+
+        return run
+
+    def _solve(self, problems: Sequence[dict]) -> np.ndarray:
+        """The best of each problem's starting places after least squares."""
+        n, s = len(problems), len(problems[0]["starts"])
+        of = np.repeat(np.arange(n), s)
+        residuals = self._residuals(problems)
+        low, high = (np.stack([x[key] for x in problems])[of] for key in ("low", "high"))
+        with np.errstate(all="ignore"):  # a step may run out of the range of numbers; its sum of squares then loses
+            p, cost = least_squares_many(lambda q, which: residuals(q, of[which]), np.concatenate([x["starts"] for x in problems]), low, high, 150)
+        least = np.argmin(np.where(np.isnan(cost), np.inf, cost).reshape(n, s), 1)
+        return p.reshape(n, s, -1)[np.arange(n), least]
+
+    def _units(self, problem: dict) -> np.ndarray:
+        return np.array([problem["t_scale"] if n in ("reference_time", "rise_time", "fall_time", "t_color", "t_delay", "time1", "time2") else problem["scale"] if n == "amplitude" or n.startswith("baseline_") else 1.0 for n in self.parameters()])
+
+    def _result(self, problem: dict, best: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
+        out = self._back(best) * self._units(problem)
+        names = self.parameters()
         if "reference_time" in names:
-            out[names.index("reference_time")] += t0
-        r = residuals(best)[: len(t)]
-        return out, 0.5 * float(r @ r) / dof, cov
+            out[names.index("reference_time")] += problem["t0"]
+        r = r[: len(problem["t"])]
+        return out, 0.5 * float(r @ r) / (len(r) - len(names))
 
     def fit_and_get_errors(self, t, m, sigma, band, upper_mask=None) -> tuple[np.ndarray, np.ndarray]:
         """Values (with chi-square) and errors of the parameters."""
         p, chi2, cov = self.fit(t, m, sigma, band, upper_mask)
         return np.append(p, chi2), np.sqrt(np.maximum(np.diag(cov), 0))
 
+    def kernels(self, many):
+        """Values of many series, which are fitted side by side."""
+        bands = [b for b, _ in self.wavelengths]
+        known = [(s, np.isin(s[3], bands)) for s in many]
+        fits = self.fits([tuple(x[k] for x in s) for s, k in known])
+        return [None if got is None or (self.fail_on_divergence and not math.isfinite(got[1])) else [*got[0], got[1]] for got in fits]
+
     def kernel(self, t, m, sigma, band):
-        known = np.isin(band, [b for b, _ in self.wavelengths])
-        try:
-            p, chi2, _ = self.fit(t[known], m[known], sigma[known], band[known])
-        except (ValueError, np.linalg.LinAlgError):
-            return None
-        return None if self.fail_on_divergence and not math.isfinite(chi2) else [*p, chi2]
+        return self.kernels([(t, m, sigma, band)])[0]
