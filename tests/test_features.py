@@ -302,6 +302,25 @@ def transients(count: int = 40):
     return out
 
 
+@pytest.mark.parametrize("kind", ["bazin", "linexp", "villar"])
+def test_series_are_fitted_side_by_side(kind, monkeypatch):
+    """Many fits call the model about as often as the longest one alone, and give what each gives alone; short ones give nothing."""
+    from dataclasses import replace
+
+    calls = []
+    model = fitting.MODELS[kind]
+    counting = lambda t, p: calls.append(1) or model.curve(t, p)
+    counting.__name__ = kind
+    monkeypatch.setitem(fitting.MODELS, kind, replace(model, curve=counting))
+    series = [s[:3] for s in transients()]
+    cls = {"bazin": BazinFit, "linexp": LinexpFit, "villar": VillarFit}[kind]
+    together = cls(mcmc_niter=16).kernels([*transients(), tuple(x[:3] for x in transients(1)[0])])
+    most, calls[:] = len(calls), []
+    alone = [fitting.fit_model(kind, *s, niter=16) for s in series]
+    assert together[-1] is None and most < len(calls) / 5
+    assert [x[-1] for x in together[:-1]] == pytest.approx([x[-1] for x in alone], rel=1e-3)
+
+
 def test_rainbows_are_fitted_side_by_side(monkeypatch):
     calls = []
     flux = RainbowFit._flux

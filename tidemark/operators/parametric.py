@@ -40,9 +40,12 @@ class _Kernel(Feature):
     def kernel(self, t, m, sigma, band):
         raise NotImplementedError
 
+    def over(self, series: Column) -> Column:
+        return over_series(self.kernel, series)
+
     def values(self, draft, band):
         series = draft.series(band)
-        array = draft.derive((type(self).__name__, self), band, lambda: over_series(self.kernel, series), 1)
+        array = draft.derive((type(self).__name__, self), band, lambda: self.over(series), 1)
         return tuple(F.try_element_at(array, F.lit(k + 1)) for k in range(len(self.outputs())))
 
 
@@ -106,12 +109,20 @@ class _Fit(_Kernel):
         return tuple(self.ln_prior)
 
     def kernel(self, t, m, sigma, band):
+        return self.kernels([(t, m, sigma, band)])[0]
+
+    def kernels(self, many):
+        """Values of many series, which are fitted side by side."""
         draws = self.nuts_ntune + self.nuts_niter if "nuts" in self.algorithm else self.mcmc_niter
         ceres = "ceres" in self.algorithm
         steps = 20 * (self.ceres_niter if ceres else self.lmsder_niter)
-        got = fitting.fit_model(self.kind, t, m, sigma, self.algorithm, draws, self.init, self.bounds, self.priors(), steps=steps, loss_reg=self.ceres_loss_reg if ceres else None)
-        if got is None or not self.transform:
-            return got
+        fits = fitting.fit_models(self.kind, [s[:3] for s in many], self.algorithm, draws, self.init, self.bounds, self.priors(), steps=steps, loss_reg=self.ceres_loss_reg if ceres else None)
+        return [got if got is None or not self.transform else self.transformed(got) for got in fits]
+
+    def over(self, series):
+        return over_batches(self.kernels, series)
+
+    def transformed(self, got: Sequence[float]) -> list[float]:
         values = dict(zip((*self.parameters, "chi2"), got, strict=True))
         a = values["amplitude"]
         out = []
