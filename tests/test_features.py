@@ -344,3 +344,22 @@ def test_many_least_squares_are_those_of_each():
     for i in range(20):
         q, c = fitting.least_squares(lambda q, i=i: q[0] * np.exp(-q[1] * t) - y[i], np.ones(2), low[i], high[i])
         assert p[i] == pytest.approx(q, rel=1e-5) and cost[i] == pytest.approx(c, rel=1e-8)
+
+
+def test_anderson_darling_far_tails_like_sql():
+    """Values beyond six deviations: the SQL's sum for the tail decides the seventh digit."""
+    import duckdb
+    import pandas as pd
+
+    from tidemark import queries
+    from tidemark.functions.kernels import anderson_darling_of, normal_tails
+
+    rng = np.random.default_rng(17)
+    x = np.round(rng.exponential(50, (40, 70)), 2)
+    x[np.arange(40), rng.integers(0, 70, 40)] = np.round(400 + 12 * np.arange(40.0), 2)
+    events = pd.DataFrame({"event_id": np.arange(2800), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(2800), unit="min"), "user_id": np.repeat(np.arange(40), 70), "event_type": "view", "value": x.ravel()})  # noqa: F841
+    want = dict(duckdb.sql(queries.ORACLE["anderson_darling"]).fetchall())
+    digits = lambda v: (lambda y: (lambda unit: math.floor(y * unit + 0.5) / unit)(10.0 ** min(queries.PLACES, queries.DIGITS - 1 - math.floor(math.log10(abs(y))))))(v * queries.STRETCH)
+    assert {i: digits(anderson_darling_of(x[i])) for i in range(40)} == want
+    low, high = normal_tails(np.array([-30.0, 30.0]))
+    assert 0 < low[0] < 1e-190 and low[0] == high[1] and math.isnan(anderson_darling_of(np.ones(5)))

@@ -327,8 +327,8 @@ class AndersonDarlingNormal(Feature):
     min_n, default = 4, "lg"
 
     def values(self, d, b):
-        x, mean, std = d.ordered(b), d.mean(b), d.deviation(b)
-        return (d.derive("anderson darling", b, lambda: kernels.anderson_darling(x, mean, std), 2),)
+        series = d.series(b)
+        return (d.derive("anderson darling", b, lambda: kernels.anderson_darling(F.transform(series, lambda x: x["m"])), 2),)
 
 
 @dataclass(frozen=True, kw_only=True)
