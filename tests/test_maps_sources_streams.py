@@ -229,3 +229,31 @@ def test_running_chi_square_keeps_its_digits(spark):
     mean = (w * m).sum() / w.sum()
     got = df.groupBy("object_id").agg(mergeable()["reduced_chi2"].alias("x")).first()["x"]
     assert got == pytest.approx((w * (m - mean) ** 2).sum() / 499, rel=1e-6)
+
+
+def test_similar_is_scored_by_products_of_tiles(spark, monkeypatch):
+    """No join of rows with queries; ties, nulls, other lengths and repeated ids rank as in pairs scored one by one."""
+    import math
+
+    rng = np.random.default_rng(6)
+    x = [[float(v) for v in rng.integers(-3, 4, 4)] for _ in range(60)]
+    rows = [(i, v) for i, v in enumerate(x) if any(v)] + [(100, x[3]), (101, x[3]), (102, None), (103, [1.0, 2.0]), (104, [1.0, None, 2.0, 3.0]), (105, x[3]), (105, x[5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(reductions, "TILE_ROWS", 7)
+    monkeypatch.setattr(reductions, "TILE_QUERIES", 5)
+    got = similar(df, df.where("vec_id % 3 = 0"), 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
+
+    def cosine(a, b):
+        if a is None or b is None or None in a or None in b or len(a) != len(b):
+            return None
+        dot = lambda p, q: sum(i * j for i, j in zip(p, q, strict=True))
+        return round(dot(a, b) / math.sqrt(dot(a, a)) / math.sqrt(dot(b, b)), 9)
+
+    want = []
+    for who in sorted({i for i, _ in rows if i % 3 == 0}):
+        pairs = [(cosine(q, v), i) for j, q in rows if j == who for i, v in rows if i != who]
+        pairs.sort(key=lambda p: (p[0] is None, -(p[0] or 0), p[1]))
+        want += [(who, rank, i, c) for rank, (c, i) in enumerate(pairs[:4], 1)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["cosine"]) for r in got.collect()) == want
