@@ -257,3 +257,17 @@ def test_similar_is_scored_by_products_of_tiles(spark, monkeypatch):
         pairs.sort(key=lambda p: (p[0] is None, -(p[0] or 0), p[1]))
         want += [(who, rank, i, c) for rank, (c, i) in enumerate(pairs[:4], 1)]
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["cosine"]) for r in got.collect()) == want
+
+
+def test_a_stream_that_ran_once_is_not_held_by_the_driver(spark, tmp_path):
+    """Rows come from files, in complete and append mode and where there is nothing to read."""
+    path = str(tmp_path / "in")
+    rows = spark.range(100).select((F.col("id") % 5).alias("object_id"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.col("id").cast("double").alias("m"), F.lit(1.0).alias("sigma"))
+    rows.repartition(3).write.parquet(path)
+    stream = lambda p: spark.readStream.option("maxFilesPerTrigger", 1).schema(rows.schema).parquet(p)
+    got = run_once(streaming_bins(stream(path), "1 day", lateness="100 days"), "files_test", "complete")
+    assert got.inputFiles() and sum(r["n"] for r in got.collect()) == 100 and spark.table("files_test").count() == got.count() == 24
+    every = run_once(stream(path), "append_test")
+    assert every.inputFiles() and every.count() == 100
+    (tmp_path / "none").mkdir()
+    assert run_once(stream(str(tmp_path / "none")), "none_test").count() == 0

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import div
@@ -69,11 +71,34 @@ def count_windows(stream: DataFrame, size: int, key: str = "object_id", kind: st
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, first double, last double, n int, mean double", "t array<double>, m array<double>", "append", "NoTimeout")
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; on one machine a temporary one where it is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (path or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Everything that is there now, through the stream, into an in-memory table: for tests and small results."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+    """Everything that is there now, through the stream, into a table of that name.
+
+    Executors write each batch as Parquet into the shared folder, so no rows pass the driver; the files go when it ends.
+    """
+    spark = stream.sparkSession
+    path = f"{_shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    done: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        at = f"{path}/batch-{number}"
+        batch.write.mode("overwrite").parquet(at)
+        if at not in done:
+            done.append(at)
+
+    query = stream.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{path}/checkpoint").start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    kept = done[-1:] if mode == "complete" else done  # a complete batch has all rows
+    out = spark.read.schema(stream.schema).parquet(*kept) if kept else spark.createDataFrame([], stream.schema)
+    out.createOrReplaceTempView(name)
+    return out
