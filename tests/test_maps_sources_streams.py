@@ -271,3 +271,14 @@ def test_a_stream_that_ran_once_is_not_held_by_the_driver(spark, tmp_path):
     assert every.inputFiles() and every.count() == 100
     (tmp_path / "none").mkdir()
     assert run_once(stream(str(tmp_path / "none")), "none_test").count() == 0
+
+
+def test_validation_deals_large_tables_into_more_partitions(spark, tmp_path, monkeypatch):
+    from tidemark.sources import curves
+
+    path = str(tmp_path / "rows")
+    spark.range(20_000).selectExpr("id % 500 object_id", "double(id) t", "double(id) m", "1d sigma", "'g' band").write.parquet(path)
+    df = spark.read.parquet(path)
+    monkeypatch.setattr(curves, "PARTITION_BYTES", 4 << 10)
+    out = validated(df, duplicates="mean")
+    assert out.rdd.getNumPartitions() > 20 and out.count() == 20_000

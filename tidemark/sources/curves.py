@@ -93,6 +93,19 @@ def problems(df: DataFrame) -> DataFrame:
     return own.unionByName(same.select("object_id", "t", "x.m", "x.sigma", "band", F.lit("repeated time").alias("reason")))
 
 
+#: Estimated bytes of a table that one partition takes (compressed files are some 40 times larger in an aggregation), and partitions at most.
+PARTITION_BYTES, PARTITIONS = 4 << 20, 1 << 14
+
+
+def by_object(df: DataFrame) -> DataFrame:
+    """``df`` dealt by object, into more partitions the larger its estimated size is, so that a task's memory doesn't grow with the table."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    count = -(-size // PARTITION_BYTES) if size < 1 << 50 else 0  # beyond, the engine says that it doesn't know
+    if count > df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(min(count, PARTITIONS), "object_id")
+    return df.repartition("object_id")
+
+
 def validated(df: DataFrame, duplicates: str = "error", bands: Sequence[str] | None = None, unknown: str = "error") -> DataFrame:
     """``df`` with its contract enforced in the same pass.
 
@@ -107,7 +120,7 @@ def validated(df: DataFrame, duplicates: str = "error", bands: Sequence[str] | N
     if bands is not None:
         known = F.coalesce(F.col("band").isin(*bands), F.lit(False))
         out = out.where(known) if unknown == "ignore" else out.withColumn("band", F.when(known, F.col("band")).otherwise(F.raise_error(F.lit("unknown band")).cast("string")))
-    out = out.repartition("object_id")  # one exchange serves this and what follows by object
+    out = by_object(out)  # one exchange serves this and what follows by object
     key = ["object_id", "band", "t"]
     if duplicates == "mean":
         w = 1 / (F.col("sigma") * F.col("sigma"))
